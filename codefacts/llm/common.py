@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def doc_slices(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of rows with some MB of text each (at least one row)."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     i, ends = 0, np.cumsum(lengths)
     while i < len(lengths):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))

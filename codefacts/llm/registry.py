@@ -1,9 +1,11 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
-from codefacts.llm import sharding
+from codefacts.llm import langid, sharding, toxicity
 
 QUERIES = {
+    "op1_hierarchical_language_id": langid.op1_hierarchical_language_id,
     "op4_hash_tree_sharding": sharding.op4_hash_tree_sharding,
+    "op8_string_kernel_toxicity": toxicity.op8_string_kernel_toxicity,
 }
 ORACLE_SQL = {
     "op4_hash_tree_sharding": sharding.oracle(sharding.balanced_tree(8), sharding.grow(sharding.balanced_tree(8))),
