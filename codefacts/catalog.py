@@ -485,10 +485,10 @@ def attach_enclosing_function(spark, d):
     return link.attach_enclosing_function(items, symbols).select("file_id", "line_number", "callee_name", "caller_name")
 
 
-_REFS = """refs AS (SELECT pk * 2 AS file_id, class_name AS symbol_name, 6 AS line_number, 15 AS column_number, 'class MOD_API ' || class_name || ' : public ' || parent_name AS context FROM fx_class
-UNION ALL SELECT pk * 2, class_name, 6, 25 + length(class_name), 'class MOD_API ' || class_name || ' : public ' || parent_name FROM fx_class WHERE class_name = parent_name
-UNION ALL SELECT pk * 2 + 1, 'Run' || pk, 3, 8 + length(class_name), 'void ' || class_name || '::Run' || pk || '(int32 Size)' FROM fx_class
-UNION ALL SELECT file_id, callee_name, line_number, 5, callee_name || '();' FROM fx_calls WHERE callee_name = 'Run' || ((file_id - 1) // 2))"""
+_REFS = """refs AS (SELECT pk * 2 AS file_id, class_name AS symbol_name, 6 AS line_number, 14 AS column_number, 'class MOD_API ' || class_name || ' : public ' || parent_name AS context FROM fx_class
+UNION ALL SELECT pk * 2, class_name, 6, 24 + length(class_name), 'class MOD_API ' || class_name || ' : public ' || parent_name FROM fx_class WHERE class_name = parent_name
+UNION ALL SELECT pk * 2 + 1, 'Run' || pk, 3, 7 + length(class_name), 'void ' || class_name || '::Run' || pk || '(int32 Size)' FROM fx_class
+UNION ALL SELECT file_id, callee_name, line_number, 4, callee_name || '();' FROM fx_calls WHERE callee_name = 'Run' || ((file_id - 1) // 2))"""
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -124,14 +124,14 @@ def extract_calls(scanned: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def extract_references(scanned: DataFrame, sources: DataFrame, symbols: DataFrame, names: str = "top") -> DataFrame:
-    """Identifier occurrences of a file's own names: symbol_name, line_number, column_number (from 1), context (trimmed line, 200 characters).
+    """Identifier occurrences of a file's own names: symbol_name, line_number, column_number (from 0), context (trimmed line, 200 characters).
 
     names: "top" for names of top-level symbols, "all" for nested ones as well. The semi-join runs before anything else grows.
     """
     known = (symbols if names == "all" else symbols.filter("parent_ord IS NULL")).select("file_id", F.col("name").alias("symbol_name")).distinct()
     code = scanned.select("file_id", F.posexplode(F.split("code", "\n")).alias("at", "line"))
     parts = code.withColumn("parts", F.split("line", r"\b"))
-    placed = F.aggregate("parts", F.expr("struct(1 AS c, CAST(array() AS array<struct<c:int,w:string>>) AS a)"), lambda s, w: F.struct((s["c"] + F.length(w)).alias("c"), F.concat(s["a"], F.array(F.struct(s["c"].alias("c"), w.alias("w")))).alias("a")))
+    placed = F.aggregate("parts", F.expr("struct(0 AS c, CAST(array() AS array<struct<c:int,w:string>>) AS a)"), lambda s, w: F.struct((s["c"] + F.length(w)).alias("c"), F.concat(s["a"], F.array(F.struct(s["c"].alias("c"), w.alias("w")))).alias("a")))
     tokens = parts.select("file_id", "at", F.explode(placed["a"]).alias("t")).select("file_id", "at", F.col("t.c").alias("column_number"), F.col("t.w").alias("symbol_name")).filter(F.col("symbol_name").rlike(r"^[A-Za-z_]\w*$"))
     hits = tokens.join(known, ["file_id", "symbol_name"], "left_semi")
     text = sources.select(F.col("file_id").cast("long"), F.split("content", "\n").alias("l"))

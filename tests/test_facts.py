@@ -1,0 +1,167 @@
+"""Operators on small literal tables: the fixed fixtures' facts, tie rules, snapshots, the index on disk, listing and search."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from codefacts import changes, corpus, extract, functions, graph, link, macros, reports, search
+from codefacts.tables import SCHEMAS, file_id
+
+HEADER = '''#pragma once
+#include "CoreMinimal.h"
+DECLARE_DYNAMIC_MULTICAST_DELEGATE_OneParam(FOnHealth, float, NewHealth);
+
+UCLASS(Blueprintable, BlueprintType, meta=(DisplayName="Hero"))
+class AHero : public AActor
+{
+    GENERATED_BODY()
+public:
+    AHero();
+    UFUNCTION(BlueprintCallable, Category="Health")
+    void Hurt(float Amount);
+    UFUNCTION(BlueprintImplementableEvent)
+    void OnDeath();
+    UPROPERTY(EditAnywhere, BlueprintReadWrite, meta=(ClampMin="0.0"))
+    float MaxHealth;
+    UPROPERTY()
+    bool bHidden;
+};
+'''
+SOURCE = '''#include "Hero.h"
+#include <vector>
+
+AHero::AHero()
+{
+    MaxHealth = 1;
+}
+
+void AHero::Hurt(float Amount)
+{
+    Super::Hurt(Amount);
+    FMath::Clamp(Amount, 0, 1);
+    Notify();
+    if (Amount > 0) { OnDeath(); }
+    UE_LOG(LogTemp, Log, TEXT("x"));
+}
+
+void AHero::Notify()
+{
+    OnChanged.Broadcast(this);
+}
+'''
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    rows = [(1, "Game/Public/Hero.h", HEADER), (1, "Game/Private/Hero.cpp", SOURCE), (1, "Game/Private/Odd.cpp", "}}} ((( class"), (1, "Game/Private/Empty.cpp", ""), (1, "Game/Private/None.cpp", None)]
+    sources = spark.createDataFrame(rows, "codebase_id long, relative_path string, content string").withColumn("file_id", file_id(F.col("codebase_id"), F.col("relative_path")))
+    return {name: t.cache() for name, t in extract.index_corpus(sources).items()}
+
+
+def test_calls_of_a_source(tables):
+    got = sorted((r["caller_name"], r["callee_name"], r["line_number"], r["callee_symbol_id"] is not None) for r in tables["calls"].collect())
+    assert got == [("AHero::Hurt", "FMath::Clamp", 12, False), ("AHero::Hurt", "Notify", 13, True), ("AHero::Hurt", "OnDeath", 14, True), ("AHero::Hurt", "Super::Hurt", 11, False), ("AHero::Notify", "Broadcast", 20, False)]
+
+
+def test_includes_macros_and_specifiers(tables):
+    assert sorted((r["included_path"], r["resolved_file_id"] is not None) for r in tables["includes"].collect()) == [("CoreMinimal.h", False), ("Hero.h", True), ("vector", False)]
+    name = tables["symbols"].select(F.col("id").alias("symbol_id"), "name", "kind")
+    linked = sorted((r["macro_type"], r["line_number"], r["name"], r["kind"]) for r in tables["ue_macros"].join(name, "symbol_id", "left").collect())
+    assert linked == [("DECLARE_DYNAMIC_MULTICAST_DELEGATE_OneParam", 3, "AHero", "class"), ("GENERATED_BODY", 8, "AHero", "constructor"), ("UCLASS", 5, "AHero", "class"), ("UFUNCTION", 11, "Hurt", "method"), ("UFUNCTION", 13, "OnDeath", "method"), ("UPROPERTY", 15, "MaxHealth", "field"), ("UPROPERTY", 17, "bHidden", "field")]
+
+
+def test_questions_about_a_class(tables):
+    t = tables
+    callers = graph.find_callers(t["calls"], t["symbols"], t["files"], "Notify").collect()
+    assert [(r["caller"], r["line_number"]) for r in callers] == [("Hurt", 13)]
+    edges = graph.call_edges(t["calls"], t["symbols"], t["files"])
+    pairs = t["files"].sparkSession.createDataFrame([("Hurt", "Broadcast"), ("AHero::Hurt", "Broadcast"), ("Hurt", "Missing")], "start string, target string")
+    hops = sorted((r["start"], r["hop"], r["caller"], r["callee"]) for r in graph.shortest_call_paths(edges, pairs).collect())
+    assert hops == [("AHero::Hurt", 1, "AHero::Hurt", "Notify"), ("AHero::Hurt", 2, "Notify", "Broadcast"), ("Hurt", 1, "Hurt", "Notify"), ("Hurt", 2, "Notify", "Broadcast")]
+    face = sorted((r["section"], r["symbol_name"], r["is_blueprintable"], r["is_blueprint_type"]) for r in reports.blueprint_interface(t["symbols"], t["ue_macros"], t["ue_macro_specifiers"], t["files"], "AHero").collect())
+    assert face == [("event", "OnDeath", True, True), ("function", "Hurt", True, True), ("property", "MaxHealth", True, True)]
+    report = reports.analyze_class(t["symbols"], t["inheritance"], t["ue_macros"], t["ue_macro_specifiers"], t["files"], ["AHero", "Nothing"]).collect()
+    assert sorted((r["section"], r["name"]) for r in report) == [("base", "AActor"), ("class", "class"), ("field", "MaxHealth"), ("field", "bHidden"), ("macro", "DECLARE_DYNAMIC_MULTICAST_DELEGATE_OneParam"), ("macro", "UCLASS"), ("method", "AHero"), ("method", "Hurt"), ("method", "OnDeath"), ("naming", "A")]
+    both = macros.macro_specifiers(t["ue_macros"], t["ue_macro_specifiers"], t["symbols"], "MaxHealth").collect()
+    assert [(r["ordinary"], r["meta"]) for r in both] == [(["EditAnywhere", "BlueprintReadWrite"], ["ClampMin=0.0"])]
+
+
+def test_cycles_and_diamonds_in_graphs(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("c", "c")], "src string, dst string")
+    starts = spark.createDataFrame([("a", "a"), ("x", "x")], "source string, node string")
+    assert sorted((r["source"], r["node"], r["depth"]) for r in graph.reach(edges, starts, 10).collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("x", "x", 0)]
+    full = edges.select("src", "dst", F.col("src").alias("caller"), F.lit("f").alias("path"), F.lit(1).alias("line_number"))
+    hops = graph.call_chain_hops(full, spark.createDataFrame([("a", "c")], "start string, target string")).collect()
+    assert sorted((r["depth"], r["caller"]) for r in hops) == [(2, "b"), (2, "d")]
+
+
+def test_include_tiers(spark):
+    files = spark.createDataFrame([(1, 1, "A/x.h"), (2, 1, "B/x.h"), (3, 1, "A/only.h"), (4, 2, "A/only.h"), (5, 1, "A/main.cpp")], "file_id long, codebase_id long, relative_path string")
+    rows = [(5, 1, "B/x.h", False), (5, 2, "only.h", False), (5, 3, "x.h", False), (5, 4, "x.h", True), (5, 5, "gone.h", False), (5, 6, "other\\only.h", False)]
+    got = {r["line_number"]: r["resolved_file_id"] for r in link.resolve_includes(spark.createDataFrame(rows, "file_id long, line_number int, included_path string, is_system boolean"), files).collect()}
+    assert got == {1: 2, 2: 3, 3: 1, 4: None, 5: None, 6: 3}
+
+
+def test_changes_and_cascades(spark):
+    old = spark.createDataFrame([(1, "a", 0.0, "h"), (1, "b", 0.0, "h"), (1, "c", 0.0, "h"), (1, "d", None, "h"), (1, "e", 0.0, "h")], "codebase_id long, relative_path string, mtime double, content_hash string")
+    new = spark.createDataFrame([(1, "a", 900.0, "x"), (1, "b", 5000.0, "h"), (1, "c", 5000.0, "x"), (1, "d", 5000.0, "x"), (1, "f", 0.0, "x")], old.schema)
+    got = {r["relative_path"]: r["status"] for r in changes.detect_changes(old, new).collect()}
+    assert got == {"a": "unchanged", "b": "unchanged", "c": "changed", "d": "unchanged", "e": "deleted", "f": "new"}
+    assert {r["relative_path"] for r in changes.detect_changes(old, new, scope=F.col("relative_path") != "e").collect()} == set("abcdf")
+    t = {
+        "files": spark.createDataFrame([(1,), (2,)], "id long"),
+        "symbols": spark.createDataFrame([(10, 1), (20, 2)], "id long, file_id long"),
+        "calls": spark.createDataFrame([(1, 10, 20), (2, 20, 10), (2, 20, 20)], "file_id long, caller_symbol_id long, callee_symbol_id long"),
+        "parameters": spark.createDataFrame([(10, "p"), (20, "q")], "symbol_id long, name string"),
+    }
+    out = changes.delete_files(t, spark.createDataFrame([(1,)], "id long"))
+    assert [r["name"] for r in out["parameters"].collect()] == ["q"]
+    assert sorted(((r["file_id"], r["callee_symbol_id"] or 0) for r in out["calls"].collect())) == [(2, 0), (2, 20)]
+
+
+def test_codebase_of_a_path(spark):
+    bases = spark.createDataFrame([(1, "/src/game"), (2, "/src/game/plugins/"), (3, "/src/ga")], "id long, root_path string")
+    paths = spark.createDataFrame([("/src/game/a.h",), ("/src/game/plugins/b/c.h",), ("/src/gamez/d.h",)], "path string")
+    got = {r["path"]: (r["codebase_id"], r["relative_path"]) for r in changes.codebase_of(bases, paths).collect()}
+    assert got == {"/src/game/a.h": (1, "a.h"), "/src/game/plugins/b/c.h": (2, "b/c.h")}
+
+
+def test_listing_reading_and_the_index_on_disk(spark, tables, tmp_path):
+    for path, text in {"Source/A.h": HEADER, "Source/B.cpp": SOURCE, "Source/C.txt": "no", "Saved/D.h": "no", ".hidden/E.h": "no", "MyThirdParty/F.INL": "x"}.items():
+        os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
+        (tmp_path / path).write_text(text)
+    found = corpus.discover_files(spark, str(tmp_path))
+    assert sorted(r["relative_path"] for r in found.collect()) == ["MyThirdParty/F.INL", "Source/A.h", "Source/B.cpp"]
+    assert sorted(r["relative_path"] for r in corpus.discover_files(spark, str(tmp_path), headers_only=True).collect()) == ["MyThirdParty/F.INL", "Source/A.h"]
+    texts = {r["relative_path"]: r["content"] for r in corpus.read_sources(found, spark, str(tmp_path)).collect()}
+    assert texts["Source/A.h"] == HEADER and texts["Source/B.cpp"] == SOURCE
+    corpus.write_index({"files": tables["files"], "symbols": tables["symbols"]}, str(tmp_path / "index"))
+    back = corpus.read_index(spark, str(tmp_path / "index"), ["files", "symbols"])
+    assert sorted(back["symbols"].select("file_id", "name", "ord").collect()) == sorted(tables["symbols"].select("file_id", "name", "ord").collect())
+    other = tables["files"].limit(0).unionByName(spark.createDataFrame([(99, 2, "x.h")], "file_id long, codebase_id long, relative_path string"))
+    corpus.write_index({"files": other}, str(tmp_path / "index"))
+    assert {r["codebase_id"] for r in corpus.read_index(spark, str(tmp_path / "index"), ["files"])["files"].collect()} == {1, 2}
+    assert set(corpus.empty_index(spark)) == set(SCHEMAS)
+
+
+def test_stems_of_the_published_examples():
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall hissing hiss filing file happy happi sky sky relational relat conditional condit vietnamization vietnam digitizer digit operator oper feudalism feudal hopefulness hope formality formal sensitivity sensit triplicate triplic formative form electrical electr goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac adoption adopt effective effect probate probat rate rate cease ceas controlling control rolling roll generalizations gener".split()
+    assert [search.stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_search_ranks_falls_back_and_escapes(spark):
+    symbols = spark.createDataFrame([(1, 1, "GetHealth", "AHero::GetHealth", "method", "float GetHealth()"), (2, 1, "Health", "AHero::Health", "field", None), (3, 1, "Max_Healing", "Max_Healing", "field", None)], "id long, file_id long, name string, qualified_name string, kind string, signature string")
+    index = search.build_symbol_index(symbols)
+    got = [(r["q"], r["name"]) for r in search.search_symbols(index, symbols, None, ["health", "ahero::he", "nothing"]).orderBy("q", "rank", "name").collect()]
+    assert got == [("ahero::he", "Health"), ("health", "Health")]
+    assert [r["name"] for r in search.search_symbols(index, symbols, None, "health", kind="method").collect()] == []
+    assert sorted(r["name"] for r in search.search_symbols_fallback(symbols, "x_h").collect()) == ["Max_Healing"]
+    assert sorted(r["name"] for r in search.search_symbols_fallback(symbols, "%", escape=True).collect()) == []
+    first = search.search_symbols(index, symbols, None, "health")
+    assert sorted(r["q"] for r in search.search_symbols_fallback(symbols, ["health", "gethe"], found=first).collect()) == ["gethe"]
+
+
+def test_names_and_delegates(spark):
+    row = spark.range(1).select(functions.name_prefix(F.lit("AActor")).alias("a"), functions.name_prefix(F.lit("Actor")).alias("b"), functions.name_prefix(F.lit("A")).alias("c"), functions.strip_name_prefix(F.lit("UObject")).alias("d"), functions.classify_delegate(F.lit("DECLARE_DYNAMIC_DELEGATE_OneParam")).alias("e")).first()
+    assert tuple(row) == ("A", "None", "None", "Object", "DECLARE_DYNAMIC_DELEGATE")
