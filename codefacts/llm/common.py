@@ -9,11 +9,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -32,10 +33,23 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """While it lasts, Arrow batches hold fewer rows, so that batches of long texts or sets fit a Python worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of an id written as text, unsigned; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -172,15 +186,18 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     Every vertex sends the smallest of its neighbours to all of them, until nothing changes; each round is
     a grouped minimum with map-side combining and an equi-join that AQE can split, written to the shared folder.
     """
-    e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    before = None
+    def settle(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, written, and what tells them from others; both in one job."""
+        seen = Observation()
+        marked = rows.filter("u > v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return durable(marked, name), tuple(seen.get.values())
+
+    e, state = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(e.select("v", "v").distinct())
         before = state
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         sent = both.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        own = low.select("u", F.col("low").alias("v"))
-        e = durable(sent.union(own).filter("u > v").distinct(), name)
+        e, state = settle(sent.union(low.select("u", F.col("low").alias("v"))))
+        if state == before:
+            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(e.select("v", "v").distinct())

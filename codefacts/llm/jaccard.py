@@ -9,11 +9,14 @@ similarity reaches 4 in 5. The join never makes all pairs of a list:
    So each set is posted under those shingles only, with its size and the shingle's position.
 3. *Pivots.* Each list's smallest id is its pivot; every member whose size and position allow a link is paired
    with it, and the pairs are checked exactly. Copies of one text so cost one check each, not one for each pair.
+   Lists that still hold several components take a second pivot, the member whose lists hold most members.
 4. *Derived answers.* What is left are pairs of one list in different components. A member's answers follow
    from the pivot's: distances d to the pivot bound the distance of two members to at least |d1 - d2|, so most
    are skipped unseen; lists are read in blocks ordered by size, and a block is skipped when its sizes,
    positions or components rule it out. The rest is checked exactly.
 
+A check first compares bitmaps of both sets, which prove most pairs apart, and then the sets themselves.
+
 Links are the edges of connected components; no link between different texts is lost.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and stay their own component;
@@ -159,21 +162,66 @@ def _blocks(batches: Iterable[pa.RecordBatch], block: int = 256) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def check(docs: DataFrame, pairs: DataFrame, k: int = WORDS) -> DataFrame:
-    """a, b, na, nb, shared for pairs of ids. Only documents that a pair may name (a Bloom filter of fixed size) make their sets anew."""
-    bloom = fixed_bloom(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+def bit_sets(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap of each set: about four bits for each element, a power of two from 2**8 to 2**16."""
+    out = []
+    for s in sets:
+        bits = min(1 << 16, max(1 << 8, 1 << (4 * len(s)).bit_length()))
+        b = np.zeros(bits, bool)
+        b[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+        out.append(np.packbits(b).tobytes())
+    return out
+
+
+def may_link(a: bytes, b: bytes, total: int) -> bool:
+    """Whether sets with these bitmaps may link: each bit that one has and the other lacks is an element of the difference.
+
+    Sets link up to a symmetric difference of a ninth of their sizes' sum. The larger bitmap is folded to the smaller.
+    """
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_or.reduce(x.reshape(-1, len(y)), 0)
+    return (_OF - 2 * _SHARE) * total >= _OF * int(np.bitwise_count(x ^ y).sum())
+
+
+def _of_documents(docs: DataFrame, ids: DataFrame, make, schema: str, k: int) -> DataFrame:
+    """id and what make() gives for the sets of the documents that ids (id) may name: a Bloom filter of fixed size, so a few more."""
+    bloom = fixed_bloom(ids, "id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(bloom_has(bloom, np.asarray(batch.column(0), np.int64))))
             for i, j in doc_slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(i, j - i), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array([_signed(s) for s in sets], "i8")], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), make(sets)], ["id", "n", "x"])
+
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"id long, n int, x {schema}")
+
 
-    sets = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, set array<long>")
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return both.select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+def check(docs: DataFrame, pairs: DataFrame, bits: DataFrame, k: int = WORDS) -> DataFrame:
+    """a, b, na, nb, shared of the pairs that the bitmaps of both leave possible; exact, from sets made anew from the texts.
+
+    The rest can't link. Bitmaps are a tenth of the sets' size, so only near pairs move whole sets.
+    """
+
+    def joined(rows: DataFrame, own: DataFrame) -> DataFrame:
+        for side in ("b", "a"):
+            rows = rows.join(own.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("x").alias(f"x{side}")), side)
+        return rows
+
+    def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                total = np.asarray(part.column(2), np.int64) + np.asarray(part.column(3), np.int64)
+                keep = [may_link(x, y, t) for x, y, t in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), total.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+
+    near = durable(joined(pairs, bits).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(prune, "a long, b long").distinct(), "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = durable(_of_documents(docs, ids, lambda sets: list_array([_signed(s) for s in sets], "i8"), "array<long>", k), "sets")
+    return durable(joined(near, sets).select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("shared")), "tested")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -181,31 +229,62 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     described = durable(describe(docs, shingle_levels(docs, k), k), "sets")
     small = described.select("doc_id", "n", "s1", "s2")
     classes = durable(small.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size"), "classes")
-    member = durable(small.join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "members")
+    member = durable(small.join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first")), "members")
 
     copies = member.filter("doc_id <> first").select("doc_id")
     posted = described.filter("n > 0 AND doc_id IS NOT NULL").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "key"))
     lists = posted.select("key", "id", "n", F.col("pos").cast("long").alias("pos")).repartition("key").sortWithinPartitions("key", "id")
     first = durable(lists.mapInArrow(_star, "kind long, key long, a long, b long, n long, pos long"), "star")
 
-    tested = durable(check(docs, durable(first.filter("kind = 0").select("a", "b").distinct(), "pairs"), k), "tested")
     linked = F.expr(f"{_OF} * shared >= {_SHARE} * (na + nb)")
+    pairs = durable(first.filter("kind = 0").select("a", "b").distinct(), "pairs")
+    named = first.select(F.explode(F.array("a", "b")).alias("id"))
+    bits = durable(_of_documents(docs, named, lambda sets: pa.array(bit_sets(sets), pa.binary()), "binary", k), "bits")
+    tested = check(docs, pairs, bits, k)
     near = connected_components(tested.filter(linked).select("a", "b"))
 
-    rest = first.filter("kind = 1").select("key", F.col("a").alias("pivot"), F.col("b").alias("id"), "n", "pos")
     dist = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("dist"))
-    rest = rest.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = durable(rest, "rest")
-    open_keys = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    rest = rest.join(open_keys, "key", "left_semi").join(dist, ["pivot", "id"], "left")
+    rest = first.filter("kind = 1").select("key", F.col("a").alias("pivot"), F.col("b").alias("id"), "n", "pos")
+    rest = durable(_still_open(rest, near).join(dist, ["pivot", "id"], "left"), "rest")
     # a member that was not tested against the pivot has no distance to it (NaN), and nothing is skipped by it
     rest = rest.withColumn("dist", F.when(F.col("pivot") == F.col("id"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))))
-    ordered = rest.select("key", "id", "n", "pos", "component", "dist").repartition("key").sortWithinPartitions("key", "n", "id")
-    more = ordered.mapInArrow(_blocks, "a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = durable(more, "pairs")
-    links = tested.filter(linked).select("a", "b").union(check(docs, more, k).filter(linked).select("a", "b"))
-    components = connected_components(links).select(F.col("id").alias("first"), "component")
-    return member.join(components, "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
+
+    def answer(found: DataFrame) -> DataFrame:
+        return member.join(found.select(F.col("id").alias("first"), "component"), "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
+
+    if rest.isEmpty():
+        return answer(near)
+    hub_pairs = durable(_hub_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    by_hubs = check(docs, hub_pairs, bits, k).filter(linked).select("a", "b")
+    near = connected_components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(by_hubs))
+
+    ordered = _still_open(rest.drop("component"), near).select("key", "id", "n", "pos", "component", "dist").repartition("key").sortWithinPartitions("key", "n", "id")
+    last_pairs = ordered.mapInArrow(_blocks, "a long, b long").distinct().join(pairs.union(hub_pairs), ["a", "b"], "left_anti")
+    last_pairs = durable(last_pairs, "pairs")
+    if last_pairs.isEmpty():
+        return answer(near)
+    by_blocks = check(docs, last_pairs, bits, k).filter(linked).select("a", "b")
+    near = connected_components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(by_blocks))
+    return answer(near)
+
+
+def _still_open(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Postings (key, id, ...) with component, of the lists that hold more than one component."""
+    rows = durable(rows.join(near, "id", "left").withColumn("component", F.coalesce("component", "id")), "lists")
+    keys = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each open list's hub with its members of other components. The hub is the member whose lists hold most members:
+    of a text and its edited copies, which are nearer to it than to each other, that is the text."""
+    size = rows.groupBy("key").agg(F.count("*").alias("size"))
+    score = rows.select("key", "id").join(size, "key").groupBy("id").agg(F.sum("size").alias("score"))
+    scored = rows.join(score, "id")
+    hub = scored.groupBy("key").agg(F.max_by(F.struct("id", "n", "pos", "component"), F.struct("score", -F.col("id"))).alias("hub"))
+    met = scored.join(hub, "key").filter("component <> hub.component")
+    may = F.expr(f"{_OF} * least(n - pos, hub.n - hub.pos) >= {_SHARE} * (n + hub.n)")
+    return met.filter(may).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
 def op7_set_relation_jaccard(spark, sf_dir: str) -> DataFrame:

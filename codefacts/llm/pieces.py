@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from codefacts.llm.common import doc_slices
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-BATCH_BYTES, KEPT_WORDS = 1 << 24, 400_000
+BATCH_BYTES, KEPT_WORDS = 1 << 23, 200_000
 
 
 class Pieces:
@@ -50,10 +51,10 @@ class Pieces:
         self.id_of = {p: i for i, p in enumerate(names) if plain[i]}
         self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
         self.name = names
-        self.longest = max(map(len, self.id_of))
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(names) if model.is_byte(i)}
         self.bytes_of = [b"" if not (plain[i] or model.is_byte(i)) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.follows: dict[int, bool] = {}
+        self._automaton()
 
     def merge(self, text: str) -> list[str]:
         """The model's merges on a short string: the best-scored neighbours first, the leftmost of equals."""
@@ -79,10 +80,10 @@ class Pieces:
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of distinct words."""
         out: dict[str, list[int]] = {}
-        id_of, follows, longest = self.id_of, self.follows, self.longest
+        follows, may_follow = self.follows, self.may_follow
+        step, fallback, ending = self.step, self.fallback, self.ending
         before = ""
-        state: list[int] = [-1]  # for each end position of the current path: the last piece, -1 at the root
-        size: list[int] = [0]
+        last, size, node = [-1], [0], [0]  # for each end position of the current path: its last piece (-1 at the root), that piece's length, the automaton's node
         for word in sorted(words):
             if word.startswith(MARK + MARK):
                 out[word] = [x for p in self.merge_long(word) for x in self._ids(p)]
@@ -90,36 +91,68 @@ class Pieces:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del state[shared + 1 :], size[shared + 1 :]
+            del last[shared + 1 :], size[shared + 1 :], node[shared + 1 :]
+            at = node[shared]
             for end in range(shared + 1, len(word) + 1):
+                c = word[end - 1]
+                while at and c not in step[at]:
+                    at = fallback[at]
+                at = step[at].get(c, 0)
                 piece, length = -2, 1  # a character that the model lacks
-                for begin in range(max(0, end - longest), end):
-                    p = id_of.get(word[begin:end])
-                    if p is None:
-                        continue
-                    last = state[begin]
-                    if last >= 0:
-                        ok = follows.get(last << 20 | p)
+                for p, n in ending[at]:
+                    prior = last[end - n]
+                    if prior >= 0:
+                        ok = follows.get(prior << 20 | p)
                         if ok is None:
-                            ok = self.may_follow(last, p)
+                            ok = may_follow(prior, p)
                         if not ok:
                             continue
-                    piece, length = p, end - begin
+                    piece, length = p, n
                     break
-                state.append(piece)
+                last.append(piece)
                 size.append(length)
+                node.append(at)
             ids: list[int] = []
             end = len(word)
             while end:
-                if state[end] >= 0:
-                    ids.append(state[end])
+                if last[end] >= 0:
+                    ids.append(last[end])
                 else:
                     ids += [self.byte_id[b] for b in reversed(word[end - 1].encode())]
                 end -= size[end]
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
             before = word
         return out
 
+    def _automaton(self) -> None:
+        """Nodes for all prefixes of pieces: step (by character), fallback (the longest proper suffix that is a node too) and ending, the pieces that end here, longest first."""
+        self.step: list[dict[str, int]] = [{}]
+        own: list[int] = [-1]
+        for piece, i in self.id_of.items():
+            at = 0
+            for c in piece:
+                new = self.step[at].get(c)
+                if new is None:
+                    new = self.step[at][c] = len(own)
+                    self.step.append({})
+                    own.append(-1)
+                at = new
+            own[at] = i
+        self.fallback = [0] * len(own)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        level = [(0, c, n, 1) for c, n in self.step[0].items()]
+        while level:
+            deeper = []
+            for parent, c, n, depth in level:
+                f = self.fallback[parent]
+                while f and c not in self.step[f]:
+                    f = self.fallback[f]
+                self.fallback[n] = self.step[f].get(c, 0) if parent else 0
+                self.ending[n] = (((own[n], depth),) if own[n] >= 0 else ()) + self.ending[self.fallback[n]]
+                deeper += [(n, d, m, depth + 1) for d, m in self.step[n].items()]
+            level = deeper
+
     def merge_long(self, word: str) -> list[str]:
         """Words with several leading marks: the last mark goes with the letters, unless nothing follows; long runs are merged from the left as their equal scores ask."""
         marks = len(word) - len(word.lstrip(MARK))
@@ -149,7 +182,7 @@ def mark(text: str) -> str:
     return (MARK + text.replace(" ", MARK)) if text else ""
 
 
-def encode_texts(texts: list[str | None], model: str, known: dict[str, np.ndarray]) -> list[np.ndarray | None]:
+def encode_texts(texts: list[str | None], model: str, known: dict[str, list[int]]) -> list[np.ndarray | None]:
     """Ids of each text; known: words encoded before, which this adds to."""
     p = pieces(model)
     split = [WORD.findall(mark(t)) if t else [] for t in texts]
@@ -157,9 +190,8 @@ def encode_texts(texts: list[str | None], model: str, known: dict[str, np.ndarra
     if len(known) + len(new) > KEPT_WORDS:
         known.clear()
         new = {w for words in split for w in words}
-    known.update((w, np.array(ids, np.int32)) for w, ids in p.encode_words(new).items())
-    none = np.zeros(0, np.int32)
-    return [None if t is None else np.concatenate([known[w] for w in words]) if words else none for t, words in zip(texts, split, strict=True)]
+    known.update(p.encode_words(new))
+    return [None if t is None else np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for t, words in zip(texts, split, strict=True)]
 
 
 def decode_ids(ids: np.ndarray, model: str = MODEL) -> str:
@@ -167,51 +199,56 @@ def decode_ids(ids: np.ndarray, model: str = MODEL) -> str:
     return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """The columns named in keep with ids (array<int>)."""
+Batches = Iterable[pa.RecordBatch]
+
+
+def encoded(batches: Batches, model: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (text, ...) as (ids, ...)."""
+    known: dict[str, list[int]] = {}
+    for batch in batches:
+        for i, j in doc_slices(batch.column(0), BATCH_BYTES):
+            part = batch.slice(i, j - i)
+            ids = encode_texts(part.column(0).to_pylist(), model, known)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *part.columns[1:]], ["ids", *part.schema.names[1:]])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for i, j in doc_slices(batch.column(0), BATCH_BYTES):
-                part = batch.slice(i, j - i)
-                ids = encode_texts(part.column(0).to_pylist(), model, known)
-                lengths = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(lengths, mask=np.array([*(x is None for x in ids), False])) if any(x is None for x in ids) else pa.array(lengths), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], column], [*part.schema.names[1:], "ids"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
-    return docs.select(docs["text"].alias("_text"), *keep).mapInArrow(run, schema)
+def decoded(batches: Batches, model: str) -> Iterator[pa.RecordBatch]:
+    """Batches of (ids, ...) as (text, ...)."""
+    for batch in batches:
+        column = batch.column(0)
+        flat, offsets, valid = np.asarray(column.values, np.int32), np.asarray(column.offsets), np.asarray(column.is_valid())
+        texts = [decode_ids(flat[a:b], model) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", *batch.schema.names[1:]])
+
+
+def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
+    """ids (array<int>) of text, and the columns named in keep."""
+    schema = ", ".join(["ids array<int>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    return docs.select(docs["text"].alias("_text"), *keep).mapInArrow(lambda batches: encoded(batches, model), schema)
 
 
 def decode(rows: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """The columns named in keep with the text of ids."""
+    """text of ids, and the columns named in keep."""
+    schema = ", ".join(["text string", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)])
+    return rows.select("ids", *keep).mapInArrow(lambda batches: decoded(batches, model), schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                column = part.column(0)
-                flat, offsets = np.asarray(column.values, np.int32), np.asarray(column.offsets)
-                valid = np.asarray(column.is_valid())
-                texts = [decode_ids(flat[a:b], model) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], [*part.schema.names[1:], "text"])
 
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "text string"])
-    return rows.select("ids", *keep).mapInArrow(run, schema)
+def _digest(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Both ways in one pass: batches of (text, doc_id) as (decoded text, doc_id, n_ids, ids_crc32)."""
 
+    def counted(parts: Batches) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            column = part.column(0)
+            flat, offsets = np.asarray(column.values, "<i4"), np.asarray(column.offsets)
+            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], [*part.schema.names, "n_ids", "ids_crc32"])
 
-def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = batch.column(1)
-        flat, offsets = np.asarray(column.values, "<i4"), np.asarray(column.offsets)
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(1)], ["doc_id", "n_ids", "ids_crc32", "ids"])
+    for batch in decoded(counted(encoded(batches, MODEL)), MODEL):
+        crc = [zlib.crc32((t or "").encode()) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(crc, pa.int64())], ["doc_id", "n_ids", "ids_crc32", "decoded_crc32"])
 
 
 def op2_trie_pieces(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids) and the crc32 of the text decoded from them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs, ["doc_id"]).mapInArrow(_crc, "doc_id long, n_ids long, ids_crc32 long, ids array<int>")
-    return decode(ids, ["doc_id", "n_ids", "ids_crc32"]).select("doc_id", "n_ids", "ids_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("decoded_crc32"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.col("doc_id").cast("long"))
+    return docs.mapInArrow(_digest, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long")

@@ -6,7 +6,8 @@ both, so about one suffix in six is enough. The retained suffixes are sorted by
 each is compared with the first suffix of its run in document order. Neighbouring hits on one diagonal
 (document, first document, shift) join to a match, and its ends are extended left and right word by word: by
 fewer than 11 words, for beyond those another suffix would have been retained. Matches of ``least`` words and more
-are repeats.
+are repeats. A passage is so measured against its first document: where a later one shares up to 10 words more at an
+end, those are not added, and a passage that the first shares by 40 to 49 words only is not reported.
 
 Words are runs of non-space bytes, A-Z in lower case. Matches inside one document do not count.
 
@@ -40,15 +41,15 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _powers(_BASE_INV, n)[: n - k + 1])
 
 
-def retained(words: np.ndarray, first: np.ndarray, least: int = LEAST, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, document, position in it) of the retained suffixes; first: where each document's words begin, and their end."""
+def retained(words: np.ndarray, first: np.ndarray, least: int = LEAST, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, position in it, last position of its run) of the retained suffixes; first: where each document's words begin, and their end."""
     g = grams(words, k)
     lengths = np.diff(first)
     doc = np.repeat(np.arange(len(lengths)), np.maximum(lengths - least + 1, 0))
     if not len(doc):
-        return g[:0], doc, doc
+        return g[:0], doc, doc, doc
     skipped = np.cumsum(np.minimum(lengths, least - 1))  # words that begin no window, of this and earlier documents
-    at = np.arange(len(doc)) + np.concatenate(([0], skipped[:-1]))[doc] + 0
+    at = np.arange(len(doc)) + np.concatenate(([0], skipped[:-1]))[doc]
     low, where = g[at], at.copy()
     for j in range(1, least - k + 1):
         other = g[at + j]
@@ -57,9 +58,14 @@ def retained(words: np.ndarray, first: np.ndarray, least: int = LEAST, k: int =
     new = np.concatenate(([True], where[1:] != where[:-1]))
     where, doc = where[new], doc[new]
     key = g[where]
-    run = np.concatenate(([False], (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (where[1:] == where[:-1] + 1)))
-    where, doc, key = where[~run], doc[~run], key[~run]
-    return key, doc, where - first[doc]
+    # a text with a short period holds one gram again and again, in steps of at most k words: one suffix stands for such a run
+    order = np.lexsort((where, key, doc))
+    key, doc, where = key[order], doc[order], where[order]
+    begin = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (where[1:] > where[:-1] + k)))
+    heads = np.flatnonzero(begin)
+    last = where[np.append(heads[1:] - 1, len(where) - 1)]
+    key, doc, where = key[heads], doc[heads], where[heads]
+    return key, doc, where - first[doc], last - first[doc]
 
 
 def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
@@ -68,29 +74,29 @@ def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
             for i, j in doc_slices(batch.column(1)):
                 raw, offsets = string_buffer(batch.column(1).slice(i, j - i))
                 starts, ends, first = word_spans(raw, offsets)
-                key, doc, pos = retained(word_hashes(raw, starts, ends), first, least, k)
+                key, doc, pos, last = retained(word_hashes(raw, starts, ends), first, least, k)
                 ids = np.asarray(batch.column(0).slice(i, j - i), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(pos.astype(np.int32))], ["key", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32))], ["key", "doc", "pos", "last"])
 
-    return docs.mapInArrow(run, "key long, doc long, pos int")
+    return docs.mapInArrow(run, "key long, doc long, pos int, last int")
 
 
 def _with_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over suffixes sorted by key, document, position: each with the first of its run, if that is in another document."""
     last = None
     for batch in batches:
-        key, doc, pos = (np.asarray(c) for c in batch.columns)
+        key, doc, pos, end = (np.asarray(c) for c in batch.columns)
         if not len(key):
             continue
         new = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
         heads, run = np.flatnonzero(new), np.cumsum(new) - 1
         if new[0]:
-            d, p = doc[heads][run], pos[heads][run]
+            d, p, q = doc[heads][run], pos[heads][run], end[heads][run]
         else:
-            d, p = np.append(last[1], doc[heads])[run + 1], np.append(last[2], pos[heads])[run + 1]
-        last = (key[-1], d[-1], p[-1])
+            d, p, q = (np.append(o, c[heads])[run + 1] for o, c in zip(last[1:], (doc, pos, end), strict=True))
+        last = (key[-1], d[-1], p[-1], q[-1])
         ok = d != doc
-        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(d[ok]), pa.array((p[ok] - pos[ok]).astype(np.int32))], ["doc", "pos", "first_doc", "shift"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(end[ok]), pa.array(d[ok]), pa.array((p[ok] - pos[ok]).astype(np.int32)), pa.array((q[ok] - end[ok]).astype(np.int32))], ["doc", "pos", "last", "first_doc", "shift", "end_shift"])
 
 
 def _chains(k: int):
@@ -98,23 +104,20 @@ def _chains(k: int):
         """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words."""
         open_row = None
         for batch in batches:
-            doc, first, shift, pos = (np.asarray(c, np.int64) for c in batch.columns)
+            doc, first, shift, pos, last, end_shift = (np.asarray(c, np.int64) for c in batch.columns)
             if not len(doc):
                 continue
             if open_row is not None:
-                doc, first, shift, pos = (np.append(o, c) for o, c in zip(open_row[:4], (doc, first, shift, pos), strict=True))
-            begin = np.concatenate(([True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1]) | (pos[1:] > pos[:-1] + k)))
-            heads = np.flatnonzero(begin)
-            tails = np.append(heads[1:] - 1, len(doc) - 1)
-            start = pos[heads]
-            if open_row is not None:
-                start[0] = open_row[4]
-            open_row = (doc[-1], first[-1], shift[-1], pos[-1], start[-1])
-            cols = [doc[heads], first[heads], shift[heads], start, pos[tails] + k]
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in cols], ["doc", "first_doc", "shift", "start", "end"])
+                doc, first, shift, pos, last, end_shift = (np.append(o, c) for o, c in zip(open_row, (doc, first, shift, pos, last, end_shift), strict=True))
+            apart = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1])
+            heads = np.flatnonzero(np.concatenate(([True], apart | (pos[1:] > last[:-1] + k))))
+            far = np.maximum.reduceat(last << 32 | (end_shift + (1 << 31)), heads)  # the last position, and the shift there
+            cols = [doc[heads], first[heads], shift[heads], pos[heads], far >> 32, (far & ((1 << 32) - 1)) - (1 << 31)]
+            open_row = tuple(c[-1] for c in cols)  # it may go on in the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in (*cols[:4], cols[4] + k, cols[5])], ["doc", "first_doc", "shift", "start", "end", "end_shift"])
         if open_row is not None:
-            d, f, s, p, a = open_row
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (d, f, s, a, p + k)], ["doc", "first_doc", "shift", "start", "end"])
+            d, f, s, p, last, e = open_row
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (d, f, s, p, last + k, e)], ["doc", "first_doc", "shift", "start", "end", "end_shift"])
 
     return run
 
@@ -160,11 +163,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     """doc_id, start_word, n_words, first_doc_id, first_start_word of each passage that an earlier document (by id) has too."""
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     sorted_suffixes = suffixes(texts, least, gram).repartition("key").sortWithinPartitions("key", "doc", "pos")
-    hits = sorted_suffixes.mapInArrow(_with_first, "doc long, pos int, first_doc long, shift int")
-    diagonals = hits.select("doc", "first_doc", "shift", "pos").repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "shift", "pos")
-    chains = durable(diagonals.mapInArrow(_chains(gram), "doc long, first_doc long, shift long, start long, end long").distinct(), "chains")
+    hits = sorted_suffixes.mapInArrow(_with_first, "doc long, pos int, last int, first_doc long, shift int, end_shift int")
+    diagonals = hits.select("doc", "first_doc", "shift", "pos", "last", "end_shift").repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "shift", "pos")
+    chains = durable(diagonals.mapInArrow(_chains(gram), "doc long, first_doc long, shift long, start long, end long, end_shift long").distinct(), "chains")
 
-    ends = F.explode(F.array(F.struct("doc", F.col("start").alias("pos")), F.struct("doc", F.col("end").alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("start") + F.col("shift")).alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("end") + F.col("shift")).alias("pos"))))
+    ends = F.explode(F.array(F.struct("doc", F.col("start").alias("pos")), F.struct("doc", F.col("end").alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("start") + F.col("shift")).alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("end") + F.col("end_shift")).alias("pos"))))
     wanted = chains.select(ends.alias("e")).select("e.doc", "e.pos").distinct()
     context = durable(_contexts(texts, wanted, least - gram).dropDuplicates(["doc", "pos"]), "contexts")
 
@@ -172,7 +175,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
         return context.select(F.col("doc").alias(f"{prefix}d"), F.col("pos").alias(f"{prefix}p"), F.col("before").alias(f"{prefix}b"), F.col("after").alias(f"{prefix}a"))
 
     c = chains
-    for prefix, doc, pos, column, name in (("w", "doc", "start", "b", "own_left"), ("x", "doc", "end", "a", "own_right"), ("y", "first_doc", "start + shift", "b", "first_left"), ("z", "first_doc", "end + shift", "a", "first_right")):
+    for prefix, doc, pos, column, name in (("w", "doc", "start", "b", "own_left"), ("x", "doc", "end", "a", "own_right"), ("y", "first_doc", "start + shift", "b", "first_left"), ("z", "first_doc", "end + end_shift", "a", "first_right")):
         s = side(prefix)
         c = c.withColumn("at", F.expr(pos)).join(s, (F.col(doc) == s[f"{prefix}d"]) & (F.col("at") == s[f"{prefix}p"])).select(*c.columns, F.col(f"{prefix}{column}").alias(name))
     grown = c.select("doc", "first_doc", "shift", (F.col("start") - _same_words("own_left", "first_left")).alias("start"), (F.col("end") + _same_words("own_right", "first_right")).alias("end"))
@@ -188,8 +191,10 @@ def op10_sparse_suffix_repeats(spark, sf_dir: str) -> DataFrame:
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The documents without the passages' words; n_chars follows the text, and documents that lose all words go."""
     spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))  # bounded by the document's words
-    touched = docs.join(spans, "doc_id", "left")
     names = docs.columns
+    kept = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(names)])  # whatever the columns are called
+    at = {c: f"k{i}" for i, c in enumerate(names)}
+    touched = kept.join(spans, kept[at["doc_id"]] == spans["doc_id"], "left").drop("doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,11 +219,13 @@ def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
                     out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
-    rest = [n for n in names if n != "text"]
-    changed = touched.filter("spans IS NOT NULL").select("text", "spans", *rest).mapInArrow(run, ", ".join(["text string", *(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in rest)])).filter("text IS NOT NULL")
+    rest = [at[c] for c in names if c != "text"]
+    schema = ", ".join(["text string", *(f"{at[c]} {docs.schema[c].dataType.simpleString()}" for c in names if c != "text")])
+    changed = touched.filter("spans IS NOT NULL").select(at["text"], "spans", *rest).mapInArrow(run, schema).filter("text IS NOT NULL").withColumnRenamed("text", at["text"])
     if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return touched.filter("spans IS NULL").select(*names).unionByName(changed.select(*names))
+        changed = changed.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
+    whole = touched.filter("spans IS NULL").select(*at.values()).unionByName(changed.select(*at.values()))
+    return whole.select(*[F.col(k).alias(c) for c, k in at.items()])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
