@@ -83,15 +83,16 @@ def fit(rows: DataFrame, vector: str, sample: int = 20_000, parts: int = 16, wor
     return Index(x, int(min(most_cells, max(1, n**0.5 / 2))), parts, words)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, probes: float = 0.25, shortlist: int = 64, part: int = 4096, vector: str = "embedding", index: Index | None = None) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, probes: float = 0.7, shortlist: int = 64, part: int = 4096, vector: str = "embedding", index: Index | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found for each query row.
 
-    probes is the share of the lists that a query probes (8 lists at least).
+    probes is the share of the lists that a query probes (16 lists at least). Vectors without clusters need a large one: their
+    neighbours lie in most lists.
     """
     rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL")
     index = index or fit(rows, vector)
     width, cells = index.width, len(index.centroids)
-    probed = min(cells, max(8, int(np.ceil(probes * cells))))
+    probed = min(cells, max(16, int(np.ceil(probes * cells))))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
