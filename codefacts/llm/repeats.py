@@ -6,8 +6,9 @@ both, so about one suffix in six is enough. The retained suffixes are sorted by
 each is compared with the first suffix of its run in document order. Neighbouring hits on one diagonal
 (document, first document, shift) join to a match, and its ends are extended left and right word by word: by
 fewer than 11 words, for beyond those another suffix would have been retained. Matches of ``least`` words and more
-are repeats. A passage is so measured against its first document: where a later one shares up to 10 words more at an
-end, those are not added, and a passage that the first shares by 40 to 49 words only is not reported.
+are repeats. Where a suffix and the first of its run share fewer, all windows of ``least`` words around it are compared
+across the corpus, so no passage is missed. A passage is measured against one earlier document: where another shares
+up to 10 words more at an end, those are not added.
 
 Words are runs of non-space bytes, A-Z in lower case. Matches inside one document do not count.
 
@@ -96,28 +97,35 @@ def _with_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, p, q = (np.append(o, c[heads])[run + 1] for o, c in zip(last[1:], (doc, pos, end), strict=True))
         last = (key[-1], d[-1], p[-1], q[-1])
         ok = d != doc
-        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(end[ok]), pa.array(d[ok]), pa.array((p[ok] - pos[ok]).astype(np.int32)), pa.array((q[ok] - end[ok]).astype(np.int32))], ["doc", "pos", "last", "first_doc", "shift", "end_shift"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(end[ok]), pa.array(d[ok]), pa.array((p[ok] - pos[ok]).astype(np.int32)), pa.array((q[ok] - end[ok]).astype(np.int32)), pa.array(key[ok])], ["doc", "pos", "last", "first_doc", "shift", "end_shift", "key"])
 
 
-def _chains(k: int):
+def _chains(k: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words."""
-        open_row = None
+        """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words. keys: those of runs shorter than least."""
+        names = ["doc", "first_doc", "shift", "start", "end", "end_shift", "keys"]
+        open_row, open_keys = None, np.zeros(0, np.int64)
         for batch in batches:
-            doc, first, shift, pos, last, end_shift = (np.asarray(c, np.int64) for c in batch.columns)
+            doc, first, shift, pos, last, end_shift, key = (np.asarray(c, np.int64) for c in batch.columns)
             if not len(doc):
                 continue
             if open_row is not None:
                 doc, first, shift, pos, last, end_shift = (np.append(o, c) for o, c in zip(open_row, (doc, first, shift, pos, last, end_shift), strict=True))
+                key = np.append(open_keys[:1], key)
             apart = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1])
             heads = np.flatnonzero(np.concatenate(([True], apart | (pos[1:] > last[:-1] + k))))
             far = np.maximum.reduceat(last << 32 | (end_shift + (1 << 31)), heads)  # the last position, and the shift there
             cols = [doc[heads], first[heads], shift[heads], pos[heads], far >> 32, (far & ((1 << 32) - 1)) - (1 << 31)]
+            bounds = np.append(heads, len(key))
+            own = [key[a:b] if e + k - p < least else key[:0] for a, b, p, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cols[3].tolist(), cols[4].tolist(), strict=True)]
+            if open_row is not None and len(own[0]):
+                own[0] = np.concatenate((open_keys, own[0][1:]))
             open_row = tuple(c[-1] for c in cols)  # it may go on in the next batch
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in (*cols[:4], cols[4] + k, cols[5])], ["doc", "first_doc", "shift", "start", "end", "end_shift"])
+            open_keys = own[-1] if len(own[-1]) else key[-1:]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[:-1]) for c in (*cols[:4], cols[4] + k, cols[5])), list_array(own[:-1], "i8")], names)
         if open_row is not None:
             d, f, s, p, last, e = open_row
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (d, f, s, p, last + k, e)], ["doc", "first_doc", "shift", "start", "end", "end_shift"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (d, f, s, p, last + k, e)), list_array([open_keys if last + k - p < least else open_keys[:0]], "i8")], names)
 
     return run
 
@@ -159,13 +167,42 @@ def _same_words(a: str, b: str) -> Column:
     return F.when(at == 0, F.size(differs)).otherwise(at - 1).cast("long")
 
 
+def _windows(texts: DataFrame, keys: DataFrame, least: int, k: int) -> DataFrame:
+    """key, doc, pos, last of each window of least words that holds one of these grams (a Bloom filter of fixed size: and of a few more)."""
+    bloom = fixed_bloom(keys, "key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in doc_slices(batch.column(1)):
+                raw, offsets = string_buffer(batch.column(1).slice(i, j - i))
+                starts, ends, first = word_spans(raw, offsets)
+                words = word_hashes(raw, starts, ends)
+                key, doc, pos, _ = retained(words, first, least, k)
+                some = bloom_has(bloom, key.view(np.int64))
+                doc, pos = doc[some], pos[some]
+                at = pos[:, None] - np.arange(least - k + 1)[None, :]
+                ok = (at >= 0) & (at + least <= np.diff(first)[doc][:, None])
+                which = np.nonzero(ok)[0]
+                place = np.unique(doc[which] << 40 | at[ok])
+                doc, at = place >> 40, place & ((1 << 40) - 1)
+                ids, window = np.asarray(batch.column(0).slice(i, j - i), np.int64), grams(words, least)
+                cols = [window[first[doc] + at].view(np.int64), ids[doc], at.astype(np.int32), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc", "pos", "last"])
+
+    return texts.mapInArrow(run, "key long, doc long, pos int, last int")
+
+
+def _matches(found: DataFrame, k: int, least: int) -> DataFrame:
+    """Runs of touching grams on one diagonal, of suffixes (key, doc, pos, last) and the first of their run."""
+    hits = found.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_with_first, "doc long, pos int, last int, first_doc long, shift int, end_shift int, key long")
+    diagonals = hits.select("doc", "first_doc", "shift", "pos", "last", "end_shift", "key").repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "shift", "pos")
+    return diagonals.mapInArrow(_chains(k, least), "doc long, first_doc long, shift long, start long, end long, end_shift long, keys array<long>")
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, start_word, n_words, first_doc_id, first_start_word of each passage that an earlier document (by id) has too."""
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sorted_suffixes = suffixes(texts, least, gram).repartition("key").sortWithinPartitions("key", "doc", "pos")
-    hits = sorted_suffixes.mapInArrow(_with_first, "doc long, pos int, last int, first_doc long, shift int, end_shift int")
-    diagonals = hits.select("doc", "first_doc", "shift", "pos", "last", "end_shift").repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "shift", "pos")
-    chains = durable(diagonals.mapInArrow(_chains(gram), "doc long, first_doc long, shift long, start long, end long, end_shift long").distinct(), "chains")
+    chains = durable(_matches(suffixes(texts, least, gram), gram, least).distinct(), "chains")
 
     ends = F.explode(F.array(F.struct("doc", F.col("start").alias("pos")), F.struct("doc", F.col("end").alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("start") + F.col("shift")).alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("end") + F.col("end_shift")).alias("pos"))))
     wanted = chains.select(ends.alias("e")).select("e.doc", "e.pos").distinct()
@@ -178,8 +215,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     for prefix, doc, pos, column, name in (("w", "doc", "start", "b", "own_left"), ("x", "doc", "end", "a", "own_right"), ("y", "first_doc", "start + shift", "b", "first_left"), ("z", "first_doc", "end + end_shift", "a", "first_right")):
         s = side(prefix)
         c = c.withColumn("at", F.expr(pos)).join(s, (F.col(doc) == s[f"{prefix}d"]) & (F.col("at") == s[f"{prefix}p"])).select(*c.columns, F.col(f"{prefix}{column}").alias(name))
-    grown = c.select("doc", "first_doc", "shift", (F.col("start") - _same_words("own_left", "first_left")).alias("start"), (F.col("end") + _same_words("own_right", "first_right")).alias("end"))
-    return grown.filter(F.col("end") - F.col("start") >= least).select(
+    grown = durable(c.select("doc", "first_doc", "shift", (F.col("start") - _same_words("own_left", "first_left")).alias("start"), (F.col("end") + _same_words("own_right", "first_right")).alias("end"), "keys"), "grown")
+    # where the first document shares fewer words, a later one may share enough: all windows that hold such grams
+    short = durable(grown.filter(F.col("end") - F.col("start") < least).select(F.explode("keys").alias("key")).distinct(), "short")
+    long = grown.filter(F.col("end") - F.col("start") >= least).select("doc", "first_doc", "shift", "start", "end")
+    if not short.isEmpty():
+        long = long.unionByName(_matches(_windows(texts, short, least, gram), least, least).select("doc", "first_doc", "shift", "start", "end"))
+    return long.select(
         F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("first_doc").alias("first_doc_id"), (F.col("start") + F.col("shift")).alias("first_start_word")
     ).distinct()
 
