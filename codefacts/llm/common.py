@@ -50,6 +50,15 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def text_rows(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int, str]:
+    """The columns in keep as k0, k1, ... (whatever they are called) with the text once; where the text stands, and the kept columns as DDL."""
+    kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
+    ddl = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    if "text" in keep:
+        return docs.select(*kept), keep.index("text"), ddl
+    return docs.select(*kept, docs["text"].alias("whole")), len(keep), ddl
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of an id written as text, unsigned; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))

@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     classes = durable(small.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size"), "classes")
     member = durable(small.join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first")), "members")
 
-    copies = member.filter("doc_id <> first").select("doc_id")
+    copies = few_or_joined(member.filter("doc_id <> first").select("doc_id").distinct())
     posted = described.filter("n > 0 AND doc_id IS NOT NULL").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "key"))
     lists = posted.select("key", "id", "n", F.col("pos").cast("long").alias("pos")).repartition("key").sortWithinPartitions("key", "id")
     first = durable(lists.mapInArrow(_star, "kind long, key long, a long, b long, n long, pos long"), "star")
@@ -291,15 +291,16 @@ def op7_set_relation_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str, most: int = 2_000_000) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays, and of rows that repeat its id one.
+def few_or_joined(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """One column of longs for a join: broadcast if it has at most ``most`` rows (16 MB), else left to a shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
-    Up to ``most`` ids of dropped documents are broadcast (16 MB); more are joined by a shuffle.
-    """
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component the document with the smallest id stays, and of rows that repeat its id one."""
     found = durable(near_duplicates(docs.select("doc_id", "text")), "components")
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    drop = F.broadcast(dropped) if dropped.limit(most + 1).count() <= most else dropped
-    kept = docs.join(drop, "doc_id", "left_anti")
+    dropped = few_or_joined(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(dropped, "doc_id", "left_anti")
     twice = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept.select(*docs.columns)

@@ -13,7 +13,7 @@ rows get one prediction each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import crc_of, doc_slices, string_buffer
+from codefacts.llm.common import crc_of, doc_slices, string_buffer, text_rows
 from codefacts.llm.linear import fit_svm, sigmoid
 
 DIMS = 4096
@@ -136,28 +136,26 @@ def train(docs: DataFrame, may_learn: Column, per_lang: int = 500) -> Model:
     return Model(sorted(counts), x, np.array(rows["lang"].to_pylist(), object))
 
 
-def predictor(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (text, ...): the other columns and lang_pred, lang_score."""
+def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lang, score = model.predict(gram_shares(*string_buffer(texts)))
+    none = ~np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
+    lang[none], score[none] = UNDETERMINED, 0.0
+    return lang, score
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns named in keep (text may be one of them), with lang_pred and lang_score."""
+    rows, at, ddl = text_rows(docs, keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in doc_slices(batch.column(0)):
+            for i, j in doc_slices(batch.column(at)):
                 part = batch.slice(i, j - i)
-                texts = part.column(0)
-                lang, score = model.predict(gram_shares(*string_buffer(texts)))
-                none = ~np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
-                lang[none], score[none] = UNDETERMINED, 0.0
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang.tolist(), pa.string()), pa.array(score)], [*part.schema.names[1:], "lang_pred", "lang_score"])
-
-    return run
-
+                lang, score = predict(model, part.column(at))
+                n = len(keep)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang.tolist(), pa.string()), pa.array(score)], [*part.schema.names[:n], "lang_pred", "lang_score"])
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns named in keep (text may be one of them), with lang_pred and lang_score."""
-    kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(docs["text"].alias("whole"), *kept)
-    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string", "lang_score double"])
-    out = rows.mapInArrow(predictor(model), schema)
+    out = rows.mapInArrow(run, f"{ddl}, lang_pred string, lang_score double")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "lang_score")
 
 
@@ -171,4 +169,13 @@ def op1_hierarchical_language_id(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.25) -> DataFrame:
     """Pipeline stage: documents whose language is undetermined or that no language claims with a score of ``least`` go."""
     model = train(docs, F.lit(True))
-    return identify(docs, model, docs.columns).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*docs.columns)
+    rows, at, ddl = text_rows(docs, docs.columns)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in doc_slices(batch.column(at)):
+                part = batch.slice(i, j - i)
+                lang, score = predict(model, part.column(at))
+                yield part.filter(pa.array((lang != UNDETERMINED) & (score >= least), pa.bool_()))
+
+    return rows.mapInArrow(keep, ddl).toDF(*docs.columns)

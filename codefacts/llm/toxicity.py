@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import _LOWER, crc_of, doc_slices, mix, string_buffer, word_spans
+from codefacts.llm.common import _LOWER, crc_of, doc_slices, mix, string_buffer, text_rows, word_spans
 from codefacts.llm.linear import fit_sigmoid, fit_svm, sigmoid
 
 ORDER, DECAY, WIDTH, STRIDE = 3, 0.8, 24, 12
@@ -260,23 +260,27 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
         rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(features, "toxic int, x binary").toArrow()
     finally:
         sample.unpersist()
-    x = np.array([np.frombuffer(v, np.float32) for v in rows["x"].to_pylist()], np.float64).reshape(-1, len(landmarks))
+    x = np.array([np.frombuffer(v, np.float32) for v in rows["x"].to_pylist()], np.float64).reshape(rows.num_rows, len(landmarks))
     return Model(landmarks, x, np.array(rows["toxic"].to_pylist(), float))
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns named in keep with toxic_score."""
+def score_texts(docs: DataFrame, model: Model, keep: list[str], below: float | None = None) -> DataFrame:
+    """The columns named in keep with toxic_score; with below, only rows under that score, without the score."""
+    rows, at, ddl = text_rows(docs, keep)
+    n = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in doc_slices(batch.column(0)):
+            for i, j in doc_slices(batch.column(at)):
                 part = batch.slice(i, j - i)
-                s = model.score(pooled(*string_buffer(part.column(0)), model.landmarks).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s)], [*part.schema.names[1:], "toxic_score"])
+                s = model.score(pooled(*string_buffer(part.column(at)), model.landmarks).astype(np.float64))
+                if below is not None:
+                    yield part.select(part.schema.names[:n]).filter(pa.array(s < below, pa.bool_()))
+                else:
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s)], [*part.schema.names[:n], "toxic_score"])
 
-    rows = docs.select(docs["text"].alias("whole"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
-    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "toxic_score double"])
-    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "toxic_score")
+    out = rows.mapInArrow(run, ddl if below is not None else f"{ddl}, toxic_score double")
+    return out.toDF(*keep) if below is not None else out.toDF(*keep, "toxic_score")
 
 
 def op8_string_kernel_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -290,4 +294,4 @@ def op8_string_kernel_toxicity(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score reaches THRESHOLD go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score_texts(docs, train(docs, labels, F.lit(True)), docs.columns).filter(F.col("toxic_score") < THRESHOLD).select(*docs.columns)
+    return score_texts(docs, train(docs, labels, F.lit(True)), docs.columns, below=THRESHOLD)

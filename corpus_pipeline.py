@@ -13,12 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from codefacts.llm import jaccard, langid, packing, repeats, toxicity
 from codefacts.llm.common import durable
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxicity.stage),
-    ("language_id", langid.stage),
-    ("jaccard_join", jaccard.stage),
-    ("suffix_dedup", repeats.stage),
-    ("packing", packing.stage),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows of an Arrow batch while the pipeline runs: some documents are very long.
+BATCH_ROWS = "1024"
+
+
+def _short_batches(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _short_batches(toxicity.stage)),
+    ("language_id", _short_batches(langid.stage)),
+    ("jaccard_join", _short_batches(jaccard.stage)),
+    ("suffix_dedup", _short_batches(repeats.stage)),
+    ("packing", _short_batches(packing.stage)),
 ]
 
 #: Trained classifiers decide in the first two stages, which SQL can't express.
