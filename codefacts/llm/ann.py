@@ -8,7 +8,8 @@ double precision, and the best k of all parts are the answer. Lists are dealt in
 their queries in parts of ``part`` too, so a centroid that a third of the vectors share is searched by many tasks.
 
 Edge cases: vectors that are null, zero, of another width than most or hold null or non-finite components take
-no part; ties go to the smaller id; repeated vectors are answers like any other; a query is not its own answer
+no part; ties go to the smaller id; repeated vectors are answers like any other, repeated rows
+count once; a query is not its own answer
 (nor are rows with its id); fewer rows than centroids or k give what there is; an empty table gives an empty result.
 """
 
@@ -79,7 +80,7 @@ def fit(rows: DataFrame, vector: str, sample: int = 20_000, parts: int = 16, wor
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[(x != 0).any(1)]], pa.binary())], ["x"])
 
     got = rows.filter(draw < share).select(vector).limit(2 * sample).mapInArrow(take, "x binary").toArrow()["x"].to_pylist()
-    x = np.array([np.frombuffer(v) for v in got]).reshape(-1, width)
+    x = np.array([np.frombuffer(v) for v in got]).reshape(len(got), width)
     return Index(x, int(min(most_cells, max(1, n**0.5 / 2))), parts, words)
 
 
@@ -89,7 +90,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, probes: float = 0.7,
     probes is the share of the lists that a query probes (16 lists at least). Vectors without clusters need a large one: their
     neighbours lie in most lists.
     """
-    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL")
+    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL").dropDuplicates(["vec_id", vector])
     index = index or fit(rows, vector)
     width, cells = index.width, len(index.centroids)
     probed = min(cells, max(16, int(np.ceil(probes * cells))))

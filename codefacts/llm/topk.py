@@ -8,7 +8,7 @@ carry most of the product; a vector whose partial sum plus the product of the re
 bar is dropped, and only the others are multiplied exactly. The bar rises with every run of vectors.
 
 Edge cases: vectors that are null, of another width than most or hold null or non-finite components take no part
-(zero vectors do); ties go to the smaller id; repeated vectors are answers like any other; a query is not its own
+(zero vectors do); ties go to the smaller id; repeated vectors are answers like any other, repeated rows count once; a query is not its own
 answer; fewer than k candidates give what there is; an empty table gives an empty result.
 """
 
@@ -41,7 +41,7 @@ def _ints(width: int, scale: float):
 
 
 def _stack(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    return np.array([np.frombuffer(v) for v in column.to_pylist()]).reshape(-1, width)
+    return np.array([np.frombuffer(v) for v in column.to_pylist()]).reshape(len(column), width)
 
 
 def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def top_products(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vector: str = "embedding", block: int = 4096, chunk: int = 512, prefix: int = 16) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of each query row with all other rows."""
     spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL")
+    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL").dropDuplicates(["vec_id", vector])
     width = common_width(rows, vector)
     ints = rows.mapInArrow(_ints(width, scale), "vec_id long, is_query boolean, norm2 double, v binary")
     n = rows.count()
