@@ -123,6 +123,8 @@ def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]
             continue
         names = _names(attrs.get("class", "")) | _names(attrs.get("id", ""))
         inside = any(s[0] in INSIDE for s in stack)
+        if inside:
+            names -= {"header"}  # an article's own head belongs to it
         bad = (
             (tag in DROPPED and not (tag == "header" and inside))
             or attrs.get("role", "").lower() in DROPPED_ROLES
@@ -153,8 +155,12 @@ def best_path(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -
             path, share = path[:-1], share / 3
     if not score:
         return ""
-    # an article or main element that holds nearly all of the text that the best container holds is the better unit
-    return "/".join(max(score, key=lambda p: (score[p] * (1.5 if p[-1].split(".")[0] in INSIDE else 1.0), -len(p), p)))
+    best = max(score, key=lambda p: (score[p], -len(p), p))
+    for tag in INSIDE:  # the whole article that holds it, if the page marks one
+        for n, label in enumerate(best):
+            if label.split(".")[0] == tag:
+                return "/".join(best[: n + 1])
+    return "/".join(best)
 
 
 def extract(page: str | None, winner: str | None) -> str:

@@ -360,6 +360,12 @@ def test_main_text_of_pages(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_marked_article_is_read_whole():
+    page = "<main><article class='a1'><div class='entry-header'><h1>Head</h1></div><div class='lead'><p>Lead text.</p></div><div class='story'><p>The story, which is long, and longer, and holds most words.</p></div><section class='reader-comments'><p>Me too, me too, me too, me too.</p></section></article><div class='related'>More</div></main>"
+    assert htmltext.best_path(*htmltext.blocks(page)) == "main/article.a#"
+    assert htmltext.extract(page, "main/article.a#") == "Head Lead text. The story, which is long, and longer, and holds most words."
+
+
 def test_host_consensus_beats_one_page(spark):
     """A page whose longest container is not the host's article path is read from the host's path."""
     usual = "<body><div class='story'><p>{t}, a story, told at length, with commas, and words.</p></div><div class='extra'><p>x</p></div></body>"
