@@ -199,6 +199,11 @@ def _of_documents(docs: DataFrame, ids: DataFrame, make, schema: str, k: int) ->
     return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"id long, n int, x {schema}")
 
 
+def few_or_joined(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A column or two of longs for a join: broadcast if it has at most ``most`` rows (16 MB a column), else left to a shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def check(docs: DataFrame, pairs: DataFrame, bits: DataFrame, k: int = WORDS) -> DataFrame:
     """a, b, na, nb, shared of the pairs that the bitmaps of both leave possible; exact, from sets made anew from the texts.
 
@@ -206,8 +211,9 @@ def check(docs: DataFrame, pairs: DataFrame, bits: DataFrame, k: int = WORDS) ->
     """
 
     def joined(rows: DataFrame, own: DataFrame) -> DataFrame:
+        rows = few_or_joined(rows, 500_000)  # narrow rows: where they are few, what they name needs no shuffle for the first side
         for side in ("b", "a"):
-            rows = rows.join(own.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("x").alias(f"x{side}")), side)
+            rows = own.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("x").alias(f"x{side}")).join(rows, side)
         return rows
 
     def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +297,6 @@ def op7_set_relation_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def few_or_joined(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """One column of longs for a join: broadcast if it has at most ``most`` rows (16 MB), else left to a shuffle."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
-
-
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays, and of rows that repeat its id one."""
     found = durable(near_duplicates(docs.select("doc_id", "text")), "components")
