@@ -140,12 +140,12 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def doc_slices(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with some MB of text each (at least one row)."""
+def doc_slices(texts: pa.Array, size: int = 1 << 21, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with a few MB of text each and no more than so many rows (at least one): what one numpy step holds."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     i, ends = 0, np.cumsum(lengths)
     while i < len(lengths):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
+        j = max(i + 1, min(i + rows, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right"))))
         yield i, j
         i = j
 

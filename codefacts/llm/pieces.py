@@ -206,7 +206,7 @@ def encoded(batches: Batches, model: str) -> Iterator[pa.RecordBatch]:
     """Batches of (text, ...) as (ids, ...)."""
     known: dict[str, list[int]] = {}
     for batch in batches:
-        for i, j in doc_slices(batch.column(0), BATCH_BYTES):
+        for i, j in doc_slices(batch.column(0), BATCH_BYTES, 4096):
             part = batch.slice(i, j - i)
             ids = encode_texts(part.column(0).to_pylist(), model, known)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *part.columns[1:]], ["ids", *part.schema.names[1:]])

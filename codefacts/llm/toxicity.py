@@ -65,11 +65,14 @@ def kernel(words: np.ndarray, other: np.ndarray) -> np.ndarray:
     return total
 
 
-def padded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The words' bytes as rows of up to WIDTH, padded by 0."""
-    width = int(min(WIDTH, (ends - starts).max(initial=1)))
-    at = starts[:, None] + np.arange(width)
-    return np.where(at < ends[:, None], raw[np.minimum(at, len(raw) - 1)], 0).astype(np.uint8)
+def padded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """The words' bytes as rows of WIDTH, padded by 0; by blocks, as the indices take eight times the room of the bytes."""
+    out = np.zeros((len(starts), WIDTH), np.uint8)
+    for i in range(0, len(starts), block):
+        a, b = starts[i : i + block], ends[i : i + block]
+        at = a[:, None] + np.arange(WIDTH)
+        out[i : i + block] = np.where(at < b[:, None], raw[np.minimum(at, len(raw) - 1)], 0)
+    return out
 
 
 def normalised(words: np.ndarray, other: np.ndarray, self_words: np.ndarray | None = None) -> np.ndarray:
@@ -151,9 +154,7 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, landmarks: list[bytes]) -> np.n
     a, b, t = a[long_enough], b[long_enough], t[long_enough]
     if not len(a) or not landmarks:
         return out
-    rows = np.zeros((len(a), WIDTH), np.uint8)
-    found = padded(low, a, b)
-    rows[:, : found.shape[1]] = found
+    rows = padded(low, a, b)
     parts = rows.view(np.uint64)
     _, first, back = np.unique(mix(parts[:, 0] + mix(parts[:, 1] + mix(parts[:, 2]))), return_index=True, return_inverse=True)
     words, lengths = rows[first], (b - a)[first]
