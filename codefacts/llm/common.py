@@ -6,6 +6,7 @@ Nothing here holds a corpus: word and shingle hashes are made per Arrow batch in
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
+#: glibc's; other C libraries have none
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,7 +83,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -140,7 +143,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def doc_slices(texts: pa.Array, size: int = 1 << 21, rows: int = 1024) -> Iterator[tuple[int, int]]:
+def doc_slices(texts: pa.Array, size: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[int, int]]:
     """Ranges of rows with a few MB of text each and no more than so many rows (at least one): what one numpy step holds."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     i, ends = 0, np.cumsum(lengths)
@@ -148,6 +151,14 @@ def doc_slices(texts: pa.Array, size: int = 1 << 21, rows: int = 1024) -> Iterat
         j = max(i + 1, min(i + rows, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right"))))
         yield i, j
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps Python workers for later stages, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def list_array(parts: list[np.ndarray], dtype: str) -> pa.Array:

@@ -26,7 +26,7 @@ from codefacts.llm.common import crc_of, doc_slices, string_buffer, text_rows
 from codefacts.llm.linear import fit_svm, sigmoid
 
 DIMS = 4096
-SLICE = 1 << 20
+SLICE = 1 << 19
 UNDETERMINED = "und"
 #: Language code -> family. A language not listed is a family of its own.
 FAMILIES = {
@@ -119,7 +119,7 @@ class Model:
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, rest = batch.column(0), batch.column(1)
-        for i, j in doc_slices(texts, SLICE, 256):
+        for i, j in doc_slices(texts, SLICE, 128):
             x = gram_shares(*string_buffer(texts.slice(i, j - i))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([rest.slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in doc_slices(batch.column(at), SLICE, 256):
+            for i, j in doc_slices(batch.column(at), SLICE, 128):
                 part = batch.slice(i, j - i)
                 lang, score = predict(model, part.column(at))
                 n = len(keep)
@@ -174,7 +174,7 @@ def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.25) -> DataFrame
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in doc_slices(batch.column(at), SLICE, 256):
+            for i, j in doc_slices(batch.column(at), SLICE, 128):
                 part = batch.slice(i, j - i)
                 lang, score = predict(model, part.column(at))
                 yield part.filter(pa.array((lang != UNDETERMINED) & (score >= least), pa.bool_()))
