@@ -7,7 +7,9 @@ each is compared with the first suffix of its run in document order. Neighbourin
 (document, first document, shift) join to a match, and its ends are extended left and right word by word: by
 fewer than 11 words, for beyond those another suffix would have been retained. Matches of ``least`` words and more
 are repeats. Where a suffix and the first of its run share fewer, all windows of ``least`` words around it are compared
-across the corpus, so no passage is missed. A passage is measured against one earlier document: where another shares
+across the corpus, so no passage is missed. A text that repeats fewer than ``gram`` + 1 words on and on is one suffix with
+a last position; two such runs of unlike length share all words only if both have ``least``, else their windows are
+compared, too. A passage is measured against one earlier document: where another shares
 up to 10 words more at an end, those are not added.
 
 Words are runs of non-space bytes, A-Z in lower case. Matches inside one document do not count.
@@ -42,6 +44,29 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _powers(_BASE_INV, n)[: n - k + 1])
 
 
+def periods(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The smallest period of the n words from each of these positions on; n if there is none."""
+    out = np.full(len(at), n)
+    for i in range(0, len(at), 4096):
+        w = words[at[i : i + 4096, None] + np.arange(n)]
+        for p in range(n - 1, 0, -1):
+            out[i : i + 4096][(w[:, p:] == w[:, :-p]).all(1)] = p
+    return out
+
+
+def _runs(words: np.ndarray, key: np.ndarray, doc: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, position, last position): one for each run in which grams of n words come again after their smallest period."""
+    order = np.lexsort((where, key, doc))
+    key, doc, where = key[order], doc[order], where[order]
+    step = np.where((key[1:] == key[:-1]) & (doc[1:] == doc[:-1]), where[1:] - where[:-1], n + 1)
+    again = np.flatnonzero(step <= n)
+    _, one, back = np.unique(key[again], return_index=True, return_inverse=True)
+    begin = np.ones(len(key), bool)
+    begin[again + 1] = step[again] != periods(words, where[again[one]], n)[back.ravel()]
+    heads = np.flatnonzero(begin)
+    return key[heads], doc[heads], where[heads], where[np.append(heads[1:], len(where))[: len(heads)] - 1]
+
+
 def retained(words: np.ndarray, first: np.ndarray, least: int = LEAST, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, document, position in it, last position of its run) of the retained suffixes; first: where each document's words begin, and their end."""
     g = grams(words, k)
@@ -58,14 +83,8 @@ def retained(words: np.ndarray, first: np.ndarray, least: int = LEAST, k: int =
         low[less], where[less] = other[less], at[less] + j
     new = np.concatenate(([True], where[1:] != where[:-1]))
     where, doc = where[new], doc[new]
-    key = g[where]
-    # a text with a short period holds one gram again and again, in steps of at most k words: one suffix stands for such a run
-    order = np.lexsort((where, key, doc))
-    key, doc, where = key[order], doc[order], where[order]
-    begin = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (where[1:] > where[:-1] + k)))
-    heads = np.flatnonzero(begin)
-    last = where[np.append(heads[1:] - 1, len(where) - 1)]
-    key, doc, where = key[heads], doc[heads], where[heads]
+    # a text with a short period holds one gram again and again: one suffix stands for such a run
+    key, doc, where, last = _runs(words, g[where], doc, where, k)
     return key, doc, where - first[doc], last - first[doc]
 
 
@@ -102,7 +121,7 @@ def _with_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chains(k: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words. keys: those of runs shorter than least."""
+        """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words; a hit of unlike lengths stays alone. keys: those of runs shorter than least in either document."""
         names = ["doc", "first_doc", "shift", "start", "end", "end_shift", "keys"]
         open_row, open_keys = None, np.zeros(0, np.int64)
         for batch in batches:
@@ -112,12 +131,14 @@ def _chains(k: int, least: int):
             if open_row is not None:
                 doc, first, shift, pos, last, end_shift = (np.append(o, c) for o, c in zip(open_row, (doc, first, shift, pos, last, end_shift), strict=True))
                 key = np.append(open_keys[:1], key)
-            apart = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1])
+            uneven = shift != end_shift
+            apart = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1]) | uneven[1:] | uneven[:-1]
             heads = np.flatnonzero(np.concatenate(([True], apart | (pos[1:] > last[:-1] + k))))
             far = np.maximum.reduceat(last << 32 | (end_shift + (1 << 31)), heads)  # the last position, and the shift there
             cols = [doc[heads], first[heads], shift[heads], pos[heads], far >> 32, (far & ((1 << 32) - 1)) - (1 << 31)]
             bounds = np.append(heads, len(key))
-            own = [key[a:b] if e + k - p < least else key[:0] for a, b, p, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cols[3].tolist(), cols[4].tolist(), strict=True)]
+            shared = np.minimum(cols[4] - cols[3], cols[4] - cols[3] + cols[5] - cols[2]) + k
+            own = [key[a:b] if n < least else key[:0] for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), shared.tolist(), strict=True)]
             if open_row is not None and len(own[0]):
                 own[0] = np.concatenate((open_keys, own[0][1:]))
             open_row = tuple(c[-1] for c in cols)  # it may go on in the next batch
@@ -125,7 +146,7 @@ def _chains(k: int, least: int):
             yield pa.RecordBatch.from_arrays([*(pa.array(c[:-1]) for c in (*cols[:4], cols[4] + k, cols[5])), list_array(own[:-1], "i8")], names)
         if open_row is not None:
             d, f, s, p, last, e = open_row
-            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (d, f, s, p, last + k, e)), list_array([open_keys if last + k - p < least else open_keys[:0]], "i8")], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (d, f, s, p, last + k, e)), list_array([open_keys if min(last - p, last - p + e - s) + k < least else open_keys[:0]], "i8")], names)
 
     return run
 
@@ -177,16 +198,18 @@ def _windows(texts: DataFrame, keys: DataFrame, least: int, k: int) -> DataFrame
                 raw, offsets = string_buffer(batch.column(1).slice(i, j - i))
                 starts, ends, first = word_spans(raw, offsets)
                 words = word_hashes(raw, starts, ends)
-                key, doc, pos, _ = retained(words, first, least, k)
+                key, doc, pos, last = retained(words, first, least, k)
                 some = bloom_has(bloom, key.view(np.int64))
-                doc, pos = doc[some], pos[some]
-                at = pos[:, None] - np.arange(least - k + 1)[None, :]
-                ok = (at >= 0) & (at + least <= np.diff(first)[doc][:, None])
-                which = np.nonzero(ok)[0]
-                place = np.unique(doc[which] << 40 | at[ok])
+                doc, pos, last = doc[some], pos[some], last[some]
+                low, high = np.maximum(pos - (least - k), 0), np.minimum(last, np.diff(first)[doc] - least)
+                n = np.maximum(high - low + 1, 0)
+                at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+                place = np.unique(np.repeat(doc, n) << 40 | at)
                 doc, at = place >> 40, place & ((1 << 40) - 1)
                 ids, window = np.asarray(batch.column(0).slice(i, j - i), np.int64), grams(words, least)
-                cols = [window[first[doc] + at].view(np.int64), ids[doc], at.astype(np.int32), at.astype(np.int32)]
+                where = first[doc] + at
+                key, doc, where, last = _runs(words, window[where], doc, where, least)
+                cols = [key.view(np.int64), ids[doc], (where - first[doc]).astype(np.int32), (last - first[doc]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc", "pos", "last"])
 
     return texts.mapInArrow(run, "key long, doc long, pos int, last int")
@@ -215,10 +238,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     for prefix, doc, pos, column, name in (("w", "doc", "start", "b", "own_left"), ("x", "doc", "end", "a", "own_right"), ("y", "first_doc", "start + shift", "b", "first_left"), ("z", "first_doc", "end + end_shift", "a", "first_right")):
         s = side(prefix)
         c = c.withColumn("at", F.expr(pos)).join(s, (F.col(doc) == s[f"{prefix}d"]) & (F.col("at") == s[f"{prefix}p"])).select(*c.columns, F.col(f"{prefix}{column}").alias(name))
-    grown = durable(c.select("doc", "first_doc", "shift", (F.col("start") - _same_words("own_left", "first_left")).alias("start"), (F.col("end") + _same_words("own_right", "first_right")).alias("end"), "keys"), "grown")
+    grown = durable(c.select("doc", "first_doc", "shift", (F.col("start") - _same_words("own_left", "first_left")).alias("start"), (F.col("end") + _same_words("own_right", "first_right")).alias("end"), "end_shift", "keys"), "grown")
     # where the first document shares fewer words, a later one may share enough: all windows that hold such grams
-    short = durable(grown.filter(F.col("end") - F.col("start") < least).select(F.explode("keys").alias("key")).distinct(), "short")
-    long = grown.filter(F.col("end") - F.col("start") >= least).select("doc", "first_doc", "shift", "start", "end")
+    few = (F.col("end") - F.col("start") < least) | ((F.col("shift") != F.col("end_shift")) & (F.size("keys") > 0))
+    short = durable(grown.filter(few).select(F.explode("keys").alias("key")).distinct(), "short")
+    long = grown.filter(~few).select("doc", "first_doc", "shift", "start", "end")
     if not short.isEmpty():
         long = long.unionByName(_matches(_windows(texts, short, least, gram), least, least).select("doc", "first_doc", "shift", "start", "end"))
     return long.select(

@@ -155,6 +155,30 @@ def test_a_passage_that_the_first_document_shares_in_part_only(spark):
     assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(3, 2)} and len(covered) >= 50 and covered <= set(range(60))
 
 
+def test_repeated_lines_of_unlike_lengths_equal_brute_force(spark):
+    """An earlier document repeats a line too few times for 50 words, later ones much more often, or between the same words."""
+    rows = []
+    for period in (1, 3, 8, 37, 40):
+        for order in (range(12), (4, 0, 3, 5, 2, 1, 8, 6, 7, 10, 11, 9), (0, 3), (1, 2), (2, 1)):
+            own = len(rows)
+            run = [f"l{own}x{i}" for i in range(period)] * 300
+            other = [f"{c}{own}x{i}" for c in "mn" for i in range(6)]
+            texts = [
+                ["a"] + run[:48] + ["b"], other[:6] + run[:80] + other[6:], other[:6] + run[:40] + other[6:], run[:240], ["c", *run[:46], "d"], run[:240] + ["e"],
+                ["f", *run[3:52], "g"], run[5:60], other[:6] + run[:43] + other[6:], run[:period][::-1] * 60, run[:41] + ["h"] + run[:240] + ["i"] + run[:49], run[:500],
+            ]
+            rows += [(own + n, " ".join(texts[i])) for n, i in enumerate(order)]
+    rows += [(len(rows) + n, f"only{n} " * 3) for n in range(20)]
+    found: dict[int, set] = {i: set() for i, _ in rows}
+    for p in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert p["n_words"] >= 50 and p["first_doc_id"] < p["doc_id"]
+        found[p["doc_id"]] |= set(range(p["start_word"], p["start_word"] + p["n_words"]))
+    brute = brute_repeated(rows)
+    for i, words in found.items():
+        assert words <= brute[i], i
+        assert all(words & set(range(w - 10, w + 11)) for w in brute[i] - words), i
+
+
 def test_repeats_cut_and_odd_rows(spark):
     shared = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"head one {shared} tail", "en", "s", 1), (2, f"other  start\n{shared}\nend", "en", "s", 1), (3, shared, "en", "s", 1), (4, "clean text stays", "en", "s", 1)]
