@@ -3,7 +3,9 @@
 A page is read once into blocks of text, each under the path of its containers (tag and class names, digits
 generalised), leaving out what is not content by its tag, role or class: menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments. Every page scores its containers (text that is not
-link text, the parent of a block in full, each level above at two thirds less) and votes for the best one's path.
+link text, the parent of a block in full, each level above at two thirds less) and votes for the path of the article or
+main element around the best one or, without such, of the container that holds it and all other text that is not a list
+of links (a branch beside the best container, more than half link text; first and second headings are no links).
 Votes are counted for each host in Spark, and every page is then extracted again from its host's winning path;
 a page without that path uses its own best container, and one without any container its whole body.
 
@@ -42,6 +44,8 @@ DROPPED_NAMES = frozenset(
     popup modal overlay toolbar pagination pager widget widgets skip login copyright""".split()
 )
 INSIDE = ("article", "main")
+HEADINGS = ("h1", "h2")
+WORD = re.compile(r"\w\w")
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -65,7 +69,7 @@ def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]
     stack: list[tuple[str, str | None, bool]] = []  # tag, label of a container, whether its content is dropped
     here, drop, links = 0, 0, 0
     text: list[str] = []
-    linked = 0
+    linked, heading = 0, False
 
     def close_block() -> None:
         nonlocal linked
@@ -93,15 +97,17 @@ def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]
             piece = m[0]
             if not drop and not piece.startswith(("<!", "<?")):
                 text.append(piece)
-                if links:
+                if links and not heading:
                     linked += len(piece)
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCKS and not drop:
-                close_block()
+            if tag in BLOCKS:
+                heading = False
+                if not drop:
+                    close_block()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     close_block() if not drop else text.clear()
@@ -117,6 +123,8 @@ def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]
             continue
         if tag == "a":
             links += 1
+        if tag in BLOCKS and tag not in VOID:
+            heading = tag in HEADINGS
         if tag in BLOCKS and not drop:
             close_block()
         if tag in VOID:
@@ -144,8 +152,8 @@ def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]
     return paths, out
 
 
-def best_path(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> str:
-    """The page's own best container, as a path; empty without text."""
+def _core(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> tuple[str, ...]:
+    """The container with most text of its own; empty without text in containers."""
     score: dict[tuple[str, ...], float] = {}
     for at, text, linked in found:
         value = (len(text) - linked) * (1 - linked / len(text)) + 20 * text.count(", ")
@@ -153,14 +161,54 @@ def best_path(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -
         while path and share > 0.01:
             score[path] = score.get(path, 0.0) + value * share
             path, share = path[:-1], share / 3
-    if not score:
-        return ""
-    best = max(score, key=lambda p: (score[p], -len(p), p))
-    for tag in INSIDE:  # the whole article that holds it, if the page marks one
-        for n, label in enumerate(best):
+    return max(score, key=lambda p: (score[p], -len(p), p), default=())
+
+
+def _article(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The whole article that a path lies in, if one is marked; else empty."""
+    for tag in INSIDE:
+        for n, label in enumerate(path):
             if label.split(".")[0] == tag:
-                return "/".join(best[: n + 1])
-    return "/".join(best)
+                return path[: n + 1]
+    return ()
+
+
+def _branches(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]], core: tuple[str, ...]) -> list[tuple[str, ...] | None]:
+    """Of each path the branch in which it leaves the way to core; None in core itself and in branches that are lists of links."""
+    branch: list[tuple[str, ...] | None] = []
+    for path in paths:
+        n = 0
+        while n < min(len(path), len(core)) and path[n] == core[n]:
+            n += 1
+        branch.append(None if n == len(core) else path[: n + 1])
+    size: dict[tuple[str, ...], list[int]] = {}
+    for at, text, linked in found:
+        if (b := branch[at]) is not None:
+            total = size.setdefault(b, [0, 0])
+            total[0] += len(text)
+            total[1] += linked
+    return [None if b is None or b in size and 2 * size[b][1] > size[b][0] else b for b in branch]
+
+
+def best_path(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> str:
+    """The container of all of the page's own main text, as a path; empty without text, and if no container holds all."""
+    core = _core(paths, found)
+    if article := _article(core):
+        return "/".join(article)
+    branch, depth = _branches(paths, found, core), len(core)
+    for at, text, _ in found:
+        if (b := branch[at]) is not None and WORD.search(text):
+            depth = min(depth, len(b) - (b != core[: len(b)]))
+    return "/".join(core[:depth])
+
+
+def _main_blocks(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> str:
+    """The text of these blocks without lists of links beside the container with most text; of a marked article all."""
+    core = _core(paths, found)
+    if _article(core):
+        return " ".join(text for _, text, _ in found)
+    branch = _branches(paths, found, core)
+    return " ".join(text for at, text, _ in found if branch[at] is not None or paths[at][: len(core)] == core)
 
 
 def extract(page: str | None, winner: str | None) -> str:
@@ -168,13 +216,13 @@ def extract(page: str | None, winner: str | None) -> str:
     if not page:
         return ""
     paths, found = blocks(page)
-    wanted = [tuple(w.split("/")) for w in (winner, best_path(paths, found)) if w]
-    for path in wanted:
+    for wanted in (lambda: winner, lambda: best_path(paths, found)):
+        path = tuple((wanted() or "").split("/"))
         under = {i for i, p in enumerate(paths) if p[: len(path)] == path}
-        words = [text for at, text, _ in found if at in under]
-        if words:
-            return " ".join(words)
-    return " ".join(text for _, text, _ in found)
+        some = [b for b in found if b[0] in under]
+        if some:
+            return _main_blocks(paths, some)
+    return _main_blocks(paths, found)
 
 
 def votes(pages: DataFrame) -> DataFrame:

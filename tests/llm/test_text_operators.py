@@ -390,6 +390,23 @@ def test_a_marked_article_is_read_whole():
     assert htmltext.extract(page, "main/article.a#") == "Head Lead text. The story, which is long, and longer, and holds most words."
 
 
+def test_pages_without_a_marked_article_are_read_whole():
+    """Heading and lead beside the story, two sections, and a list or table that is most of the page; menus of links stay out."""
+    links = "<div class='top'>" + "".join(f"<a href='/{i}'>Somewhere else {i}</a> " for i in range(30)) + "</div>"
+    story, lead = "The story is told here at length. " * 30, "What the story is about, told in some words before it. " * 2
+    parts = [
+        ([("<h1>Head</h1>", "Head"), (f"<div class='lead'><p>{lead}</p></div>", lead), (f"<div class='story'><p>{story}</p></div>", story)]),
+        ([("<h1><a href='/x'>Head of it</a></h1>", "Head of it"), (f"<section class='one'><p>{story}</p></section>", story), (f"<section class='two'><p>{lead}</p></section>", lead)]),
+        ([("<h2>Steps</h2><p>Do this:</p>", "Steps Do this:"), ("<ul>" + f"<li>{lead}</li>" * 20 + "</ul>", lead * 20), ("<p>Done.</p>", "Done.")]),
+        ([("<p>Prices of all kinds.</p>", "Prices of all kinds."), ("<table><tr>" + f"<td>{lead}</td>" * 20 + "</tr></table>", lead * 20)]),
+    ]
+    for part in parts:
+        inner, text = "".join(h for h, _ in part), " ".join(" ".join(t.split()) for _, t in part)
+        for page in (f"<html><body>{links}<div class='post'>{inner}</div></body></html>", f"<html><body>{links}{inner}</body></html>", f"{links}{inner}", f"<body><div><div class='post'>{inner}</div>{links}</div></body>"):
+            path = htmltext.best_path(*htmltext.blocks(page))
+            assert htmltext.extract(page, path) == text and htmltext.extract(page, None) == text
+
+
 def test_host_consensus_beats_one_page(spark):
     """A page whose longest container is not the host's article path is read from the host's path."""
     usual = "<body><div class='story'><p>{t}, a story, told at length, with commas, and words.</p></div><div class='extra'><p>x</p></div></body>"
