@@ -2,7 +2,9 @@
 
 The kernel of two words sums, over all subsequences of three characters that they share, a weight that
 shrinks with the gaps in either word; it is normalised to 1 for equal words. So ``idiot``, ``id-iot`` and
-``idxiot`` stay close, wherever characters were inserted. A text's kernel with a landmark is the largest over
+``idxiot`` stay close. A word that holds all of a landmark's characters in order with others between them, as
+``i1d1i1o1t``, counts at least by how many these are: nearly in full up to one at each position, half at 1.5 times the landmark's length,
+then fast to nothing. A text's kernel with a landmark is the largest over
 its words (also without the marks inside them, as in
 ``i.d.i.o.t``, and over runs of single letters joined, as in ``i d i o t``). Landmarks are the words that mark
 toxic rows in the labelled sample, and the clean words most like them; the SVM is linear in the Nyström
@@ -10,7 +12,7 @@ coordinates, and a sigmoid turns its margin into a score.
 
 Training reads at most ``per_class`` labelled rows of each class (a documented bound); scoring reads every whole
 text and nothing but the text. A word takes part for a landmark only if it holds 3 in 4 of the landmark's
-distinct letters and half of its pairs of neighbours, without which the kernel is near 0; words over 24 bytes are read in overlapping parts.
+distinct letters and half of its pairs of neighbours, or all of it in order; words over 24 bytes are read in overlapping parts.
 
 Edge cases: null and empty texts score as texts without words; equal texts score alike; without labelled rows
 of both classes every score is 0; other columns are ignored.
@@ -31,6 +33,8 @@ from codefacts.llm.linear import fit_sigmoid, fit_svm, sigmoid
 ORDER, DECAY, WIDTH, STRIDE = 3, 0.8, 24, 12
 #: a power of a kernel is a kernel; this one sets apart words that only share an ending
 POWER = 3
+#: so many characters put in for each of a landmark's halve the value of a word that holds all of it in order
+GAPS = 1.5
 THRESHOLD = 0.7
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[48:58] = _WORD_BYTE[65:91] = _WORD_BYTE[97:123] = _WORD_BYTE[128:] = True
@@ -146,6 +150,26 @@ def _masks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_or.reduce(_BIT[words], 1), np.bitwise_or.reduce(pair, 1)
 
 
+def _gapped(words: np.ndarray, lengths: np.ndarray, letters: np.ndarray, marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, landmark) where a word holds all of a longer landmark's bytes in order, with others between them."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    ended = np.concatenate((marks, np.zeros((len(marks), 1), np.uint8)), 1)
+    for k, own in enumerate(_masks(marks)[0]):
+        w = np.flatnonzero((letters & own == own) & (lengths > sizes[k]))
+        at = np.zeros(len(w), np.int64)
+        for a in range(WIDTH):
+            byte = words[w, a]
+            at += (byte == ended[k, at]) & (byte != 0)
+        w = w[at == sizes[k]]
+        # where they stand together nothing was put in between
+        m = sizes[k]
+        whole = np.zeros(len(w), bool)
+        for a in range(WIDTH - m + 1):
+            whole |= (words[w, a : a + m] == marks[k, :m]).all(1)
+        found.append((w[~whole], np.full((~whole).sum(), k)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def pooled(raw: np.ndarray, offsets: np.ndarray, landmarks: list[bytes]) -> np.ndarray:
     """For each text and landmark the largest normalised kernel of any of its words."""
     out = np.zeros((len(offsets) - 1, len(landmarks)), np.float32)
@@ -163,16 +187,18 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, landmarks: list[bytes]) -> np.n
     for l in landmarks:
         own_letters, own_pairs = (int(m[0]) for m in _masks(np.frombuffer(l, np.uint8)[None, :]))
         near.append((np.bitwise_count(letters & np.uint64(own_letters)) >= -(-3 * own_letters.bit_count() // 4)) & (2 * np.bitwise_count(pairs & np.uint64(own_pairs)).astype(int) >= own_pairs.bit_count()))
+    marks = np.zeros((len(landmarks), WIDTH), np.uint8)
+    for k, l in enumerate(landmarks):
+        marks[k, : len(l)] = np.frombuffer(l, np.uint8)
+    sizes = np.array([len(l) for l in landmarks])
+    gap_word, gap_mark = _gapped(words, lengths, letters, marks, sizes)
     some = np.logical_or.reduce(near)
+    some[gap_word] = True
     if not some.any():
         return out
     value = np.zeros((len(first), len(landmarks)), np.float32)
     word, mark = np.nonzero(np.stack(near, 1))
-    marks = np.zeros((len(landmarks), WIDTH), np.uint8)
-    for k, l in enumerate(landmarks):
-        marks[k, : len(l)] = np.frombuffer(l, np.uint8)
     unit = kernel(marks, marks)
-    sizes = np.array([len(l) for l in landmarks])
     used, at = np.unique(word, return_inverse=True)
     own = np.zeros(len(used), np.float32)
     for lo in range(4, WIDTH + 4, 4):  # words of like length together, and with them landmarks of like length
@@ -187,6 +213,7 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, landmarks: list[bytes]) -> np.n
                 r = both[i : i + 8192]
                 value[word[r], mark[r]] = kernel(words[word[r]][:, :lo], marks[mark[r]][:, :size]) / np.sqrt(np.maximum(own[at[r]] * unit[mark[r]], 1e-12))
     value **= POWER
+    value[gap_word, gap_mark] = np.maximum(value[gap_word, gap_mark], 1 / (1 + ((lengths[gap_word] / sizes[gap_mark] - 1) / GAPS) ** 4))
     back = back.ravel()
     hits = np.flatnonzero(some[back])
     np.maximum.at(out, t[hits], value[back[hits]])

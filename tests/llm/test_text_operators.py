@@ -315,6 +315,25 @@ def test_toxicity_on_held_out_rows_and_disguised_words(spark):
     assert (tuple(score("", None)) == (score("")[0],) * 2)
 
 
+@pytest.mark.parametrize("put", ["x", "1", "q"])
+def test_toxicity_of_words_with_characters_put_in(spark, put):
+    """One character at one, two and every position of an insult; clean words stay clean."""
+    docs, labels = insults(spark)
+    model = toxicity.train(docs, labels, F.lit(True), per_class=300)
+
+    def score(*texts):
+        return model.score(toxicity.pooled(*string_buffer(pa.array(texts)), model.landmarks).astype(float))
+
+    for word in ("wretchling", "dunderhead", "scumbucket"):
+        n = len(word)
+        disguised = [word[:i] + put + word[i:] for i in range(1, n)] + [word[:i] + put + word[i:j] + put + word[j:] for i in range(1, n) for j in range(i + 1, n)] + [put.join(word)]
+        assert score(*[f"ther {d} onnd" for d in disguised]).min() > toxicity.THRESHOLD
+    clean = [r["text"] for r in docs.filter("doc_id % 4 <> 0").collect()]
+    assert score(*clean, "ther onnd rely", "wren dune scum bucket head ling").max() < toxicity.THRESHOLD
+    x = toxicity.pooled(*string_buffer(pa.array(["ixdxixoxt", "i1d1i1o1t", "idxixoxt", "traditional", "radio"])), [b"idiot"])[:, 0]
+    assert x[:3].min() > 0.5 > 0.3 > x[3:].max()
+
+
 def test_string_kernel_equals_brute_force():
     def brute(s, t, p=toxicity.ORDER, decay=toxicity.DECAY):
         from itertools import combinations
