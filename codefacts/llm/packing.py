@@ -6,7 +6,7 @@ lengths that fill a window exactly are enumerated (the second length of a triple
 solved by non-negative least squares against the histogram, rounded down, and what remains is packed greedily,
 longest first. The plan says where the r-th piece of a length goes; pieces are ranked within their length in
 Spark, over hash chunks that hold no more than a quarter of a task's even share, so a length that a third of
-the pieces have is spread as well.
+the pieces have is spread as well, and so are rows that repeat one doc_id.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed each for itself; very long texts
 become many full pieces; an empty table gives an empty result; other columns are ignored.
@@ -14,6 +14,7 @@ become many full pieces; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,46 +30,73 @@ WINDOW, END_ID = 2048, 1
 TOKENIZER = "byte_bpe_50k"
 
 
+#: white space as the vocabularies' pattern sees it, in runs that are too long for a matcher that backtracks
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str):
-    """Byte-level BPE from a public vocabulary: the same ids as its tokenizers file, read from its ranks, which is four times as fast."""
+    """(tokenizers' reader of a public byte-level BPE, a reader of its ranks that is four times as fast, its added tokens)."""
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
+    own = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {token.content: i for i, token in own.get_added_tokens_decoder().items()}
+    return own, fast, added
 
 
 def token_ids(text: str | None, name: str = TOKENIZER, end_id: int = END_ID) -> np.ndarray:
-    ids = encoder(name).encode_to_numpy(text or "", disallowed_special=())
-    return np.append(np.asarray(ids, "<u4"), np.array([end_id], "<u4"))
+    """The tokenizers file's ids of a text, and the end id.
+
+    Added tokens are cut out first, as the file asks. Inside a run of white space before a word its last character goes with
+    the word, so the rest of the run stands alone: long ones are read by tokenizers itself.
+    """
+    own, fast, added = encoder(name)
+    parts: list[np.ndarray] = []
+    for piece in re.split(f"({'|'.join(map(re.escape, added))})", text or "") if added else [text or ""]:
+        if piece in added:
+            parts.append(np.array([added[piece]], "<u4"))
+            continue
+        at = 0
+        for run in LONG_RUN.finditer(piece):
+            stop = run.end() - (run.end() < len(piece))
+            parts.append(np.asarray(fast.encode_to_numpy(piece[at : run.start()], disallowed_special=()), "<u4"))
+            parts.append(np.array(own.encode(piece[run.start() : stop], add_special_tokens=False).ids, "<u4"))
+            at = stop
+        parts.append(np.asarray(fast.encode_to_numpy(piece[at:], disallowed_special=()), "<u4"))
+    return np.concatenate([*parts, np.array([end_id], "<u4")])
 
 
 def cut_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece, and its ids (array<int>) if asked for."""
+    """doc_id, start, length, ids_crc32, doc_tokens, copy (how many rows before it in its batch have its doc_id) of each piece, and its ids (array<int>) if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: dict[int | None, int] = {}
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 out: list[tuple] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = token_ids(text, tokenizer)
+                    copy = seen[doc_id] = seen.get(doc_id, -1) + 1
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
-                        out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32) if with_ids else None))
+                        out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), copy, piece.astype(np.int32) if with_ids else None))
                 cols = list(zip(*out, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                arrays = [pa.array(c, pa.int64()) for c in cols[:6]]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
                 if with_ids:
-                    arrays.append(pa.array(cols[5], pa.list_(pa.int32())))
+                    arrays.append(pa.array(cols[6], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -180,11 +208,11 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER) -> D
     for length, n in counts.items():
         chunks[length] = -(-n // most)
     by_length = F.array(*[F.lit(int(c)) for c in chunks]) if total else F.array(F.lit(1))
-    chunked = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(by_length, F.col("length").cast("int"))))
+    chunked = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.get(by_length, F.col("length").cast("int"))))
     sizes = chunked.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
-    inside = Window.partitionBy("length", "chunk").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "chunk").orderBy("doc_id", "start", "ids_crc32", "copy")
     ranked = chunked.withColumn("at", F.row_number().over(inside)).join(F.broadcast(starts), ["length", "chunk"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first_rank") + F.col("at") - 1).cast("long").alias("rank"))
     where = plan(counts, window)

@@ -214,9 +214,41 @@ def test_packing_ids_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    for text in ["", " ", "Hello  world\n\tdon't <|endoftext|>", "é漢\U0001f600 " * 50, "x" * 3000, "a1b22 333  \r\n"]:
-        assert packing.token_ids(text)[:-1].tolist() == own.encode(text, add_special_tokens=False).ids
+    space = "\n \t\u3000\x85\u2003"
+    texts = ["", " ", "Hello  world\n\tdon't <|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x  <|endoftext|", "é漢\U0001f600 " * 50, "x" * 3000, "a1b22 333  \r\n"]
+    for n in (255, 256, 257, 1000, 1_000_000):
+        texts += [" " * n, "a" + " " * n + "b", "\n" * n + "1 2", " ." + space * (n // 6 + 1), "\x1c" * min(n, 1000) + "x" + "\t" * n + "<|endoftext|>" + " " * n + "<"]
+    r = random.Random(8)
+    texts += ["".join(r.choice(["a", "Ä", "1", " ", "  ", ".", "'s", "\n", space, " " * 300, "\r\n" * 200, "<|endoftext|>", "\u0301", "\U0001f600"]) for _ in range(40)) for _ in range(300)]
+    for text in texts:
+        assert packing.token_ids(text)[:-1].tolist() == own.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_packing_of_repeated_and_odd_rows_by_the_contracts_tokenizer(spark):
+    """Every row's pieces hold its ids in order; rows that repeat one id share the work of ranking."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(7, "same text " * 30)] * 400 + [(None, "no id")] * 300 + [(1, " " * 1_000_000), (2, None), (3, ""), (4, "a <|endoftext|> b"), (5, "word " * 9000)]
+    want: dict[tuple, int] = {}
+    for i, text in rows:
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for start in range(0, len(ids), 2048):
+            piece = ids[start : start + 2048]
+            key = (i, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))
+            want[key] = want.get(key, 0) + 1
+    got: dict[tuple, int] = {}
+    places = set()
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        key = (r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])
+        got[key] = got.get(key, 0) + 1
+        places.add((r["sequence_id"], r["offset"]))
+    assert got == want and len(places) == sum(want.values())
+    chunks = packing.cut_pieces(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 7").select("copy").distinct().count()
+    assert chunks >= 100
 
 
 @pytest.mark.parametrize(("short", "fill"), [(False, 0.93), (True, 0.998)])
