@@ -12,6 +12,9 @@ a page without that path uses its own best container, and one without any contai
 A container's text is that of its blocks in page order: character references decoded, white space turned into
 one space, blocks joined by one space.
 
+Tags are read as browsers read them: end tags may be left out (an item, cell, row or paragraph ends where the next one
+begins), and a quote counts only after an equals sign. A tag that the page's end cuts off is read as text.
+
 Edge cases: null and empty html give an empty text; markup may be cut off or unclosed; a page without a host
 votes with those of no host; repeated rows return each; pages of one host that are a third of all rows only add
 up in counts; other columns are ignored.
@@ -27,8 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+from codefacts.llm.common import durable
+
+_START = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+#: a quoted value starts after an equals sign only; nothing is read twice, so a page takes time in proportion to its length
+TOKEN = re.compile(_START + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>|[^<]+|<""", re.S)
+#: for what follows a tag that never ends: from there on tags end at the first >, in quotes or not
+LOOSE = re.compile(_START + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+OPENS = re.compile("</?[a-zA-Z]")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME = re.compile(r"[a-z]+")
 #: HTML element names by their part in a page.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -44,12 +54,22 @@ DROPPED_NAMES = frozenset(
     popup modal overlay toolbar pagination pager widget widgets skip login copyright""".split()
 )
 INSIDE = ("article", "main")
+#: Element names by the rules for end tags that pages leave out.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+SPECIAL = BLOCKS | DROPPED | frozenset("applet marquee search listing dir colgroup optgroup option".split()) - frozenset("svg math canvas audio video map label".split())
+SCOPES = frozenset("applet caption html table td th marquee object button".split())
+ENDS_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption br".split()) | frozenset("nav header footer aside form menu dialog search listing dir".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROWS = ("tbody", "thead", "tfoot")
 HEADINGS = ("h1", "h2")
 WORD = re.compile(r"\w\w")
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def _names(value: str) -> set[str]:
@@ -57,80 +77,202 @@ def _names(value: str) -> set[str]:
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
-    classes = sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").lower().split())
+    classes = sorted(re.sub(r"\d+", "#", c).replace("/", ":") for c in attrs.get("class", "").lower().split())
     return ".".join([tag, *dict.fromkeys(classes)])
 
 
-def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]]:
-    """The container paths of a page, and its blocks in order: (number of the path, text, characters of link text)."""
-    paths: list[tuple[str, ...]] = [()]
-    number = {(): 0}
+class Tree:
+    """The containers of a page that differ in path; 0 is the page itself, and a parent comes before its children."""
+
+    def __init__(self) -> None:
+        self.parent, self.label, self.depth = [0], [""], [0]
+        self.child: dict[tuple[int, str], int] = {}
+
+    def below(self, node: int, label: str) -> int:
+        at = self.child.get((node, label))
+        if at is None:
+            at = self.child[node, label] = len(self.parent)
+            self.parent.append(node)
+            self.label.append(label)
+            self.depth.append(self.depth[node] + 1)
+        return at
+
+    def way(self, node: int) -> list[int]:
+        """The containers from the outermost to the node."""
+        out = []
+        while node:
+            out.append(node)
+            node = self.parent[node]
+        return out[::-1]
+
+    def path(self, node: int) -> str:
+        return "/".join(self.label[i] for i in self.way(node))
+
+    def find(self, path: str) -> int:
+        """The container with this path; 0 if there is none."""
+        node = 0
+        for label in path.split("/"):
+            node = self.child.get((node, label), -1)
+            if node < 0:
+                return 0
+        return node
+
+
+class _Open:
+    """The elements that are open, and where the last of each name, of special ones and of limits of end tags stand."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.bad: list[bool] = []
+        self.before: list[int] = []  # the container around it
+        self.where: dict[str, list[int]] = {}
+        self.special: list[int] = []
+        self.stops: list[int] = []  # special ones that an item's implied end does not cross
+        self.scopes: list[int] = []
+        self.drop = 0
+
+    def last(self, tag: str) -> int:
+        at = self.where.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, tag: str, bad: bool, here: int) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.bad.append(bad)
+        self.before.append(here)
+        self.where.setdefault(tag, []).append(at)
+        self.drop += bad
+        if tag in SPECIAL:
+            self.special.append(at)
+            if tag not in ("address", "div", "p"):
+                self.stops.append(at)
+            if tag in SCOPES:
+                self.scopes.append(at)
+
+    def pop_to(self, at: int) -> int:
+        """Ends the element at this place and all inside it; the container that is left."""
+        here = self.before[at]
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.drop -= self.bad.pop()
+            self.before.pop()
+            n = len(self.tags)
+            if tag:
+                self.where[tag].pop()
+            for places in (self.special, self.stops, self.scopes):
+                if places and places[-1] == n:
+                    places.pop()
+        return here
+
+    def remove(self, at: int) -> None:
+        """Ends a formatting element, but nothing inside it."""
+        self.where[self.tags[at]].pop()
+        self.drop -= self.bad[at]
+        self.tags[at], self.bad[at] = "", False
+
+    def ended_by(self, tag: str) -> int:
+        """Where the outermost element stands that the start of this tag ends without an end tag; -1 for none."""
+        scope = self.scopes[-1] if self.scopes else -1
+        found = -1
+        if tag == "li" or tag == "dt" or tag == "dd":
+            mine = ("li",) if tag == "li" else ("dt", "dd")
+            if self.stops and self.tags[self.stops[-1]] in mine:
+                found = self.stops[-1]
+        elif tag in ("tr", "td", "th", *ROWS):
+            table = self.last("table")
+            if tag in ("td", "th"):
+                table = max(table, self.last("tr"))
+            ends = ("td", "th") if tag in ("td", "th") else ("td", "th", "tr") if tag == "tr" else ("td", "th", "tr", *ROWS)
+            return min((at for t in ends if (at := self.last(t)) > table), default=-1)
+        elif tag in ("option", "optgroup"):
+            return self.last("option") if self.last("option") > self.last("select") else -1
+        elif tag in HEADS and self.special and self.tags[self.special[-1]] in HEADS:
+            found = self.special[-1]
+        if tag in ENDS_P and (p := self.last("p")) > scope:
+            found = p if found < 0 else min(found, p)
+        return found
+
+
+def blocks(page: str) -> tuple[Tree, list[tuple[int, str, int]]]:
+    """The containers of a page, and its blocks in order: (container, text, characters of link text)."""
+    tree, open_ = Tree(), _Open()
     out: list[tuple[int, str, int]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, label of a container, whether its content is dropped
-    here, drop, links = 0, 0, 0
+    here = 0
     text: list[str] = []
     linked, heading = 0, False
 
     def close_block() -> None:
         nonlocal linked
-        words = " ".join(entities.unescape("".join(text)).split())
-        if words:
-            out.append((here, words, min(linked, len(words))))
-        text.clear()
+        if text:
+            words = " ".join(entities.unescape("".join(text)).split())
+            if words:
+                out.append((here, words, min(linked, len(words))))
+            text.clear()
         linked = 0
 
-    def locate() -> int:
-        path = tuple(label for _, label, _ in stack if label)
-        if path not in number:
-            number[path] = len(paths)
-            paths.append(path)
-        return number[path]
-
+    token = TOKEN
     at, size = 0, len(page)
     while at < size:
-        m = TOKEN.match(page, at)
-        if m is None:
-            break
-        at = m.end()
+        m = token.match(page, at)
         tag = m[2]
         if tag is None:
             piece = m[0]
-            if not drop and not piece.startswith(("<!", "<?")):
+            if piece == "<" and OPENS.match(page, at):  # a tag that never ends
+                if token is LOOSE:
+                    if not open_.drop:
+                        text.append(page[at:])
+                    break
+                token = LOOSE
+                continue
+            at = m.end()
+            if not open_.drop and not piece.startswith(("<!", "<?", "</")):
                 text.append(piece)
-                if links and not heading:
+                if not heading and open_.where.get("a"):
                     linked += len(piece)
             continue
+        at = m.end()
         tag = tag.lower()
         if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            if tag in BLOCKS:
+            if tag in SPECIAL:
                 heading = False
-                if not drop:
+                if not open_.drop:
                     close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close_block() if not drop else text.clear()
-                    drop -= sum(s[2] for s in stack[i:])
-                    del stack[i:]
-                    here = locate()
-                    break
+            if tag in ("html", "body"):
+                continue
+            place = max(open_.last(h) for h in HEADS) if tag in HEADS else open_.last(tag)
+            if place < 0:
+                continue
+            if tag in SPECIAL:
+                inside = tag in ("table", "tr", "td", "th", "caption", *ROWS)
+                limit = max(open_.last("table"), open_.last("ul") if tag == "li" else -1, open_.last("ol") if tag == "li" else -1) if inside or tag == "li" else open_.scopes[-1] if open_.scopes else -1
+                ends = place > limit or (tag in SCOPES and place == limit)
+            else:
+                ends = not open_.special or place > open_.special[-1]
+                if not ends and tag in FORMATTING:
+                    open_.remove(place)
+                    continue
+            if ends:
+                here = open_.pop_to(place)
             continue
-        attrs = attributes(m[3])
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", end.end()) if end else -1
+            at = stop + 1 if stop >= 0 else size
             continue
-        if tag == "a":
-            links += 1
-        if tag in BLOCKS and tag not in VOID:
-            heading = tag in HEADINGS
-        if tag in BLOCKS and not drop:
-            close_block()
+        if tag in SPECIAL:
+            if tag not in VOID:
+                heading = tag in HEADINGS
+            if not open_.drop:
+                close_block()
+            while (ended := open_.ended_by(tag)) >= 0:
+                here = open_.pop_to(ended)
         if tag in VOID:
             continue
+        if tag == "a" and (earlier := open_.last("a")) >= 0:
+            open_.remove(earlier)
+        attrs = attributes(m[3])
         names = _names(attrs.get("class", "")) | _names(attrs.get("id", ""))
-        inside = any(s[0] in INSIDE for s in stack)
+        inside = bool(open_.where.get("article") or open_.where.get("main"))
         if inside:
             names -= {"header"}  # an article's own head belongs to it
         bad = (
@@ -140,89 +282,104 @@ def blocks(page: str) -> tuple[list[tuple[str, ...]], list[tuple[int, str, int]]
             or attrs.get("aria-hidden", "").lower() == "true"
             or (tag not in ("html", "body", *INSIDE) and bool(names & DROPPED_NAMES))
         )
-        if bad or tag in CONTAINERS:
-            if not drop:
-                close_block()
-            stack.append((tag, _label(tag, attrs), bad))
-            drop += bad
-            if not drop:
-                here = locate()
-    if not drop:
+        if bad and not open_.drop:
+            close_block()
+        open_.push(tag, bad, here)
+        if tag in CONTAINERS and not open_.drop:
+            close_block()
+            here = tree.below(here, _label(tag, attrs))
+    if not open_.drop:
         close_block()
-    return paths, out
+    return tree, out
 
 
-def _core(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> tuple[str, ...]:
-    """The container with most text of its own; empty without text in containers."""
-    score: dict[tuple[str, ...], float] = {}
-    for at, text, linked in found:
+def _core(tree: Tree, found: list[tuple[int, str, int]]) -> int:
+    """The container with most text of its own; 0 without text in containers."""
+    score: dict[int, float] = {}
+    for node, text, linked in found:
         value = (len(text) - linked) * (1 - linked / len(text)) + 20 * text.count(", ")
-        path, share = paths[at], 1.0
-        while path and share > 0.01:
-            score[path] = score.get(path, 0.0) + value * share
-            path, share = path[:-1], share / 3
-    return max(score, key=lambda p: (score[p], -len(p), p), default=())
+        share = 1.0
+        while node and share > 0.01:
+            score[node] = score.get(node, 0.0) + value * share
+            node, share = tree.parent[node], share / 3
+    return max(score, key=lambda n: (score[n], -tree.depth[n], -n), default=0)
 
 
-def _article(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The whole article that a path lies in, if one is marked; else empty."""
+def _article(tree: Tree, node: int) -> int:
+    """The whole article that a container lies in, if one is marked; else 0."""
+    way = tree.way(node)
     for tag in INSIDE:
-        for n, label in enumerate(path):
-            if label.split(".")[0] == tag:
-                return path[: n + 1]
-    return ()
-
-
-def _branches(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]], core: tuple[str, ...]) -> list[tuple[str, ...] | None]:
-    """Of each path the branch in which it leaves the way to core; None in core itself and in branches that are lists of links."""
-    branch: list[tuple[str, ...] | None] = []
-    for path in paths:
-        n = 0
-        while n < min(len(path), len(core)) and path[n] == core[n]:
-            n += 1
-        branch.append(None if n == len(core) else path[: n + 1])
-    size: dict[tuple[str, ...], list[int]] = {}
-    for at, text, linked in found:
-        if (b := branch[at]) is not None:
+        for n in way:
+            if tree.label[n].split(".")[0] == tag:
+                return n
+    return 0
+
+
+def _branches(tree: Tree, found: list[tuple[int, str, int]], core: int) -> list[int | None]:
+    """Of each container the branch in which it leaves the way to core; None in core itself and in branches that are lists of links."""
+    way = {0, *tree.way(core)}
+    branch: list[int | None] = []
+    for node, parent in enumerate(tree.parent):
+        if node == core or (node and branch[parent] is None):
+            branch.append(None)
+        else:
+            branch.append(node if node in way or parent in way else branch[parent])
+    size: dict[int, list[int]] = {}
+    for node, text, linked in found:
+        if (b := branch[node]) is not None:
             total = size.setdefault(b, [0, 0])
             total[0] += len(text)
             total[1] += linked
     return [None if b is None or b in size and 2 * size[b][1] > size[b][0] else b for b in branch]
 
 
-def best_path(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> str:
-    """The container of all of the page's own main text, as a path; empty without text, and if no container holds all."""
-    core = _core(paths, found)
-    if article := _article(core):
-        return "/".join(article)
-    branch, depth = _branches(paths, found, core), len(core)
-    for at, text, _ in found:
-        if (b := branch[at]) is not None and WORD.search(text):
-            depth = min(depth, len(b) - (b != core[: len(b)]))
-    return "/".join(core[:depth])
+def best_container(tree: Tree, found: list[tuple[int, str, int]]) -> int:
+    """The container of all of the page's own main text; 0 without text, and if no container holds all."""
+    core = _core(tree, found)
+    if article := _article(tree, core):
+        return article
+    branch, way = _branches(tree, found, core), tree.way(core)
+    on_way = set(way)
+    depth = len(way)
+    for node, text, _ in found:
+        if (b := branch[node]) is not None and WORD.search(text):
+            depth = min(depth, tree.depth[b] - (b != 0 and b not in on_way))
+    return way[depth - 1] if depth else 0
+
 
+def best_path(tree: Tree, found: list[tuple[int, str, int]]) -> str:
+    return tree.path(best_container(tree, found))
 
-def _main_blocks(paths: list[tuple[str, ...]], found: list[tuple[int, str, int]]) -> str:
+
+def _main_blocks(tree: Tree, found: list[tuple[int, str, int]]) -> str:
     """The text of these blocks without lists of links beside the container with most text; of a marked article all."""
-    core = _core(paths, found)
-    if _article(core):
+    core = _core(tree, found)
+    if _article(tree, core):
         return " ".join(text for _, text, _ in found)
-    branch = _branches(paths, found, core)
-    return " ".join(text for at, text, _ in found if branch[at] is not None or paths[at][: len(core)] == core)
+    branch = _branches(tree, found, core)
+    in_core = _under(tree, core)
+    return " ".join(text for node, text, _ in found if branch[node] is not None or in_core[node])
+
+
+def _under(tree: Tree, top: int) -> list[bool]:
+    """Whether each container is the given one or lies in it."""
+    out = [top == 0]
+    for node in range(1, len(tree.parent)):
+        out.append(node == top or out[tree.parent[node]])
+    return out
 
 
 def extract(page: str | None, winner: str | None) -> str:
     """The text under the winning path, or under the page's own best container where it has no such path."""
     if not page:
         return ""
-    paths, found = blocks(page)
-    for wanted in (lambda: winner, lambda: best_path(paths, found)):
-        path = tuple((wanted() or "").split("/"))
-        under = {i for i, p in enumerate(paths) if p[: len(path)] == path}
-        some = [b for b in found if b[0] in under]
-        if some:
-            return _main_blocks(paths, some)
-    return _main_blocks(paths, found)
+    tree, found = blocks(page)
+    for wanted in (lambda: tree.find(winner) if winner else 0, lambda: best_container(tree, found)):
+        if top := wanted():
+            under = _under(tree, top)
+            if some := [b for b in found if under[b[0]]]:
+                return _main_blocks(tree, some)
+    return _main_blocks(tree, found)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -238,12 +395,22 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, most_hosts: int = 100_000) -> DataFrame:
-    """page_id, url, host, path (the host's winner), text. Up to most_hosts winners are broadcast; more are joined by a shuffle."""
+    """page_id, url, host, path (the host's winner), text.
+
+    The winners of hosts with one in most_hosts of the votes or more are broadcast (so there are no more than most_hosts);
+    only pages of smaller hosts, if there are any, are shuffled by host.
+    """
     with_host = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("host"))
     count = votes(with_host).filter("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    winners = count.groupBy("host").agg(F.max_by("path", F.struct("n", F.col("path"))).alias("path")).cache()
-    few = winners.limit(most_hosts + 1).count() <= most_hosts
-    joined = with_host.join(F.broadcast(winners) if few else winners, "host", "left")
+    winners = durable(count.groupBy("host").agg(F.max_by("path", F.struct("n", F.col("path"))).alias("path"), F.sum("n").alias("n")), "winners")
+    size = winners.agg(F.count("*").alias("hosts"), F.sum("n").alias("votes")).first()
+    if size["hosts"] <= most_hosts:
+        joined = with_host.join(F.broadcast(winners.drop("n")), "host", "left")
+    else:
+        large = winners.withColumn("large", F.col("n") >= size["votes"] / most_hosts)
+        known = with_host.join(F.broadcast(large.filter("large").select("host", "path")), "host", "left")
+        small = known.filter("path IS NULL").drop("path").join(large.filter("NOT large").select("host", "path"), "host", "left")
+        joined = known.filter("path IS NOT NULL").unionByName(small)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -465,3 +466,122 @@ def test_host_consensus_beats_one_page(spark):
     rows = [(i, "http://h.example/a", usual.replace("{t}", f"Tale {i}")) for i in range(4)] + [(9, "http://h.example/b", odd)]
     out = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[9] == "Short."
+
+
+class Reader(HTMLParser):
+    """Text of well-formed pages without the elements that a page drops, by Python's own parser; a block is what lies between two block tags."""
+
+    OUT = {"nav", "footer", "aside", "form", "script", "style", "button"}
+    VOID = {"br", "img", "hr"}
+    INLINE = {"b", "i", "a", "em", "span"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.parts = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE or self._dropped(tag, attrs):
+            self.parts.append("")
+        if tag not in self.VOID:
+            self.open.append(self._dropped(tag, attrs))
+
+    def _dropped(self, tag, attrs):
+        return tag in self.OUT or dict(attrs).get("class") in ("notice", "promo", "ad")
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.parts.append("")
+        self.open.pop()
+
+    def handle_data(self, data):
+        if not any(self.open):
+            self.parts[-1] += data
+
+
+def read_page(page):
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join(" ".join(p.split()) for p in reader.parts if p.split())
+
+
+def made_page(r):
+    """A page of nested elements with all end tags."""
+    words = ["word", "another", "tale", "&amp;", "caf\u00e9", "x &lt; y", "it's", "&#8212;", "long,", "end."]
+
+    def line():
+        out = []
+        for _ in range(r.randint(3, 14)):
+            w = r.choice(words)
+            out.append(r.choice([w, w, w, w, f"<b>{w}</b>", f"<em title=don't>{w}</em>", f"<a href=/x/y>{w}</a>", f"<span class=ad>{w}<span>{w}</span>{w}</span>", w + "<br>"]))
+        return r.choice([" ", "\n ", "  "]).join(out)
+
+    def part(depth):
+        kind = r.choice(["p", "p", "p", "ul", "dl", "table", "div", "h2", "notice", "li", "script", "blockquote"] if depth < 3 else ["p"])
+        if kind == "p":
+            return f"<p>{line()}</p>"
+        if kind == "notice":
+            return f"<p class='notice'>{line()}</p>"
+        if kind == "h2":
+            return f"<h2>{line()}</h2>"
+        if kind == "script":
+            return "<script>if (a < b) { document.write('</p><p>no'); }</script><!-- <p>none</p> -->"
+        if kind in ("ul", "li"):
+            return "<ul>" + "".join(f"<li{r.choice(['', '', ' class=promo'])}>{line()}{''.join(part(depth + 1) for _ in range(r.randint(0, 1)))}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
+        if kind == "dl":
+            return "<dl>" + "".join(f"<{t}{r.choice(['', ' class=ad'])}>{line()}</{t}>" for t in r.choices(["dt", "dd"], k=4)) + "</dl>"
+        if kind == "table":
+            cells = lambda: "".join(f"<td{r.choice(['', '', ' class=ad'])}>{line()}{''.join(part(depth + 1) for _ in range(r.randint(0, 1)))}</td>" for _ in range(r.randint(1, 3)))
+            return "<table><tbody>" + "".join(f"<tr>{cells()}</tr>" for _ in range(r.randint(1, 3))) + "</tbody></table>"
+        inner = "".join(part(depth + 1) for _ in range(r.randint(1, 3)))
+        return f"<{kind} class='c{depth}'>{inner}</{kind}>"
+
+    body = "".join(part(0) for _ in range(r.randint(3, 8)))
+    return f"<html><body><nav><a href=/>Home</a></nav><article class=story><h1>Head of it</h1>{body}</article><aside>Side words here</aside><footer>Foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_main_text_equals_another_parsers(seed):
+    """With all end tags the text is that which Python's parser gives; with those left out that may be, it stays the same."""
+    whole = made_page(random.Random(seed))
+    assert htmltext.extract(whole, None) == read_page(whole)
+    r = random.Random(seed + 1000)
+    dropped = whole
+    for tag, follows in (("p", r"(?=\s*(?:<(?:p|ul|dl|table|div|h2|blockquote)\b|</(?:div|blockquote|article|li|td)>))"), ("li", r"(?=\s*(?:<li\b|</ul>))"), ("dt|dd", r"(?=\s*(?:<d[td]\b|</dl>))"), ("td|tr|tbody", r"(?=\s*(?:<t[dr]\b|</t|</table>))")):
+        for _ in range(3):
+            dropped = re.sub(f"</(?:{tag})>{follows}", lambda m: "" if r.random() < 0.5 else m[0], dropped)
+    assert htmltext.extract(dropped, None) == read_page(whole), dropped
+
+
+def test_blocks_that_nothing_ends():
+    for page, text in [
+        ("<div class='story'><p class='notice'>Cookies<p>First paragraph.<p>Second.</div>", "First paragraph. Second."),
+        ("<ul><li class='promo'>Ad<li>Point one is long<li>Point two</ul>", "Point one is long Point two"),
+        ("<div><p title=don't>Some text here</p></div>", "Some text here"),
+        ("<table><tr><td class=ad>Ad<td>Main text<tr><td>more text</table>", "Main text more text"),
+        ("<select><option class=ad>x<option>y</select><p>Text of it</p>", "Text of it"),
+        ('<p title="broken>One two three</p><p>four</p>', "One two three four"),
+        ("<div class='w-1/2'><p>Half of it</p></div>", "Half of it"),
+        ("a < b and c <!-- d", "a < b and c"),
+        ("<div><b class=ad>x<p>y</b>Some text</div>", "Some text"),
+    ]:
+        assert htmltext.extract(page, None) == text
+        assert htmltext.extract(page, htmltext.best_path(*htmltext.blocks(page))) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!", "<div>", "<b></i>", "<li>", "<p><table>", "<script></script", '<a x="', "<a x=\"<b y='>'\" x=\"", "<span class=ad>", "<h1>", "&amp", "='\"", "<ul><li class=ad>"])
+def test_broken_pages_take_time_in_proportion(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    htmltext.extract(page, None)
+    assert time.process_time() - began < 10  # a second or two; what is square takes hours
+
+
+def test_pages_of_many_hosts_are_joined(spark):
+    """With more hosts than may be broadcast the large ones are, and the others are joined."""
+    page = "<body><div class='{c}'><p>Text {i}, of this page, long enough.</p></div><div class='x'><p>y</p></div></body>"
+    rows = [(i, f"http://h{min(i, 20)}.example/", page.replace("{c}", "a" if i % 2 else "b").replace("{i}", str(i))) for i in range(60)] + [(99, None, "<p>No host</p>"), (100, "http://other.example", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, htmltext.main_text(pages, most_hosts=4).collect()), key=str) == sorted(map(tuple, htmltext.main_text(pages).collect()), key=str)
