@@ -7,6 +7,7 @@ Nothing here holds a corpus: word and shingle hashes are made per Arrow batch in
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,9 +25,11 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new temporary one if all runs in this one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -41,6 +44,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``durable`` wrote, once nothing reads them any more; what is left behind would fill the shared folder."""
+    for table in tables:
+        spark = table.sparkSession
+        top = shared_dir(spark)
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if file.partition(":")[2].lstrip("/").startswith(top.partition(":")[2].lstrip("/") if ":" in top else top.lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """While it lasts, Arrow batches hold fewer rows, so that batches of long texts or sets fit a Python worker's memory."""
@@ -161,6 +175,17 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def fixed_width(column: pa.ChunkedArray, dtype: type, width: int) -> np.ndarray:
+    """A column of binaries of one size as rows of numbers, without a Python object for each."""
+    parts = [np.zeros((0, width), dtype)]
+    for chunk in column.chunks:
+        offsets, data = chunk.buffers()[1:]
+        if len(chunk):
+            at = np.frombuffer(offsets, np.int32, len(chunk) + 1, chunk.offset * 4)
+            parts.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype).reshape(-1, width))
+    return np.concatenate(parts)
+
+
 def list_array(parts: list[np.ndarray], dtype: str) -> pa.Array:
     """One Arrow list of each part."""
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
@@ -200,6 +225,30 @@ def bloom_has(bloom: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ok
 
 
+def part_by_ids(rows: DataFrame, column: str, ids: DataFrame, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is among the distinct ids and maybe a few more, all other rows), without a shuffle of the rows.
+
+    Up to ``most`` ids are broadcast (16 MB); for more a Bloom filter of fixed size tells which rows may have one.
+    """
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))
+    if ids.limit(most + 1).count() <= most:
+        marked = rows.join(F.broadcast(ids.distinct()), rows[column] == F.col("_id"), "left")
+        return marked.filter("_id IS NOT NULL").drop("_id"), marked.filter("_id IS NULL").drop("_id")
+    bloom = fixed_bloom(ids, "_id")
+    at = rows.columns.index(column)
+
+    def part(wanted: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = np.asarray(batch.column(at).is_valid())
+                has = bloom_has(bloom, np.asarray(batch.column(at).cast(pa.int64()).fill_null(0), np.int64)) & known
+                yield batch.filter(pa.array(has == wanted))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return part(True), part(False)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches.
 

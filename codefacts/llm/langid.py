@@ -2,9 +2,9 @@
 
 A text becomes the square roots of the shares of its hashed byte 1- to 3-grams (letters only, lower case;
 a vector of length 1). Linear SVMs, one for each family against the rest, pick the family of the language;
-inside it one-versus-one SVMs between its languages vote. Training reads a sample of labelled rows of
-``per_lang`` rows for each language (a bound, whatever the corpus holds); prediction reads every whole text
-and nothing but the text.
+inside it one-versus-one SVMs between its languages vote. Training reads a sample of labelled rows: at most
+``per_lang`` texts of each language, ``most`` in all, of the ``most_langs`` languages with most rows (bounds, whatever the
+corpus holds); prediction reads every whole text and nothing but the text.
 
 Edge cases: a null text, an empty one and one without any letter get ``und`` and score 0; rows with a null
 language are not learned from but are predicted; without any labelled row all texts are ``und``; repeated
@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import crc_of, doc_slices, string_buffer, text_rows
+from codefacts.llm.common import crc_of, doc_slices, fixed_width, give_back, string_buffer, text_rows
 from codefacts.llm.linear import fit_svm, sigmoid
 
 DIMS = 4096
@@ -53,19 +53,20 @@ def gram_shares(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         capital = np.zeros(len(b), bool)
         capital[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)
         b = np.where(capital, b + 0x20, b)
-    doc = np.repeat(np.arange(n, dtype=np.int64) * DIMS, np.diff(offsets))
-    b = b.astype(np.int64)
     counts = np.zeros(n * DIMS)
-    letter = b != 0x20
-    counts += np.bincount(doc[letter] + b[letter] % 256, minlength=n * DIMS)
-    if len(b) > 1:
+    for lo in range(0, len(b), SLICE):  # n-grams that begin in this slice, so that a very long text takes little memory
+        hi = min(lo + SLICE, len(b))
+        part = b[lo : hi + 2].astype(np.int64)
+        doc = np.repeat(np.arange(n, dtype=np.int64) * DIMS, np.diff(np.clip(offsets, lo, lo + len(part))))
+        letter = part != 0x20
+        own = letter[: hi - lo]
+        counts += np.bincount(doc[: hi - lo][own] + part[: hi - lo][own], minlength=n * DIMS)
         same = (doc[1:] == doc[:-1]) & (letter[1:] | letter[:-1])
-        two = b[:-1] * 256 + b[1:]
-        counts += np.bincount((doc[1:] + 256 + (two * 0x9E3779B1 >> 7) % (DIMS - 256))[same], minlength=n * DIMS)
-        if len(b) > 2:
-            same = same[1:] & (doc[2:] == doc[:-2])
-            three = two[:-1] * 256 + b[2:]
-            counts += np.bincount((doc[2:] + 256 + (three * 0x85EBCA6B >> 9) % (DIMS - 256))[same], minlength=n * DIMS)
+        two = part[:-1] * 256 + part[1:]
+        counts += np.bincount((doc[1:] + 256 + (two * 0x9E3779B1 >> 7) % (DIMS - 256))[: hi - lo][same[: hi - lo]], minlength=n * DIMS)
+        same = same[1:] & (doc[2:] == doc[:-2])
+        three = two[:-1] * 256 + part[2:]
+        counts += np.bincount((doc[2:] + 256 + (three * 0x85EBCA6B >> 9) % (DIMS - 256))[: hi - lo][same[: hi - lo]], minlength=n * DIMS)
     counts = counts.reshape(n, DIMS)
     return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
 
@@ -74,13 +75,15 @@ class Model:
     """families: names; their weights; for each family its languages and the pairs' weights."""
 
     def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray):
+        """x: float32, so that no fit copies it as a whole."""
         present = sorted(set(y.tolist()))
         self.families = sorted({FAMILY_OF.get(l, l) for l in langs if l in present})
         self.members = {f: [l for l in present if FAMILY_OF.get(l, l) == f] for f in self.families}
         weights, bias = [], []
 
         def learn(rows: np.ndarray, positive: np.ndarray) -> int:
-            w, b = fit_svm(x[rows], np.where(positive[rows], 1.0, -1.0))
+            w, b = fit_svm(x if rows.all() else x[rows], np.where(positive[rows], 1.0, -1.0))
+            give_back()
             weights.append(w)
             bias.append(b)
             return len(weights) - 1
@@ -89,7 +92,7 @@ class Model:
         family = np.array([FAMILY_OF.get(l, l) for l in y.tolist()], object)
         self.family_at = [learn(every, family == f) for f in self.families] if len(self.families) > 1 else []
         self.pairs = {f: [(a, b, learn((y == a) | (y == b), y == a)) for a, b in combinations(m, 2)] for f, m in self.members.items()}
-        self.w = np.array(weights).T if weights else np.zeros((DIMS, 0))
+        self.w = np.array(weights, np.float32).T if weights else np.zeros((DIMS, 0), np.float32)
         self.b = np.array(bias)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,17 +127,23 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rest.slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
-def train(docs: DataFrame, may_learn: Column, per_lang: int = 500) -> Model:
-    """Fits on about per_lang labelled rows of each language, chosen by a hash of doc_id; never more than twice that."""
+def train(docs: DataFrame, may_learn: Column, per_lang: int = 500, most: int = 4000, most_langs: int = 200) -> Model:
+    """Fits on at most per_lang labelled texts of each language and ``most`` in all, chosen by a hash of doc_id and text; equal texts count once."""
     labelled = docs.filter(may_learn & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
-        return Model([], np.zeros((0, DIMS)), np.zeros(0, object))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))) for lang, n in counts.items()])
-    rows = labelled.filter(draw < share).select("text", "lang").limit(2 * per_lang * len(counts)).mapInArrow(_features, "lang string, x binary").toArrow()
-    x = np.array([np.frombuffer(v, np.float32) for v in rows["x"].to_pylist()], np.float64).reshape(-1, DIMS)
-    return Model(sorted(counts), x, np.array(rows["lang"].to_pylist(), object))
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, object))
+    per_lang = max(1, min(per_lang, most // len(counts)))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_lang / n))) for lang, n in counts.items()], F.lit(0.0))
+    drawn = labelled.filter(draw < share).select("lang", "text", draw.alias("draw")).groupBy("lang", F.md5("text").alias("m")).agg(F.min("draw").alias("draw"), F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "m"))
+    chosen = drawn.withColumn("at", rank).filter(F.col("at") <= per_lang).orderBy("lang", "at").select("text", "lang")
+    rows = chosen.mapInArrow(_features, "lang string, x binary").toArrow()
+    x = fixed_width(rows["x"], np.float32, DIMS)
+    lang = np.array(rows["lang"].to_pylist(), object)
+    del rows
+    return Model(sorted(counts), x, lang)
 
 
 def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,15 +7,16 @@ import numpy as np
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised squared-hinge SVM; y is -1 or 1, both classes count alike."""
-    n, d = x.shape
+    d = x.shape[1]
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    xb = np.hstack([x, np.ones((n, 1))]).astype(np.float32)
-    lipschitz = 1 + 2 * _largest(xb, share)
+    x = x.astype(np.float32, copy=False)
+    lipschitz = 1 + 2 * _largest(x, share)
     w = step = np.zeros(d + 1)
     t = 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (xb @ step.astype(np.float32)))
-        grad = np.append(step[:-1], 0.0) - 2 * (share * y * slack).astype(np.float32) @ xb
+        slack = np.maximum(0, 1 - y * (x @ step[:-1].astype(np.float32) + step[-1]))
+        pull = 2 * share * y * slack
+        grad = np.append(step[:-1] - pull.astype(np.float32) @ x, -pull.sum())
         new = step - grad / lipschitz
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         step = new + (t - 1) / t_new * (new - w)
@@ -24,10 +25,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) ->
 
 
 def _largest(x: np.ndarray, weight: np.ndarray) -> float:
-    v = np.ones(x.shape[1]) / x.shape[1] ** 0.5
+    """The largest eigenvalue of the weighted products of the columns of x and of a column of ones (the bias)."""
+    v = np.ones(x.shape[1] + 1) / (x.shape[1] + 1) ** 0.5
     norm = 1.0
     for _ in range(20):
-        v = (weight * (x @ v)) @ x
+        pull = weight * (x @ v[:-1].astype(np.float32) + v[-1])
+        v = np.append(pull.astype(np.float32) @ x, pull.sum())
         norm = float(np.linalg.norm(v)) or 1.0
         v = v / norm
     return norm

@@ -2,15 +2,16 @@
 
 Of each document's suffixes (by word) only those at minimiser positions are retained: a position whose 40-word
 gram has the least hash among 11 neighbouring ones. Any 50 words that two documents share hold such a position in
-both, so about one suffix in six is enough. The retained suffixes are sorted by that gram across the corpus;
-each is compared with the first suffix of its run in document order. Neighbouring hits on one diagonal
-(document, first document, shift) join to a match, and its ends are extended left and right word by word: by
-fewer than 11 words, for beyond those another suffix would have been retained. Matches of ``least`` words and more
-are repeats. Where a suffix and the first of its run share fewer, all windows of ``least`` words around it are compared
-across the corpus, so no passage is missed. A text that repeats fewer than ``gram`` + 1 words on and on is one suffix with
-a last position; two such runs of unlike length share all words only if both have ``least``, else their windows are
-compared, too. A passage is measured against one earlier document: where another shares
-up to 10 words more at an end, those are not added.
+both, so about one suffix in six is enough. The retained suffixes are sorted over the whole corpus by their first 40 words
+(by these words' hash, which is as good an order as any), then by document and position, in ranges; each is compared with
+the first suffix of its run. Neighbouring hits on one diagonal (document, first document, shift) join to a match.
+
+Matches are then extended left and right, against all documents and not only the first: every window of ``least`` words
+that holds a match's first or last gram is sorted and compared in the same way. A window of 50 words that repeats holds a
+retained gram; it holds the first or the last gram of that gram's match, or it lies inside the match. So the words that
+are found are exactly those of all windows of ``least`` words that an earlier document has too. A text that repeats fewer
+than ``gram`` + 1 words on and on is one suffix with a last position; two such runs of unlike length share all words if both
+have ``least``, else their windows tell.
 
 Words are runs of non-space bytes, A-Z in lower case. Matches inside one document do not count.
 
@@ -24,12 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import _powers, bloom_has, doc_slices, durable, fixed_bloom, list_array, mix, string_buffer, word_hashes, word_spans
+from codefacts.llm.common import _powers, bloom_has, doc_slices, durable, fixed_bloom, mix, part_by_ids, release, string_buffer, word_hashes, word_spans
 
 LEAST, GRAM = 50, 40
+SUFFIX = "key long, doc long, pos int, last int"
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -89,103 +91,106 @@ def retained(words: np.ndarray, first: np.ndarray, least: int = LEAST, k: int =
 
 
 def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
+    """key, doc, pos, last of each document's retained suffixes (doc, text)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in doc_slices(batch.column(1)):
                 raw, offsets = string_buffer(batch.column(1).slice(i, j - i))
                 starts, ends, first = word_spans(raw, offsets)
                 key, doc, pos, last = retained(word_hashes(raw, starts, ends), first, least, k)
-                ids = np.asarray(batch.column(0).slice(i, j - i), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32))], ["key", "doc", "pos", "last"])
+                yield _once(key, np.asarray(batch.column(0).slice(i, j - i), np.int64), doc, pos, last)
+
+    return docs.mapInArrow(run, SUFFIX)
+
+
+def _once(key: np.ndarray, ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Suffixes as a batch; rows that repeat one document with its id give theirs once."""
+    cols = [key.view(np.int64), ids[doc], pos.astype(np.int32), last.astype(np.int32)]
+    if len(np.unique(ids)) < len(ids):
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        cols = [c[new] for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc", "pos", "last"])
 
-    return docs.mapInArrow(run, "key long, doc long, pos int, last int")
 
+def _heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over one range of the sorted suffixes (key, doc, pos, last): each with the first of its run, if that is in another document.
 
-def _with_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over suffixes sorted by key, document, position: each with the first of its run, if that is in another document."""
-    last = None
+    A run may have begun in an earlier range or go on in a later one. So all of the range's first run and the first suffix
+    of its last run come with edge = true, and without a first one.
+    """
+    names = ["key", "doc", "pos", "last", "first_doc", "first_pos", "first_last", "edge"]
+    start = last = None  # the key of the range's first run; the first suffix of the newest run
     for batch in batches:
         key, doc, pos, end = (np.asarray(c) for c in batch.columns)
         if not len(key):
             continue
+        start = key[0] if start is None else start
         new = np.concatenate(([last is None or key[0] != last[0]], key[1:] != key[:-1]))
         heads, run = np.flatnonzero(new), np.cumsum(new) - 1
-        if new[0]:
-            d, p, q = doc[heads][run], pos[heads][run], end[heads][run]
-        else:
-            d, p, q = (np.append(o, c[heads])[run + 1] for o, c in zip(last[1:], (doc, pos, end), strict=True))
+        d, p, q = (c[heads][run] if new[0] else np.append(o, c[heads])[run + 1] for o, c in zip(last[1:] if last else (0, 0, 0), (doc, pos, end), strict=True))
         last = (key[-1], d[-1], p[-1], q[-1])
-        ok = d != doc
-        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(end[ok]), pa.array(d[ok]), pa.array((p[ok] - pos[ok]).astype(np.int32)), pa.array((q[ok] - end[ok]).astype(np.int32)), pa.array(key[ok])], ["doc", "pos", "last", "first_doc", "shift", "end_shift", "key"])
+        edge = key == start
+        ok = (d != doc) | edge
+        yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (key, doc, pos, end, d, p, q, edge)], names)
+    if last is not None and last[0] != start:
+        one = [np.array([x], t) for x, t in zip((*last, *last[1:]), (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32), strict=True)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, one), pa.array([True])], names)
+
+
+def _compared(found: DataFrame, name: str) -> DataFrame:
+    """doc, first_doc, shift, pos, last, end_shift, key of each suffix (key, doc, pos, last) whose run begins in another document.
+
+    The suffixes are sorted over the whole corpus, by range, so a run that a third of them share is spread over many tasks.
+    What ranges tell each other is at most two suffixes each.
+    """
+    rows = durable(found, "suffixes")
+    order = ["key", "doc", "pos", "last"]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = durable(ranges.mapInArrow(_heads, f"{SUFFIX}, first_doc long, first_pos int, first_last int, edge boolean"), "runs")
+    edges = runs.filter("edge")
+    first = edges.groupBy("key").agg(F.min(F.struct("doc", "pos", "last")).alias("f")).select("key", F.col("f.doc").alias("first_doc"), F.col("f.pos").alias("first_pos"), F.col("f.last").alias("first_last"))
+    over = edges.select(*order).join(F.broadcast(first), "key").filter("doc <> first_doc")  # two rows a range at most
+    hits = runs.filter("NOT edge").drop("edge").unionByName(over)
+    out = durable(hits.select("doc", "first_doc", (F.col("first_pos") - F.col("pos")).alias("shift"), "pos", "last", (F.col("first_last") - F.col("last")).alias("end_shift"), "key"), name)
+    release(rows, runs)
+    return out
 
 
 def _chains(k: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words; a hit of unlike lengths stays alone. keys: those of runs shorter than least in either document."""
-        names = ["doc", "first_doc", "shift", "start", "end", "end_shift", "keys"]
-        open_row, open_keys = None, np.zeros(0, np.int64)
+        """Over hits sorted by document, first document, shift, position: runs whose grams touch, as (start, end) in words, and the keys of
+        their first and last grams; a hit of unlike lengths stays alone. whole: whether all of it is shared in a run of ``least`` words."""
+        names = ["doc", "first_doc", "shift", "start", "end", "end_shift", "whole", "first_key", "last_key"]
+        held = None  # doc, first document, shift, position, last position, shift at the end, key, last key of the newest chain
         for batch in batches:
             doc, first, shift, pos, last, end_shift, key = (np.asarray(c, np.int64) for c in batch.columns)
             if not len(doc):
                 continue
-            if open_row is not None:
-                doc, first, shift, pos, last, end_shift = (np.append(o, c) for o, c in zip(open_row, (doc, first, shift, pos, last, end_shift), strict=True))
-                key = np.append(open_keys[:1], key)
+            last_key = key
+            if held is not None:
+                doc, first, shift, pos, last, end_shift, key, last_key = (np.append(o, c) for o, c in zip(held, (doc, first, shift, pos, last, end_shift, key, last_key), strict=True))
             uneven = shift != end_shift
             apart = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (shift[1:] != shift[:-1]) | uneven[1:] | uneven[:-1]
             heads = np.flatnonzero(np.concatenate(([True], apart | (pos[1:] > last[:-1] + k))))
-            far = np.maximum.reduceat(last << 32 | (end_shift + (1 << 31)), heads)  # the last position, and the shift there
-            cols = [doc[heads], first[heads], shift[heads], pos[heads], far >> 32, (far & ((1 << 32) - 1)) - (1 << 31)]
-            bounds = np.append(heads, len(key))
-            shared = np.minimum(cols[4] - cols[3], cols[4] - cols[3] + cols[5] - cols[2]) + k
-            own = [key[a:b] if n < least else key[:0] for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), shared.tolist(), strict=True)]
-            if open_row is not None and len(own[0]):
-                own[0] = np.concatenate((open_keys, own[0][1:]))
-            open_row = tuple(c[-1] for c in cols)  # it may go on in the next batch
-            open_keys = own[-1] if len(own[-1]) else key[-1:]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[:-1]) for c in (*cols[:4], cols[4] + k, cols[5])), list_array(own[:-1], "i8")], names)
-        if open_row is not None:
-            d, f, s, p, last, e = open_row
-            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (d, f, s, p, last + k, e)), list_array([open_keys if min(last - p, last - p + e - s) + k < least else open_keys[:0]], "i8")], names)
+            final = np.append(heads[1:], len(doc)) - 1
+            top = np.maximum.reduceat(last, heads)
+            chains = [doc[heads], first[heads], shift[heads], pos[heads], top, end_shift[heads], key[heads], last_key[final]]
+            held = tuple(c[-1] for c in chains)  # it may go on in the next batch
+            yield _chain_rows([c[:-1] for c in chains], k, least, names)
+        if held is not None:
+            yield _chain_rows([np.array([c]) for c in held], k, least, names)
 
     return run
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """doc, pos, and the hashes of up to reach words before (nearest first) and from pos on, for each wanted (doc, pos)."""
-    places = wanted.groupBy("doc").agg(F.collect_set("pos").alias("places"))  # at most as many as the document has words
-    bloom = fixed_bloom(places, "doc")
-
-    def may(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bloom_has(bloom, np.asarray(batch.column(0), np.int64))))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in doc_slices(batch.column(1)):
-                part = batch.slice(i, j - i)
-                raw, offsets = string_buffer(part.column(1))
-                starts, ends, first = word_spans(raw, offsets)
-                words = word_hashes(raw, starts, ends).view(np.int64)
-                ids, pos, left, right = [], [], [], []
-                for d, (doc, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    own = words[first[d] : first[d + 1]]
-                    for p in places:
-                        ids.append(doc)
-                        pos.append(p)
-                        left.append(own[max(0, p - reach) : p][::-1])
-                        right.append(own[p : p + reach])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), list_array(left, "i8"), list_array(right, "i8")], ["doc", "pos", "before", "after"])
-
-    some = docs.mapInArrow(may, "doc long, text string")
-    return some.join(places, "doc").select("doc", "text", "places").mapInArrow(run, "doc long, pos long, before array<long>, after array<long>")
-
-
-def _same_words(a: str, b: str) -> Column:
-    """How many leading elements of two arrays are equal."""
-    differs = F.zip_with(F.col(a), F.col(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(differs, False)
-    return F.when(at == 0, F.size(differs)).otherwise(at - 1).cast("long")
+def _chain_rows(chains: list[np.ndarray], k: int, least: int, names: list[str]) -> pa.RecordBatch:
+    doc, first, shift, pos, last, end_shift, key, last_key = chains
+    shared = np.minimum(last - pos, last - pos + end_shift - shift) + k
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, first, shift, pos, last + k, end_shift, shared >= least, key, last_key)], names)
 
 
 def _windows(texts: DataFrame, keys: DataFrame, least: int, k: int) -> DataFrame:
@@ -209,43 +214,29 @@ def _windows(texts: DataFrame, keys: DataFrame, least: int, k: int) -> DataFrame
                 ids, window = np.asarray(batch.column(0).slice(i, j - i), np.int64), grams(words, least)
                 where = first[doc] + at
                 key, doc, where, last = _runs(words, window[where], doc, where, least)
-                cols = [key.view(np.int64), ids[doc], (where - first[doc]).astype(np.int32), (last - first[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc", "pos", "last"])
+                yield _once(key, ids, doc, where - first[doc], last - first[doc])
 
-    return texts.mapInArrow(run, "key long, doc long, pos int, last int")
+    return texts.mapInArrow(run, SUFFIX)
 
 
-def _matches(found: DataFrame, k: int, least: int) -> DataFrame:
+def _matches(found: DataFrame, k: int, least: int, name: str) -> DataFrame:
     """Runs of touching grams on one diagonal, of suffixes (key, doc, pos, last) and the first of their run."""
-    hits = found.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_with_first, "doc long, pos int, last int, first_doc long, shift int, end_shift int, key long")
-    diagonals = hits.select("doc", "first_doc", "shift", "pos", "last", "end_shift", "key").repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "shift", "pos")
-    return diagonals.mapInArrow(_chains(k, least), "doc long, first_doc long, shift long, start long, end long, end_shift long, keys array<long>")
+    hits = _compared(found, f"{name}-hits")
+    diagonals = hits.repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "shift", "pos", "last")
+    out = durable(diagonals.mapInArrow(_chains(k, least), "doc long, first_doc long, shift long, start long, end long, end_shift long, whole boolean, first_key long, last_key long"), name)
+    release(hits)
+    return out
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, start_word, n_words, first_doc_id, first_start_word of each passage that an earlier document (by id) has too."""
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    chains = durable(_matches(suffixes(texts, least, gram), gram, least).distinct(), "chains")
-
-    ends = F.explode(F.array(F.struct("doc", F.col("start").alias("pos")), F.struct("doc", F.col("end").alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("start") + F.col("shift")).alias("pos")), F.struct(F.col("first_doc").alias("doc"), (F.col("end") + F.col("end_shift")).alias("pos"))))
-    wanted = chains.select(ends.alias("e")).select("e.doc", "e.pos").distinct()
-    context = durable(_contexts(texts, wanted, least - gram).dropDuplicates(["doc", "pos"]), "contexts")
-
-    def side(prefix: str) -> DataFrame:
-        return context.select(F.col("doc").alias(f"{prefix}d"), F.col("pos").alias(f"{prefix}p"), F.col("before").alias(f"{prefix}b"), F.col("after").alias(f"{prefix}a"))
-
-    c = chains
-    for prefix, doc, pos, column, name in (("w", "doc", "start", "b", "own_left"), ("x", "doc", "end", "a", "own_right"), ("y", "first_doc", "start + shift", "b", "first_left"), ("z", "first_doc", "end + end_shift", "a", "first_right")):
-        s = side(prefix)
-        c = c.withColumn("at", F.expr(pos)).join(s, (F.col(doc) == s[f"{prefix}d"]) & (F.col("at") == s[f"{prefix}p"])).select(*c.columns, F.col(f"{prefix}{column}").alias(name))
-    grown = durable(c.select("doc", "first_doc", "shift", (F.col("start") - _same_words("own_left", "first_left")).alias("start"), (F.col("end") + _same_words("own_right", "first_right")).alias("end"), "end_shift", "keys"), "grown")
-    # where the first document shares fewer words, a later one may share enough: all windows that hold such grams
-    few = (F.col("end") - F.col("start") < least) | ((F.col("shift") != F.col("end_shift")) & (F.size("keys") > 0))
-    short = durable(grown.filter(few).select(F.explode("keys").alias("key")).distinct(), "short")
-    long = grown.filter(~few).select("doc", "first_doc", "shift", "start", "end")
-    if not short.isEmpty():
-        long = long.unionByName(_matches(_windows(texts, short, least, gram), least, least).select("doc", "first_doc", "shift", "start", "end"))
-    return long.select(
+    chains = _matches(suffixes(texts, least, gram), gram, least, "chains")
+    # the ends: each window of least words over the first or last gram of a chain; what lies between them is in the chain
+    ends = chains.select(F.explode(F.array("first_key", "last_key")).alias("key"))
+    windows = _matches(_windows(texts, ends, least, gram), least, least, "windows")
+    out = chains.filter("whole").unionByName(windows)
+    return out.select(
         F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("first_doc").alias("first_doc_id"), (F.col("start") + F.col("shift")).alias("first_start_word")
     ).distinct()
 
@@ -255,12 +246,13 @@ def op10_sparse_suffix_repeats(spark, sf_dir: str) -> DataFrame:
 
 
 def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """The documents without the passages' words; n_chars follows the text, and documents that lose all words go."""
-    spans = passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))  # bounded by the document's words
+    """The documents without the passages' words; n_chars follows the text, and documents that lose all words go. Only documents with passages are shuffled."""
+    spans = durable(passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans")), "spans")  # bounded by the document's words
     names = docs.columns
     kept = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(names)])  # whatever the columns are called
     at = {c: f"k{i}" for i, c in enumerate(names)}
-    touched = kept.join(spans, kept[at["doc_id"]] == spans["doc_id"], "left").drop("doc_id")
+    may, rest_rows = part_by_ids(kept, at["doc_id"], spans.select("doc_id"))
+    touched = may.join(spans, may[at["doc_id"]] == spans["doc_id"], "left").drop("doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +282,7 @@ def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
     changed = touched.filter("spans IS NOT NULL").select(at["text"], "spans", *rest).mapInArrow(run, schema).filter("text IS NOT NULL").withColumnRenamed("text", at["text"])
     if "n_chars" in names:
         changed = changed.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
-    whole = touched.filter("spans IS NULL").select(*at.values()).unionByName(changed.select(*at.values()))
+    whole = rest_rows.unionByName(touched.filter("spans IS NULL").select(*at.values())).unionByName(changed.select(*at.values()))
     return whole.select(*[F.col(k).alias(c) for c, k in at.items()])
 
 

@@ -10,7 +10,7 @@ its words (also without the marks inside them, as in
 toxic rows in the labelled sample, and the clean words most like them; the SVM is linear in the Nyström
 coordinates, and a sigmoid turns its margin into a score.
 
-Training reads at most ``per_class`` labelled rows of each class (a documented bound); scoring reads every whole
+Training reads the texts of at most ``per_class`` labelled ids of each class (a documented bound); scoring reads every whole
 text and nothing but the text. A word takes part for a landmark only if it holds 3 in 4 of the landmark's
 distinct letters and half of its pairs of neighbours, or all of it in order; words over 24 bytes are read in overlapping parts.
 
@@ -79,6 +79,14 @@ def padded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1
     return out
 
 
+def _rows(words: list[bytes]) -> np.ndarray:
+    """Words as rows of WIDTH bytes, padded by 0."""
+    out = np.zeros((len(words), WIDTH), np.uint8)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = np.frombuffer(w, np.uint8)
+    return out
+
+
 def normalised(words: np.ndarray, other: np.ndarray, self_words: np.ndarray | None = None) -> np.ndarray:
     own = kernel(words, words) if self_words is None else self_words
     unit = float(kernel(other[None, :], other[None, :])[0])
@@ -187,9 +195,7 @@ def pooled(raw: np.ndarray, offsets: np.ndarray, landmarks: list[bytes]) -> np.n
     for l in landmarks:
         own_letters, own_pairs = (int(m[0]) for m in _masks(np.frombuffer(l, np.uint8)[None, :]))
         near.append((np.bitwise_count(letters & np.uint64(own_letters)) >= -(-3 * own_letters.bit_count() // 4)) & (2 * np.bitwise_count(pairs & np.uint64(own_pairs)).astype(int) >= own_pairs.bit_count()))
-    marks = np.zeros((len(landmarks), WIDTH), np.uint8)
-    for k, l in enumerate(landmarks):
-        marks[k, : len(l)] = np.frombuffer(l, np.uint8)
+    marks = _rows(landmarks)
     sizes = np.array([len(l) for l in landmarks])
     gap_word, gap_mark = _gapped(words, lengths, letters, marks, sizes)
     some = np.logical_or.reduce(near)
@@ -226,7 +232,9 @@ class Model:
         self.ready = bool(landmarks) and (y > 0).any() and (y <= 0).any()
         if not self.ready:
             return
-        gram = np.array([[float(normalised(np.frombuffer(a, np.uint8)[None, :], np.frombuffer(b, np.uint8))[0]) for b in landmarks] for a in landmarks]) ** POWER
+        rows = _rows(landmarks)
+        raw = np.stack([kernel(rows, r[None, :]) for r in rows]).astype(np.float64)
+        gram = (raw / np.sqrt(np.maximum(np.outer(np.diag(raw), np.diag(raw)), 1e-12))) ** POWER
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         self.root = vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T
         z = x @ self.root
@@ -238,12 +246,10 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int) -> DataFrame:
-    """(text, toxic) of about per_class labelled rows of each class by a hash of doc_id; of equal texts one."""
+    """(text, toxic) of at most per_class labelled ids of each class, those with the least hashes of doc_id; of equal texts one."""
     known = labels.filter(may_learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    chosen = known.filter(draw < share).limit(4 * per_class)
+    one, none = (known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (1, 0))
+    chosen = one.union(none)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
@@ -265,9 +271,7 @@ def find_landmarks(sample: DataFrame, most: int = 96, negatives: int = 8) -> lis
         return []
     clean = [r["w"].encode() for r in ranked.filter("c0 >= 2 AND z < 1").orderBy(F.desc("c0"), "w").limit(3000).collect()]
     if clean:
-        rows = np.zeros((len(clean), WIDTH), np.uint8)
-        for i, w in enumerate(clean):
-            rows[i, : len(w)] = np.frombuffer(w, np.uint8)
+        rows = _rows(clean)
         own = kernel(rows, rows)
         like = np.max([normalised(rows, np.frombuffer(g, np.uint8), own) for g in good], 0)
         good += [clean[i] for i in np.argsort(-like, kind="stable")[:negatives] if like[i] > 0.05]
