@@ -94,16 +94,33 @@ def test_jaccard_join_of_odd_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 8]
 
 
-def test_bitmaps_never_part_sets_that_link():
+def test_sketches_never_part_sets_that_link():
     r = np.random.default_rng(3)
     for n in (1, 5, 40, 700, 20_000):
         s = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
         t = np.unique(np.concatenate((s[: max(1, int(len(s) * 0.9))], r.integers(0, 2**63, len(s) // 20, dtype=np.uint64))))
+        both = [jaccard.sketch(x, jaccard.full_bits(len(x))) for x in (s, t)]
         if 9 * len(np.intersect1d(s, t)) >= 4 * (len(s) + len(t)):
-            assert jaccard.may_link(*jaccard.bit_sets([s, t]), len(s) + len(t))
+            assert jaccard.may_link(*both, len(s) + len(t))
         other = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
         if n > 40:
-            assert not jaccard.may_link(*jaccard.bit_sets([s, other]), len(s) + len(other))
+            assert not jaccard.may_link(both[0], jaccard.sketch(other, jaccard.full_bits(len(other))), len(s) + len(other))
+
+
+@pytest.mark.parametrize("part", [3, 10_000])
+def test_jaccard_join_of_long_lists_in_sides(spark, part, monkeypatch):
+    """Texts that share a passage, which is most of each, and fall into several components."""
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    passage = [r.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        own = random.Random(i // 3)
+        rows.append((i, " ".join(passage + [own.choice(vocabulary) for _ in range(18 + i % 3)])))
+    deal = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda rows: deal(rows, part))
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(x) for x in found} == brute_components(rows)
 
 
 def brute_repeated(rows, least=50):
