@@ -6,16 +6,17 @@ table (file_id, codebase_id, relative_path, content).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts import link, macros
+from codefacts import changes, link, macros
 from codefacts.functions import is_builtin_callee
-from codefacts.scan import clean, parse_specifiers, scan
-from codefacts.tables import settled, symbol_id
+from codefacts.scan import blank_non_code, clean, find_macros, parse_specifiers, scan
+from codefacts.tables import file_id, located, settled, symbol_id
 
 #: Specifier keys that are metadata even outside meta=(...).
 META_KEYS = frozenset(
@@ -28,6 +29,9 @@ META_KEYS = frozenset(
 #: Words before a bracket that are no calls.
 KEYWORDS = "if for while switch return catch sizeof alignof decltype new delete throw else do case and or not static_assert noexcept alignas typeid defined operator".split()
 
+#: scopes that may lie in each other
+SCOPES = 10_000
+
 _PARAMETER = "struct<name:string,type:string,default_value:string,position:int>"
 _BASE = "struct<name:string,access:string,is_virtual:boolean>"
 _SPECIFIER = "struct<ord:int,key:string,value:string,is_meta:boolean>"
@@ -41,17 +45,18 @@ _MACRO = f"struct<macro_type:string,line_number:int,raw_text:string,specifiers:a
 def scan_sources(sources: DataFrame) -> DataFrame:
     """file_id, codebase_id, symbols, macros, code, body_code of each source.
 
-    A source that can't be scanned gives no facts.
+    A source that can't be scanned (more than SCOPES in each other) gives its macros, but no other facts.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * SCOPES))
         for pdf in batches:
             rows = []
             for text in pdf["content"]:
                 try:
                     found = scan(text or "")
                 except (ValueError, RecursionError, IndexError):
-                    found = {"symbols": [], "macros": [], "code": "", "body_code": ""}
+                    found = {"symbols": [], "macros": find_macros(text or "", blank_non_code(text or "")), "code": "", "body_code": ""}
                 marks = [{"macro_type": m["macro_type"], "line_number": m["line_number"], "raw_text": m["raw_text"], "specifiers": parse_specifiers(m["content"], META_KEYS)} for m in found["macros"]]
                 rows.append((found["symbols"], marks, found["code"], found["body_code"]))
             out = pd.DataFrame(rows, columns=["symbols", "macros", "code", "body_code"])
@@ -130,34 +135,31 @@ def extract_references(scanned: DataFrame, sources: DataFrame, symbols: DataFram
     """
     known = (symbols if names == "all" else symbols.filter("parent_ord IS NULL")).select("file_id", F.col("name").alias("symbol_name")).distinct()
     code = scanned.select("file_id", F.posexplode(F.split("code", "\n")).alias("at", "line"))
-    parts = code.withColumn("parts", F.split("line", r"\b"))
-    placed = F.aggregate("parts", F.expr("struct(0 AS c, CAST(array() AS array<struct<c:int,w:string>>) AS a)"), lambda s, w: F.struct((s["c"] + F.length(w)).alias("c"), F.concat(s["a"], F.array(F.struct(s["c"].alias("c"), w.alias("w")))).alias("a")))
-    tokens = parts.select("file_id", "at", F.explode(placed["a"]).alias("t")).select("file_id", "at", F.col("t.c").alias("column_number"), F.col("t.w").alias("symbol_name")).filter(F.col("symbol_name").rlike(r"^[A-Za-z_]\w*$"))
+    tokens = code.select("file_id", "at", F.posexplode(F.split("line", r"\b")).alias("n", "symbol_name")).filter(F.col("symbol_name").rlike(r"^[A-Za-z_]\w*$"))
     hits = tokens.join(known, ["file_id", "symbol_name"], "left_semi")
-    text = sources.select(F.col("file_id").cast("long"), F.split("content", "\n").alias("l"))
-    rows = hits.groupBy("file_id").agg(F.collect_list(F.struct("symbol_name", "at", "column_number")).alias("h")).join(text, "file_id")  # no more than the file's own words
-    lines = rows.select("file_id", "l", F.explode("h").alias("x"))
-    return lines.select("file_id", F.lit(None).cast("long").alias("symbol_id"), F.col("x.symbol_name").alias("symbol_name"), (F.col("x.at") + 1).alias("line_number"), F.col("x.column_number").alias("column_number"), F.substring(F.trim(F.get("l", F.col("x.at"))), 1, 200).alias("context"))
+    lines = code.join(sources.select(F.col("file_id").cast("long"), F.posexplode(F.split("content", "\n")).alias("at", "text")), ["file_id", "at"])
+    column = F.length(F.array_join(F.slice(F.split("line", r"\b"), F.lit(1), F.col("n")), ""))
+    return hits.join(lines, ["file_id", "at"]).select("file_id", F.lit(None).cast("long").alias("symbol_id"), "symbol_name", (F.col("at") + 1).alias("line_number"), column.alias("column_number"), F.substring(F.trim("text"), 1, 200).alias("context"))
 
 
-def index_corpus(sources: DataFrame) -> dict[str, DataFrame]:
-    """All fact tables of a corpus, linked."""
+def index_corpus(sources: DataFrame, linked: bool = True) -> dict[str, DataFrame]:
+    """All fact tables of a corpus, linked across its files or, without linked, only inside each."""
     scanned = settled(scan_sources(sources), "scan")
     files = sources.select(F.col("file_id").cast("long"), F.col("codebase_id").cast("long"), "relative_path")
     symbols = extract_symbols(scanned)
     found = extract_macros(scanned)
-    calls = link.resolve_calls(_callees_in_file(extract_calls(scanned, symbols), symbols), symbols, files)
-    return {
+    tables = {
         "files": files,
         "symbols": symbols.drop("parameters", "base_classes"),
         "parameters": explode_parameters(symbols),
-        "inheritance": link.resolve_inheritance(explode_base_classes(symbols), symbols, files),
+        "inheritance": explode_base_classes(symbols),
         "ue_macros": macros.attach_macro_symbol(found.drop("specifiers"), symbols),
         "ue_macro_specifiers": explode_specifiers(found),
-        "calls": calls,
-        "includes": link.resolve_includes(extract_includes(sources), files),
-        "references_table": link.resolve_references(extract_references(scanned, sources, symbols), symbols, files),
+        "calls": _callees_in_file(extract_calls(scanned, symbols), symbols),
+        "includes": extract_includes(sources),
+        "references_table": extract_references(scanned, sources, symbols),
     }
+    return changes.relink(tables) if linked else tables
 
 
 def _callees_in_file(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -165,6 +167,19 @@ def _callees_in_file(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.drop("callee_symbol_id").join(known, ["file_id", "callee_name"], "left")
 
 
+def reindex_files(tables: dict[str, DataFrame], codebases: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """The linked tables with the facts of these files (path, content) taken anew.
+
+    A file belongs to the codebase whose root holds its path; known files are replaced, others added, paths of no codebase left out.
+    """
+    owned = sources.join(changes.codebase_of(codebases, sources.select("path")), "path")
+    rows = owned.select("codebase_id", "relative_path", "content").withColumn("file_id", file_id(F.col("codebase_id"), F.col("relative_path")))
+    known = located(tables["files"]).select("codebase_id", "relative_path", F.col("file_id").alias("_known"))
+    rows = rows.join(known, ["codebase_id", "relative_path"], "left").withColumn("file_id", F.coalesce("_known", "file_id")).drop("_known")
+    touched = rows.select("codebase_id", "relative_path", F.lit("changed").alias("status"))
+    return changes.apply_changes(tables, touched, index_corpus(rows, linked=False))
+
+
 def run_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row a table: name and rows."""
     parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]

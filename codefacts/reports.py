@@ -58,17 +58,20 @@ def blueprint_interface(symbols: DataFrame, macros: DataFrame, specifiers: DataF
 
 
 def analyze_class(symbols: DataFrame, inheritance: DataFrame, macros: DataFrame, specifiers: DataFrame, files: DataFrame, names, every: bool = False) -> DataFrame:
-    """Long rows (q, section, ord, name, detail): header, naming, base classes, macros, methods and fields of each named class."""
+    """Long rows (q, section, ord, name, detail, modifiers, signature): header, naming, base classes, macros, methods and fields of each
+    named class. detail of a member is its macros; modifiers are its access, virtual and static; a field's signature is its type and name."""
     classes = first_classes(symbols, files, names, every)
     head = classes.select("q", F.lit("class").alias("section"), F.col("line_start").cast("int").alias("ord"), F.col("kind").alias("name"), F.col("path").alias("detail"))
     naming = classes.select("q", F.lit("naming").alias("section"), F.lit(0).alias("ord"), name_prefix(F.col("q")).alias("name"), name_prefix_description(name_prefix(F.col("q"))).alias("detail"))
     base = inheritance.join(classes.select("q", F.col("class_id").alias("child_symbol_id")), "child_symbol_id").select("q", F.lit("base").alias("section"), F.lit(0).alias("ord"), F.col("parent_name").alias("name"), F.col("access").alias("detail"))
     text = concat_specifiers(specifiers).withColumnRenamed("macro_id", "id")
     own = macros.join(classes.select("q", F.col("class_id").alias("symbol_id")), "symbol_id").join(text, "id", "left").select("q", F.lit("macro").alias("section"), F.col("line_number").cast("int").alias("ord"), F.col("macro_type").alias("name"), F.col("specifiers").alias("detail"))
-    members = symbols.select(F.col("id").alias("symbol_id"), "name", "kind", "line_start", F.col("parent_symbol_id").alias("class_id")).join(classes.select("q", "class_id"), "class_id")
+    mods = F.concat_ws(" ", "access", F.when(F.col("is_virtual"), "virtual"), F.when(F.col("is_static"), "static"))
+    signature = F.coalesce("signature", F.concat_ws(" ", "return_type", "name"))
+    members = symbols.select(F.col("id").alias("symbol_id"), "name", "kind", "line_start", F.col("parent_symbol_id").alias("class_id"), mods.alias("modifiers"), signature.alias("signature")).join(classes.select("q", "class_id"), "class_id")
     marks = macros.join(text, "id", "left").groupBy("symbol_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", F.concat("macro_type", F.lit("("), F.coalesce("specifiers", F.lit("")), F.lit(")")).alias("t")))), lambda p: p["t"]), " ").alias("detail"))
-    rows = members.join(marks, "symbol_id", "left").select("q", F.when(F.col("kind").isin("method", "constructor", "destructor", "function"), "method").otherwise("field").alias("section"), F.col("line_start").cast("int").alias("ord"), "name", "detail")
-    return head.unionByName(naming).unionByName(base).unionByName(own).unionByName(rows)
+    rows = members.join(marks, "symbol_id", "left").select("q", F.when(F.col("kind").isin("method", "constructor", "destructor", "function"), "method").otherwise("field").alias("section"), F.col("line_start").cast("int").alias("ord"), "name", "detail", "modifiers", "signature")
+    return head.unionByName(naming).unionByName(base).unionByName(own).unionByName(rows, allowMissingColumns=True)
 
 
 def symbols_by_file(symbols: DataFrame, file_ids: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -40,6 +41,28 @@ def symbol_id(file: Column, ord_: Column) -> Column:
     return F.xxhash64(file, ord_)
 
 
+def located(files: DataFrame) -> DataFrame:
+    """files with their id as file_id, whether it is called so or id."""
+    return files if "file_id" in files.columns else files.withColumnRenamed("id", "file_id")
+
+
+def with_codebase(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The fact tables, each with the codebase_id of its rows: of the file, or of the file of the symbol or macro that a row hangs on."""
+    of_file = located(tables["files"]).select("file_id", "codebase_id") if "files" in tables else None
+    out = dict(tables)
+    for name, table in tables.items():
+        if "codebase_id" in table.columns:
+            continue
+        if name == "codebases":
+            out[name] = table.withColumn("codebase_id", F.col("id"))
+        elif "file_id" in table.columns:
+            out[name] = table.join(of_file, "file_id")
+        else:
+            key, parent = ("macro_id", "ue_macros") if "macro_id" in table.columns else ("symbol_id", "symbols") if "symbol_id" in table.columns else ("child_symbol_id", "symbols")
+            out[name] = table.join(tables[parent].select(F.col("id").alias(key), "file_id").join(of_file, "file_id").drop("file_id"), key)
+    return out
+
+
 def names_table(spark: SparkSession, names: str | Iterable[str] | DataFrame, column: str = "q") -> DataFrame:
     """One name, a list of names or a one-column DataFrame as distinct rows of one column."""
     if isinstance(names, DataFrame):
@@ -61,6 +84,8 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

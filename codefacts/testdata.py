@@ -21,7 +21,7 @@ VIEWS = {
  UNION ALL SELECT pk * 2 + 1, 1, concat('Part', pk, '.h'), 0 FROM fx_class""",
     "fx_inheritance": "SELECT class_name AS child_name, parent_name, 'public' AS access, pk FROM fx_class",
     "fx_edge": """SELECT DISTINCT l_partkey AS a, (l_partkey * 31 + l_suppkey * 17 + l_linenumber) % (SELECT count(*) FROM part) AS b
-  FROM lineitem WHERE l_quantity <= 3""",
+  FROM lineitem""",
     "fx_calls": """SELECT a * 2 + 1 AS file_id, concat('APart', a, '::Run', a) AS caller_name, concat('Run', b) AS callee_name,
   CAST(4 + row_number() OVER (PARTITION BY a ORDER BY b) AS BIGINT) AS line_number FROM fx_edge""",
     "fx_symbols": """SELECT pk * 2 AS file_id, 0 AS ord, class_name AS name, class_name AS qualified_name, 'class' AS kind, 6 AS line_start FROM fx_class
@@ -40,6 +40,8 @@ VIEWS = {
  UNION ALL SELECT pk * 2, 12, 0, 'EditAnywhere', NULL, 0 FROM fx_class
  UNION ALL SELECT pk * 2, 12, 1, 'BlueprintReadWrite', NULL, 0 FROM fx_class
  UNION ALL SELECT pk * 2, 12, 2, 'ClampMin', CAST(p_size AS VARCHAR(99)), 1 FROM fx_class""",
+    "fx_cpp": """SELECT pk * 2 + 1 AS file_id, concat('#include "Part', pk, '.h"', chr(10), chr(10)) AS head, concat('void ', class_name, '::Run', pk, '(int32 Size)', chr(10), '{{', chr(10), coalesce(c.body, ''), '}}') AS body, coalesce(c.n, 0) AS n_calls
+  FROM fx_class LEFT JOIN (SELECT file_id, count(*) AS n, string_agg(concat('    ', callee_name, '();', chr(10)), '' ORDER BY line_number) AS body FROM fx_calls GROUP BY file_id) c ON c.file_id = pk * 2 + 1""",
     "fx_header": """SELECT pk * 2 AS file_id, concat('#pragma once', chr(10), '// ', p_name, chr(10), i.line, chr(10), chr(10),
   'UCLASS(Blueprintable, ClassGroup=(', p_type, '), meta=(DisplayName="', p_name, '"))', chr(10),
   'class MOD_API ', class_name, ' : public ', parent_name, chr(10), '{{', chr(10), '    GENERATED_BODY()', chr(10), 'public:', chr(10),
@@ -94,10 +96,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_symbols with ids and, for members of a header's class, the class's id."""
+    """fx_symbols with ids, what the rendered text says of them and, for members of a header's class, the class's id."""
     s = view(spark, sf_dir, "fx_symbols").withColumn("id", symbol_id(F.col("file_id"), F.col("ord")))
     member = (F.col("ord") > 0) & (F.col("file_id") % 2 == 0)
-    return s.withColumn("parent_symbol_id", F.when(member, symbol_id(F.col("file_id"), F.lit(0))))
+    method, pk = F.col("kind") == "method", F.floor(F.col("file_id") / 2).cast("string")
+    return s.withColumns({
+        "parent_symbol_id": F.when(member, symbol_id(F.col("file_id"), F.lit(0))), "access": F.when(member, "public"), "is_static": F.lit(False), "is_virtual": member & method,
+        "return_type": F.when(method, "void").when(F.col("kind") == "field", "float"), "signature": F.when(method, F.concat(F.lit("void "), F.when(member, F.lit("")).otherwise(F.concat(F.lit("APart"), pk, F.lit("::"))), "name", F.lit("(int32 Size)"))),
+    })
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

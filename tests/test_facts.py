@@ -165,3 +165,87 @@ def test_search_ranks_falls_back_and_escapes(spark):
 def test_names_and_delegates(spark):
     row = spark.range(1).select(functions.name_prefix(F.lit("AActor")).alias("a"), functions.name_prefix(F.lit("Actor")).alias("b"), functions.name_prefix(F.lit("A")).alias("c"), functions.strip_name_prefix(F.lit("UObject")).alias("d"), functions.classify_delegate(F.lit("DECLARE_DYNAMIC_DELEGATE_OneParam")).alias("e")).first()
     assert tuple(row) == ("A", "None", "None", "Object", "DECLARE_DYNAMIC_DELEGATE")
+
+
+def _linked(spark, tables):
+    """The rows of an index with ids written as names, by table."""
+    place = {r["id"]: (r["file_id"], r["name"], r["line_start"]) for r in tables["symbols"].select("id", "file_id", "name", "line_start").collect()}
+    out = {}
+    for name, table in tables.items():
+        own = [c for c in table.columns if c not in ("id", "codebase_id", "macro_id", "ord") and not c.endswith("symbol_id")]
+        links = [c for c in table.columns if c.endswith("symbol_id")]
+        out[name] = sorted(tuple(str(r[c]) for c in sorted(own)) + tuple(str(place.get(r[c])) for c in sorted(links)) for r in table.collect())
+    return out
+
+
+def _sources(spark, base, files):
+    return corpus.from_table(spark.createDataFrame(files, "path string, text string"), base, "path", "text")
+
+
+def test_an_index_on_disk_keeps_other_codebases(spark, tmp_path):
+    """Two codebases in turn, then the first again with less: all tables hold both, and nothing old of the first."""
+    folder = str(tmp_path / "index")
+    one = extract.index_corpus(_sources(spark, 1, [("A.h", HEADER), ("A.cpp", SOURCE)]))
+    two = extract.index_corpus(_sources(spark, 2, [("B.h", HEADER), ("B.cpp", SOURCE)]))
+    corpus.write_index(one, folder)
+    corpus.write_index(two, folder)
+    names = list(one)
+    back = corpus.read_index(spark, folder, names)
+    for name in names:
+        n = {r["codebase_id"]: r["n"] for r in back[name].groupBy("codebase_id").agg(F.count("*").alias("n")).collect()}
+        assert n == {1: one[name].count(), 2: two[name].count()} or (n == {} and not one[name].count()), name
+    less = extract.index_corpus(_sources(spark, 1, [("A.h", "class Plain {};\n")]))
+    corpus.write_index(less, folder)
+    back = corpus.read_index(spark, folder, names)
+    for name in names:
+        n = {r["codebase_id"]: r["n"] for r in back[name].groupBy("codebase_id").agg(F.count("*").alias("n")).collect()}
+        assert n.get(1, 0) == less[name].count() and n.get(2, 0) == two[name].count(), name
+    assert set(corpus.read_index(spark, folder)) == set(SCHEMAS)
+
+
+def test_files_taken_anew_give_the_index_of_all_files(spark):
+    """A changed header and a new file: the index is that of all sources at once, links into the changed file included."""
+    old = [("A.h", HEADER), ("A.cpp", SOURCE)]
+    new = [("A.h", "// moved down\n" + HEADER), ("C.cpp", '#include "A.h"\nvoid Other()\n{\n    Tick();\n}\n')]
+    bases = spark.createDataFrame([(1, "/root/one"), (2, "/elsewhere")], "id long, root_path string")
+    given = spark.createDataFrame([(f"/root/one/{p}", t) for p, t in new] + [("/nowhere/X.h", HEADER)], "path string, content string")
+    got = extract.reindex_files(extract.index_corpus(_sources(spark, 1, old)), bases, given)
+    want = extract.index_corpus(_sources(spark, 1, [new[0], old[1], new[1]]))
+    assert _linked(spark, got) == _linked(spark, want)
+
+
+def test_a_source_with_very_many_scopes_keeps_its_facts(spark):
+    text = "".join(f"namespace N{i} {{\n" for i in range(1500)) + "class Deep {};\n" + "}\n" * 1500
+    names = {r["name"] for r in extract.extract_symbols(extract.scan_sources(_sources(spark, 1, [("A.h", text)]))).collect()}
+    assert "Deep" in names
+
+
+def test_call_chains_equal_brute_force(spark):
+    """All last hops of simple paths, by enumeration; with a limit the nearest of them."""
+    import random
+
+    r = random.Random(3)
+    edges = sorted({(f"n{r.randrange(9)}", f"n{r.randrange(9)}") for _ in range(26)})
+    rows = spark.createDataFrame([(a, b, a, f"{a}.cpp", i) for i, (a, b) in enumerate(edges)], "src string, dst string, caller string, path string, line_number int")
+    pairs = [("n0", f"n{i}") for i in range(9)] + [("n3", "n7"), ("n5", "n0"), ("n1", "absent")]
+
+    def brute(start, target, most):
+        out, todo = set(), [(start,)] if start != target else []
+        while todo:
+            path = todo.pop()
+            for i, (a, b) in enumerate(edges):
+                if a == path[-1] and b not in path and len(path) <= most:
+                    if b == target:
+                        out.add((len(path), a, f"{a}.cpp", i))
+                    else:
+                        todo.append((*path, b))
+        return out
+
+    table = spark.createDataFrame(pairs, "start string, target string")
+    for most, limit in ((10, None), (4, None), (10, 5)):
+        got = {}
+        for x in graph.call_chain_hops(rows, table, most, limit).collect():
+            got.setdefault((x["start"], x["target"]), []).append((x["depth"], x["caller"], x["path"], x["line_number"]))
+        for pair in pairs:
+            want = sorted(brute(*pair, most), key=lambda h: (h[0], h[2], h[3], h[1]))
+            assert sorted(got.get(pair, [])) == sorted(want[:limit]), (pair, most, limit)
