@@ -35,11 +35,26 @@ def _ints(width: int, scale: float):
             v = np.floor(x * scale)
             ids, query = np.asarray(batch.column(0), np.int64)[at], np.asarray(batch.column(2).fill_null(False))[at]
             cols = [pa.array(ids), pa.array(query), pa.array((v**2).sum(1)), pa.array([r.tobytes() for r in v], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["vec_id", "is_query", "norm2", "v"])
+            batch = pa.RecordBatch.from_arrays(cols, ["vec_id", "is_query", "norm2", "v"])
+            if len(np.unique(ids)) < len(ids):  # rows that repeat an id may be a third of all: one of equal ones goes on
+                rows = {(i, r): n for n, (i, r) in enumerate(zip(ids.tolist(), batch.column(3).to_pylist(), strict=True))}
+                batch = batch.take(pa.array(sorted(rows.values())))
+            yield batch
 
     return run
 
 
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by length, id and vector, without those that repeat the row before."""
+    last = None
+    for batch in batches:
+        ids, v = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+        keep = [(i, x) != (ids[n - 1], v[n - 1]) if n else (i, x) != last for n, (i, x) in enumerate(zip(ids, v, strict=True))]
+        if ids:
+            last = (ids[-1], v[-1])
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _stack(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.array([np.frombuffer(v) for v in column.to_pylist()]).reshape(len(column), width)
 
@@ -50,15 +65,19 @@ def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T).astype(np.int64) if most < 2**53 else (q.astype(object) @ v.T.astype(object)).astype(np.int64)
 
 
-def top_products(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vector: str = "embedding", block: int = 4096, chunk: int = 512, prefix: int = 16) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k largest inner products of each query row with all other rows."""
-    spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL").dropDuplicates(["vec_id", vector])
+def top_products(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vector: str = "embedding", block: int = 8192, chunk: int = 8192, prefix: int = 16) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k largest inner products of each query row with all other rows.
+
+    A block of vectors moves once for each chunk of queries of which any may find an answer in it.
+    """
+    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL")
     width = common_width(rows, vector)
     ints = rows.mapInArrow(_ints(width, scale), "vec_id long, is_query boolean, norm2 double, v binary")
     n = rows.count()
     blocks = max(1, -(-n // block))
-    sorted_rows = durable(ints.repartitionByRange(blocks, F.desc("norm2"), "vec_id").withColumn("block", F.spark_partition_id()), "lengths")
+    order_by = [F.desc("norm2"), F.col("vec_id"), F.col("v")]
+    once = ints.repartitionByRange(blocks, *order_by[:2]).sortWithinPartitions(*order_by).mapInArrow(_once, "vec_id long, is_query boolean, norm2 double, v binary")
+    sorted_rows = durable(once.withColumn("block", F.spark_partition_id()), "lengths")
 
     head = sorted_rows.orderBy(F.desc("norm2"), "vec_id").limit(HEAD).select("vec_id", "v").toArrow()
     head_id, head_v = np.asarray(head["vec_id"], np.int64), _stack(head["v"], width)
@@ -84,11 +103,12 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 2
             who, where = np.nonzero(norm[:, None] * reach[None, :] * (1 + 1e-9) >= bar[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(order[where]), pa.array(ids[who]), pa.array(bar[who]), pa.array([q[i].tobytes() for i in who], pa.binary())], ["block", "query_id", "bar", "v"])
 
-    queries = sorted_rows.filter("is_query").select("vec_id", "v").mapInArrow(meet, "block int, query_id long, bar double, v binary")
     count = sorted_rows.filter("is_query").count()
     chunks = max(1, -(-count // chunk))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    vectors = sorted_rows.select("block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "norm2", "v")
+    queries = sorted_rows.filter("is_query").select("vec_id", "v").mapInArrow(meet, "block int, query_id long, bar double, v binary")
+    queries = durable(queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")), "meetings")
+    asked = queries.groupBy("block").agg(F.collect_set("chunk").alias("chunks"))  # a row for each block
+    vectors = sorted_rows.join(asked, "block").select("block", F.explode("chunks").alias("chunk"), "vec_id", "norm2", "v")
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _scan(left, right, width, turn, prefix, k)
