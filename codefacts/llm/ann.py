@@ -3,9 +3,10 @@
 Coarse centroids and codebooks are fitted on at most ``sample`` vectors (documented bound); every vector is
 indexed: it goes to its nearest centroid's list with one byte for each sub-vector of its residual. A query probes
 the ``probes`` nearest lists. There a table of distances from the query's residual to each code word scores all
-codes of a list, the best ``shortlist`` of each part of a list are compared again with their original vectors in
-double precision, and the best k of all parts are the answer. Lists are dealt in parts of at most ``part`` rows and
-their queries in parts of ``part`` too, so a centroid that a third of the vectors share is searched by many tasks.
+codes of a list; only ids and these distances go on. The best ``shortlist`` of all lists together are looked up by id and
+compared with their original vectors in double precision, and the best k are the answer. Lists are dealt in parts of at
+most ``part`` rows and their queries in parts of ``part`` too, so a centroid that a third of the vectors share is searched
+by many tasks, and only codes move, no vectors.
 
 Edge cases: vectors that are null, zero, of another width than most or hold null or non-finite components take
 no part; ties go to the smaller id; repeated vectors are answers like any other, repeated rows
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import durable
+from codefacts.llm.common import durable, fixed_width, release
 from codefacts.llm.vectors import common_width, matrix
 
 
@@ -67,100 +68,114 @@ class Index:
         return [squared(rest[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.books, strict=True)]
 
 
-def fit(rows: DataFrame, vector: str, sample: int = 20_000, parts: int = 16, words: int = 256, most_cells: int = 1024) -> Index:
-    """Fits on at most sample vectors, chosen by a hash of their components; cells grow as the square root of the rows."""
+def fit(rows: DataFrame, vector: str, sample: int = 20_000, most: int = 131_072, parts: int = 16, words: int = 256) -> Index:
+    """Fits on a sample of vectors, chosen by a hash of their components: ``sample``, or 32 a cell, but at most ``most``; cells grow as the square root of the rows, up to a 32nd of most."""
     width = common_width(rows, vector)
     n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    draw = F.pmod(F.xxhash64(vector, "vec_id"), F.lit(1 << 24)) / float(1 << 24)
+    cells = int(min(most // 32, max(1, n**0.5 / 2)))
+    wanted = min(most, max(sample, 32 * cells))
+    draw = F.pmod(F.xxhash64(vector, "vec_id"), F.lit(1 << 40)) / float(1 << 40)
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, _ = matrix(batch.column(0), width)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[(x != 0).any(1)]], pa.binary())], ["x"])
 
-    got = rows.filter(draw < share).select(vector).limit(2 * sample).mapInArrow(take, "x binary").toArrow()["x"].to_pylist()
-    x = np.array([np.frombuffer(v) for v in got]).reshape(len(got), width)
-    return Index(x, int(min(most_cells, max(1, n**0.5 / 2))), parts, words)
+    drawn = rows.filter(draw < min(1.0, 1.2 * wanted / max(n, 1))).select(vector, draw.alias("draw"), "vec_id").orderBy("draw", "vec_id").limit(wanted)
+    x = fixed_width(drawn.select(vector).mapInArrow(take, "x binary").toArrow()["x"], np.float64, width) if width else np.zeros((0, 0))
+    return Index(x, cells, parts, words)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, probes: float = 0.7, shortlist: int = 64, part: int = 4096, vector: str = "embedding", index: Index | None = None) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, probes: float = 0.7, shortlist: int = 200, part: int = 8192, vector: str = "embedding", index: Index | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found for each query row.
 
     probes is the share of the lists that a query probes (16 lists at least). Vectors without clusters need a large one: their
     neighbours lie in most lists.
     """
-    rows = rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL").dropDuplicates(["vec_id", vector])
+    rows = durable(rows.select(F.col("vec_id").cast("long"), vector, is_query.alias("is_query")).filter("vec_id IS NOT NULL").dropDuplicates(["vec_id", vector]), "vectors")
     index = index or fit(rows, vector)
     width, cells = index.width, len(index.centroids)
     probed = min(cells, max(16, int(np.ceil(probes * cells))))
+    of_list = max(32, k + 4 * -(-shortlist // max(1, probed)))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's id, list, code and components."""
         for batch in batches:
             x, at = matrix(batch.column(1), width)
             some = (x != 0).any(1)
             x, at = x[some], at[some]
             if not len(x) or not cells:
                 continue
-            ids, query = np.asarray(batch.column(0), np.int64)[at], np.asarray(batch.column(2).fill_null(False))[at]
-            d = np.concatenate([squared(x[i : i + 2048], index.centroids) for i in range(0, len(x), 2048)])
-            cell = d.argmin(1)
-            code = index.encode(x, cell)
-            yield _rows(ids, cell, x, False, code)
-            if query.any():
-                near = np.argpartition(d[query], probed - 1, 1)[:, :probed]
-                who = np.repeat(np.arange(query.sum()), probed)
-                yield _rows(ids[query][who], near.ravel(), x[query][who], True, None)
-
-    everything = durable(rows.mapInArrow(assign, "cell int, is_query boolean, vec_id long, code binary, x binary"), "lists")
-    counts = everything.groupBy("cell", "is_query").agg(F.count("*").alias("n")).collect()  # two rows a list at most
-    size = {(r["cell"], r["is_query"]): -(-r["n"] // part) for r in counts}
-    parts_of = {q: F.array(*[F.lit(size.get((c, q), 1)) for c in range(max(cells, 1))]) for q in (False, True)}
-    own = F.pmod(F.xxhash64("vec_id"), F.get(F.when(F.col("is_query"), parts_of[True]).otherwise(parts_of[False]), F.col("cell")))
-    other = F.get(F.when(F.col("is_query"), parts_of[False]).otherwise(parts_of[True]), F.col("cell"))
-    dealt = everything.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), other.cast("long") - 1)))
-    vectors = dealt.filter("NOT is_query").select("cell", F.col("own").alias("p"), F.col("other").alias("q"), "vec_id", "code", "x")
-    queries = dealt.filter("is_query").select("cell", F.col("other").alias("p"), F.col("own").alias("q"), "vec_id", "x")
+            cell = nearest(x, index.centroids)
+            cols = [np.asarray(batch.column(0), np.int64)[at], np.asarray(batch.column(2).fill_null(False))[at], cell.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _bytes(index.encode(x, cell)), _bytes(x)], ["vec_id", "is_query", "cell", "code", "x"])
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each list that a query probes."""
+        for batch in batches:
+            ids, x = np.asarray(batch.column(0), np.int64), fixed_width(pa.chunked_array([batch.column(1)]), np.float64, width)
+            for i in range(0, len(ids), 256):
+                q = x[i : i + 256]
+                near = np.argpartition(squared(q, index.centroids), probed - 1, 1)[:, :probed]
+                who = np.repeat(np.arange(len(q)), probed)
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(ids[i : i + 256][who]), _bytes(q[who])], ["cell", "query_id", "q"])
+
+    everything = durable(rows.mapInArrow(assign, "vec_id long, is_query boolean, cell int, code binary, x binary"), "lists")
+    release(rows)
+    asked = everything.filter("is_query").select("vec_id", "x")
+    sizes = {r["cell"]: -(-r["n"] // part) for r in everything.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a list
+    q_parts = max(1, -(-asked.count() // part))
+    by_cell = F.array(*[F.lit(sizes.get(c, 1)) for c in range(max(cells, 1))])
+    own = F.pmod(F.xxhash64("vec_id"), F.get(by_cell, F.col("cell")))
+    codes = everything.select("cell", own.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q"), "vec_id", "code")
+    queries = asked.mapInArrow(probe, "cell int, query_id long, q binary").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.get(by_cell, F.col("cell")).cast("long") - 1)).alias("p"), F.pmod(F.xxhash64("query_id"), F.lit(q_parts)).cast("int").alias("part"), "query_id", F.col("q").alias("x")
+    )
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scan(index, int(key[0].as_py()), left, right, k, shortlist)
+        return _scan(index, int(key[0].as_py()), left, right, of_list)
+
+    rough = codes.groupBy("cell", "p", "q").cogroup(queries.groupBy("cell", "p", "part")).applyInArrow(compare, "query_id long, vec_id long, rough float")
+    best = Window.partitionBy("query_id").orderBy("rough", "vec_id")
+    close = durable(rough.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= shortlist).select("query_id", "vec_id"), "close")
+    both = close.join(everything.select("vec_id", "x"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, q = (fixed_width(pa.chunked_array([batch.column(i)]), np.float64, width) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((x - q) ** 2).sum(1)))], ["query_id", "vec_id", "score"])
 
-    found = vectors.groupBy("cell", "p", "q").cogroup(queries.groupBy("cell", "p", "q")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = both.select("query_id", "vec_id", "x", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _rows(ids: np.ndarray, cell: np.ndarray, x: np.ndarray, query: bool, code: np.ndarray | None) -> pa.RecordBatch:
-    codes = pa.nulls(len(ids), pa.binary()) if code is None else pa.array([c.tobytes() for c in code], pa.binary())
-    cols = [pa.array(cell.astype(np.int32)), pa.array(np.full(len(ids), query)), pa.array(ids), codes, pa.array([r.tobytes() for r in x], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, ["cell", "is_query", "vec_id", "code", "x"])
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
 
 
-def _scan(index: Index, cell: int, left: pa.Table, right: pa.Table, k: int, shortlist: int) -> pa.Table:
+def _scan(index: Index, cell: int, left: pa.Table, right: pa.Table, few: int) -> pa.Table:
+    """Of one list's codes the few nearest to each query by the table of distances."""
     out: list[tuple[np.ndarray, ...]] = []
     if left.num_rows and right.num_rows:
         ids = np.asarray(left["vec_id"], np.int64)
-        order = np.argsort(ids, kind="stable")  # so that ties in a stable sort go to the smaller id
-        ids = ids[order]
-        code = np.array([np.frombuffer(c, np.uint8) for c in left["code"].to_pylist()])[order]
-        x = np.array([np.frombuffer(c) for c in left["x"].to_pylist()])[order]
-        qid = np.asarray(right["vec_id"], np.int64)
-        q = np.array([np.frombuffer(c) for c in right["x"].to_pylist()])
+        order = np.argsort(ids, kind="stable")
+        ids, code = ids[order], fixed_width(left["code"], np.uint8, len(index.books))[order]
+        qid, q = np.asarray(right["query_id"], np.int64), fixed_width(right["x"], np.float64, index.width)
+        some = min(few, len(ids))
         for i in range(0, len(q), 64):
-            tables = index.tables(q[i : i + 64], cell)
-            score = sum(t[:, code[:, m]] for m, t in enumerate(tables))
+            score = sum(t[:, code[:, m]] for m, t in enumerate(index.tables(q[i : i + 64], cell))).astype(np.float32)
             score[qid[i : i + 64, None] == ids[None, :]] = np.inf
-            some = min(shortlist, len(ids))
-            for r, row in enumerate(score):
-                bar = np.partition(row, some - 1)[some - 1]
-                close = np.flatnonzero(row < bar)
-                best = np.concatenate((close, np.flatnonzero(row == bar)[: some - len(close)]))
-                best = best[np.isfinite(row[best])]
-                exact = np.sqrt(((x[best] - q[i + r]) ** 2).sum(1))
-                top = np.lexsort((ids[best], exact))[:k]
-                out.append((np.full(len(top), qid[i + r]), ids[best][top], exact[top]))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+            near = np.argpartition(score, some - 1, 1)[:, :some] if some < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
+            bar = np.take_along_axis(score, near, 1).max(1)
+            for row in np.flatnonzero((score <= bar[:, None]).sum(1) > some):  # ties go to the smaller ids
+                close = np.flatnonzero(score[row] < bar[row])
+                near[row] = np.concatenate((close, np.flatnonzero(score[row] == bar[row])[: some - len(close)]))
+            rough = np.take_along_axis(score, near, 1)
+            r, c = np.nonzero(np.isfinite(rough))
+            out.append((qid[i + r], ids[near[r, c]], rough[r, c]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+    return pa.table({"query_id": cols[0], "vec_id": cols[1], "rough": cols[2]})
 
 
 def op3_ivf_pq_neighbours(spark, sf_dir: str) -> DataFrame:

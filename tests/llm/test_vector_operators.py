@@ -50,7 +50,7 @@ def test_products_equal_brute_force(spark):
     x, rows = vectors(spark)
     v = np.floor(x.astype(float) * 256).astype(np.int64)
     got: dict[int, list] = {}
-    for r in topk.top_products(rows, F.col("vec_id") % 50 == 0, block=200, chunk=7).collect():
+    for r in topk.top_products(rows.union(rows.filter("vec_id < 300")), F.col("vec_id") % 50 == 0, block=200, chunk=7).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     for q in range(0, 1500, 50):
         s = v @ v[q]
@@ -65,3 +65,25 @@ def test_odd_vectors(spark):
     assert top == [(1, 3), (1, 8), (3, 1), (3, 8), (8, 1), (8, 3)]
     empty = spark.createDataFrame([], SCHEMA)
     assert ann.search(empty, F.lit(True)).count() == 0 and topk.top_products(empty, F.lit(True)).count() == 0
+
+
+def test_recall_on_the_given_vectors(spark):
+    """At least 0.9 of the true ten nearest with the query's own parameters."""
+    import os
+
+    import pytest
+
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("needs the given tables")
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    given = [r for r in rows.collect() if r["embedding"] is not None and None not in r["embedding"]]
+    ids, x = np.array([r["vec_id"] for r in given]), np.array([r["embedding"] for r in given], float)
+    got: dict[int, list] = {}
+    for r in ann.op3_ivf_pq_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    hit = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hit += (np.array(found) <= np.sort(d)[9] + 1e-12).sum()
+    assert len(got) == (ids % 100 == 0).sum() and hit >= 0.9 * 10 * len(got)
