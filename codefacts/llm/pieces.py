@@ -5,16 +5,17 @@ marks, which no piece crosses. A batch's distinct marked words are sorted, so wo
 together, and the trie that they form is walked depth-first: the forward state of a prefix is the last piece of its
 encoding, and a word only computes the states after the prefix that it shares with the word before.
 
-The public model file is a BPE model. A Viterbi pass that adds piece scores gives other ids than its merges do, so
-the transition used here is the one that gives the model's ids: a piece may follow another if merging the two
-pieces' characters yields exactly these two pieces (checked once for each pair and kept). The encoding of a prefix
-is then unique, and the pass needs no merging of whole words. Words with repeated marks are merged directly.
-Characters that the model lacks become byte pieces.
+The public model file is a BPE model. A Viterbi pass that adds piece scores (``encode_scored``, the one for models whose
+scores are log probabilities) gives other ids than its merges do, so the transition used by default is the one that
+gives the model's ids: a piece may follow another if merging the two pieces' characters yields exactly these two pieces
+(checked once for each pair and kept). The encoding of a prefix is then unique, and the pass needs no merging of whole
+words. Words with repeated marks are merged directly. Characters that the model lacks become byte pieces.
 
 Decoding is a lookup of each piece's bytes, less the leading space.
 
 Edge cases: a null text has null ids, an empty one none; equal texts get equal ids; texts of any length are encoded
-whole; invalid ids do not occur in encoded text; other columns are ignored.
+whole; invalid ids do not occur in encoded text; other columns are ignored. A kept column that is called as the result
+is comes back with an underscore after its name.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from codefacts.llm.common import doc_slices
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-BATCH_BYTES, KEPT_WORDS = 1 << 23, 200_000
+BATCH_BYTES, KEPT_WORDS, KEPT_PAIRS = 1 << 23, 200_000, 2_000_000
 
 
 class Pieces:
@@ -80,6 +81,8 @@ class Pieces:
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of distinct words."""
         out: dict[str, list[int]] = {}
+        if len(self.follows) > KEPT_PAIRS:
+            self.follows.clear()
         follows, may_follow = self.follows, self.may_follow
         step, fallback, ending = self.step, self.fallback, self.ending
         before = ""
@@ -112,19 +115,54 @@ class Pieces:
                 last.append(piece)
                 size.append(length)
                 node.append(at)
-            ids: list[int] = []
-            end = len(word)
-            while end:
-                if last[end] >= 0:
-                    ids.append(last[end])
-                else:
-                    ids += [self.byte_id[b] for b in reversed(word[end - 1].encode())]
-                end -= size[end]
-            ids.reverse()
-            out[word] = ids
+            out[word] = self._back(word, last, size)
             before = word
         return out
 
+    def encode_scored(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """The ids of distinct words whose pieces' scores have the largest sum; on ties the longest last piece. Forward scores of a common prefix are used again."""
+        out: dict[str, list[int]] = {}
+        lacking = min(self.score.values(), default=0.0) - 10.0  # for a character that the model lacks
+        value = [0.0] * len(self.name)
+        for piece, i in self.id_of.items():
+            value[i] = self.score[piece]
+        before = ""
+        best, last, size, node = [0.0], [-1], [0], [0]
+        for word in sorted(words):
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            for path in (best, last, size, node):
+                del path[shared + 1 :]
+            at = node[shared]
+            for end in range(shared + 1, len(word) + 1):
+                c = word[end - 1]
+                while at and c not in self.step[at]:
+                    at = self.fallback[at]
+                at = self.step[at].get(c, 0)
+                top, piece, length = best[end - 1] + lacking, -2, 1
+                for p, n in self.ending[at]:
+                    if best[end - n] + value[p] > top:
+                        top, piece, length = best[end - n] + value[p], p, n
+                best.append(top)
+                last.append(piece)
+                size.append(length)
+                node.append(at)
+            out[word] = self._back(word, last, size)
+            before = word
+        return out
+
+    def _back(self, word: str, last: list[int], size: list[int]) -> list[int]:
+        ids: list[int] = []
+        end = len(word)
+        while end:
+            if last[end] >= 0:
+                ids.append(last[end])
+            else:
+                ids += [self.byte_id[b] for b in reversed(word[end - 1].encode())]
+            end -= size[end]
+        return ids[::-1]
+
     def _automaton(self) -> None:
         """Nodes for all prefixes of pieces: step (by character), fallback (the longest proper suffix that is a node too) and ending, the pieces that end here, longest first."""
         self.step: list[dict[str, int]] = [{}]
@@ -182,7 +220,7 @@ def mark(text: str) -> str:
     return (MARK + text.replace(" ", MARK)) if text else ""
 
 
-def encode_texts(texts: list[str | None], model: str, known: dict[str, list[int]]) -> list[np.ndarray | None]:
+def encode_texts(texts: list[str | None], model: str, known: dict[str, list[int]], scored: bool = False) -> list[np.ndarray | None]:
     """Ids of each text; known: words encoded before, which this adds to."""
     p = pieces(model)
     split = [WORD.findall(mark(t)) if t else [] for t in texts]
@@ -190,7 +228,7 @@ def encode_texts(texts: list[str | None], model: str, known: dict[str, list[int]
     if len(known) + len(new) > KEPT_WORDS:
         known.clear()
         new = {w for words in split for w in words}
-    known.update(p.encode_words(new))
+    known.update(p.encode_scored(new) if scored else p.encode_words(new))
     return [None if t is None else np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for t, words in zip(texts, split, strict=True)]
 
 
@@ -202,13 +240,13 @@ def decode_ids(ids: np.ndarray, model: str = MODEL) -> str:
 Batches = Iterable[pa.RecordBatch]
 
 
-def encoded(batches: Batches, model: str) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Batches, model: str, scored: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches of (text, ...) as (ids, ...)."""
     known: dict[str, list[int]] = {}
     for batch in batches:
         for i, j in doc_slices(batch.column(0), BATCH_BYTES, 4096):
             part = batch.slice(i, j - i)
-            ids = encode_texts(part.column(0).to_pylist(), model, known)
+            ids = encode_texts(part.column(0).to_pylist(), model, known, scored)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *part.columns[1:]], ["ids", *part.schema.names[1:]])
 
 
@@ -221,16 +259,21 @@ def decoded(batches: Batches, model: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", *batch.schema.names[1:]])
 
 
-def encode(docs: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
-    """ids (array<int>) of text, and the columns named in keep."""
-    schema = ", ".join(["ids array<int>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    return docs.select(docs["text"].alias("_text"), *keep).mapInArrow(lambda batches: encoded(batches, model), schema)
+def _mapped(rows: DataFrame, source: str, keep: list[str], run, result: str, kind: str) -> DataFrame:
+    """The result of a column and the kept columns, whatever these are called."""
+    schema = ", ".join([f"result {kind}", *(f"k{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))])
+    out = rows.select(rows[source].alias("source"), *[rows[c].alias(f"k{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+    return out.toDF(result, *[c + "_" * (c == result) for c in keep])
+
+
+def encode(docs: DataFrame, keep: list[str], model: str = MODEL, scored: bool = False) -> DataFrame:
+    """ids (array<int>) of text, and the columns named in keep; scored: by the largest sum of scores."""
+    return _mapped(docs, "text", keep, lambda batches: (b.rename_columns(["result", *b.schema.names[1:]]) for b in encoded(batches, model, scored)), "ids", "array<int>")
 
 
 def decode(rows: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
     """text of ids, and the columns named in keep."""
-    schema = ", ".join(["text string", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)])
-    return rows.select("ids", *keep).mapInArrow(lambda batches: decoded(batches, model), schema)
+    return _mapped(rows, "ids", keep, lambda batches: (b.rename_columns(["result", *b.schema.names[1:]]) for b in decoded(batches, model)), "text", "string")
 
 
 def _digest(batches: Batches) -> Iterator[pa.RecordBatch]:

@@ -299,6 +299,36 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(odd_docs(spark), ["doc_id", "x"]).count() == 9
 
 
+def test_scored_pieces_equal_brute_force():
+    """Of all ways to cut a word into pieces, the one with the largest sum of scores."""
+    p = pieces.pieces()
+    lacking = min(p.score.values()) - 10.0
+
+    def best(word):
+        sums = {0: (0.0, ())}
+        for end in range(1, len(word) + 1):
+            ways = [(sums[a][0] + p.score[word[a:end]], (*sums[a][1], word[a:end])) for a in range(end) if word[a:end] in p.id_of]
+            ways.append((sums[end - 1][0] + lacking, (*sums[end - 1][1], word[end - 1])))
+            sums[end] = max(ways, key=lambda w: w[0])
+        return sums[len(word)]
+
+    r = random.Random(12)
+    words = {pieces.MARK + "".join(r.choice("abcdeinorst漢\U0001f600") for _ in range(r.randint(0, 14))) for _ in range(400)} | {pieces.MARK + w for w in "the unbelievable unbelievably then there thesis".split()}
+    got = p.encode_scored(words)
+    for word in words:
+        value = sum(p.score[p.name[i]] for i in got[word] if p.name[i] in p.id_of) + lacking * sum(c not in p.id_of for c in word)
+        assert value == best(word)[0]
+        assert b"".join(p.bytes_of[i] for i in got[word]).decode() == word.replace(pieces.MARK, " ")
+
+
+def test_pieces_of_rows_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a text", "kept", 5)], "doc_id long, text string, ids string, result long")
+    out = pieces.encode(docs, ["text", "ids", "result"])
+    assert out.columns == ["ids", "text", "ids_", "result"]
+    back = pieces.decode(out, ["text", "ids_"])
+    assert back.columns == ["text", "text_", "ids_"] and tuple(back.first()) == ("a text", "a text", "kept")
+
+
 def labelled(spark, n=400):
     r = random.Random(6)
     parts = {"en": "the and of to in that with this from have".split(), "de": "der die und nicht mit ein ist auf für über".split(), "fr": "le la et les des une pour dans être déjà".split(), "es": "el los que una por para con está niño según".split()}
