@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codefacts.llm import jaccard, langid, packing, repeats, toxicity
-from codefacts.llm.common import durable
+from codefacts.llm.common import durable, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Rows of an Arrow batch while the pipeline runs: some documents are very long.
@@ -19,6 +19,8 @@ BATCH_ROWS = "1024"
 
 
 def _short_batches(stage: Stage) -> Stage:
+    """The stage with short batches, also while its caller writes what it returns; run() sets the session's own value again."""
+
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         return stage(spark, docs, sf_dir)
@@ -40,7 +42,15 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows: the pieces of the documents that all stages kept, packed into sequences."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for n, (name, stage) in enumerate(STAGES[:-1]):
+            kept = durable(stage(spark, docs, sf_dir), name)
+            if n:
+                release(docs)
+            docs = kept
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(key, before)
