@@ -483,12 +483,12 @@ def extract_includes(spark, d):
 
 @query("SELECT m.file_id, line_number, macro_type, trim(string_split(text, chr(10))[line_number]) AS raw_text FROM fx_macros m JOIN fx_header h ON h.file_id = m.file_id")
 def extract_macros(spark, d):
-    return extract.extract_macros(extract.scan_sources(testdata.sources(spark, d))).select("file_id", "line_number", "macro_type", "raw_text")
+    return extract.extract_macros(testdata.sources(spark, d)).select("file_id", "line_number", "macro_type", "raw_text")
 
 
 @query("SELECT file_id, line_number, ord, key, value, is_meta = 1 AS is_meta FROM fx_specifiers")
 def parse_specifiers(spark, d):
-    found = extract.extract_macros(extract.scan_sources(testdata.sources(spark, d)))
+    found = extract.extract_macros(testdata.sources(spark, d))
     return extract.explode_specifiers(found).join(found.select(F.col("id").alias("macro_id"), "file_id", "line_number"), "macro_id").select("file_id", "line_number", "ord", "key", "value", "is_meta")
 
 

@@ -1,7 +1,8 @@
 """Source texts to facts: symbols, parameters, base classes, includes, macros, specifiers, calls and references.
 
-One Arrow pass per source file runs the scanner; everything else is DataFrame functions on its result. Sources are a
-table (file_id, codebase_id, relative_path, content).
+One Arrow pass per source file runs the scanner for declarations and bodies; macros, their specifiers, includes and cleaned
+text are DataFrame functions on the texts, calls and references on the scanner's result. Sources are a table (file_id,
+codebase_id, relative_path, content).
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts import changes, link, macros
+from codefacts import changes, lexical, link, macros
 from codefacts.functions import is_builtin_callee
-from codefacts.scan import blank_non_code, clean, find_macros, parse_specifiers, scan
+from codefacts.scan import scan
 from codefacts.tables import file_id, located, settled, symbol_id
 
 #: Specifier keys that are metadata even outside meta=(...).
@@ -34,18 +35,16 @@ SCOPES = 10_000
 
 _PARAMETER = "struct<name:string,type:string,default_value:string,position:int>"
 _BASE = "struct<name:string,access:string,is_virtual:boolean>"
-_SPECIFIER = "struct<ord:int,key:string,value:string,is_meta:boolean>"
 _SYMBOL = (
     "struct<ord:int,parent_ord:int,name:string,qualified_name:string,kind:string,access:string,is_static:boolean,is_virtual:boolean,is_const:boolean,"
     f"is_inline:boolean,return_type:string,line_start:int,line_end:int,column_start:int,signature:string,raw_text:string,parameters:array<{_PARAMETER}>,base_classes:array<{_BASE}>>"
 )
-_MACRO = f"struct<macro_type:string,line_number:int,raw_text:string,specifiers:array<{_SPECIFIER}>>"
 
 
 def scan_sources(sources: DataFrame) -> DataFrame:
-    """file_id, codebase_id, symbols, macros, code, body_code of each source.
+    """file_id, codebase_id, symbols, code, body_code of each source.
 
-    A source that can't be scanned (more than SCOPES in each other) gives its macros, but no other facts.
+    A source that can't be scanned (more than SCOPES in each other) gives no symbols, calls and references.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,26 +55,20 @@ def scan_sources(sources: DataFrame) -> DataFrame:
                 try:
                     found = scan(text or "")
                 except (ValueError, RecursionError, IndexError):
-                    found = {"symbols": [], "macros": find_macros(text or "", blank_non_code(text or "")), "code": "", "body_code": ""}
-                marks = [{"macro_type": m["macro_type"], "line_number": m["line_number"], "raw_text": m["raw_text"], "specifiers": parse_specifiers(m["content"], META_KEYS)} for m in found["macros"]]
-                rows.append((found["symbols"], marks, found["code"], found["body_code"]))
-            out = pd.DataFrame(rows, columns=["symbols", "macros", "code", "body_code"])
+                    found = {"symbols": [], "code": "", "body_code": ""}
+                rows.append((found["symbols"], found["code"], found["body_code"]))
+            out = pd.DataFrame(rows, columns=["symbols", "code", "body_code"])
             out.insert(0, "codebase_id", pdf["codebase_id"].to_numpy())
             out.insert(0, "file_id", pdf["file_id"].to_numpy())
             yield out
 
-    schema = f"file_id long, codebase_id long, symbols array<{_SYMBOL}>, macros array<{_MACRO}>, code string, body_code string"
+    schema = f"file_id long, codebase_id long, symbols array<{_SYMBOL}>, code string, body_code string"
     return sources.select(F.col("file_id").cast("long"), F.col("codebase_id").cast("long"), "content").mapInPandas(run, schema)
 
 
 def clean_source(sources: DataFrame) -> DataFrame:
     """The sources with clean_text: no export tokens or UMETA(...), macro and delegate lines empty, line numbers kept."""
-
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: clean(t) if t is not None else None)
-
-    return sources.withColumn("clean_text", cleaned("content"))
+    return sources.withColumn("clean_text", lexical.clean(F.col("content")))
 
 
 def extract_symbols(scanned: DataFrame) -> DataFrame:
@@ -102,9 +95,10 @@ def extract_includes(sources: DataFrame) -> DataFrame:
     return rows.select("file_id", (F.col("at") + 1).alias("line_number"), F.regexp_extract("line", pattern, 2).alias("included_path"), (F.regexp_extract("line", pattern, 1) == "<").alias("is_system"), F.lit(None).cast("long").alias("resolved_file_id"))
 
 
-def extract_macros(scanned: DataFrame) -> DataFrame:
+def extract_macros(sources: DataFrame) -> DataFrame:
     """id, file_id, macro_type, line_number, raw_text, specifiers (array); one a line."""
-    rows = scanned.select("file_id", F.explode("macros").alias("m")).select("file_id", "m.*").dropDuplicates(["file_id", "line_number"])
+    rows = sources.select(F.col("file_id").cast("long").alias("file_id"), F.explode(lexical.macros(F.col("content"))).alias("m"))
+    rows = rows.select("file_id", "m.macro_type", "m.line_number", "m.raw_text", lexical.specifiers(F.col("m.content"), META_KEYS).alias("specifiers"))
     return rows.withColumn("id", F.xxhash64("file_id", "line_number")).withColumn("symbol_id", F.lit(None).cast("long"))
 
 
@@ -147,7 +141,7 @@ def index_corpus(sources: DataFrame, linked: bool = True) -> dict[str, DataFrame
     scanned = settled(scan_sources(sources), "scan")
     files = sources.select(F.col("file_id").cast("long"), F.col("codebase_id").cast("long"), "relative_path")
     symbols = extract_symbols(scanned)
-    found = extract_macros(scanned)
+    found = extract_macros(sources)
     tables = {
         "files": files,
         "symbols": symbols.drop("parameters", "base_classes"),
