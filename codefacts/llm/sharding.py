@@ -71,26 +71,28 @@ def shard_of(doc_id: Column, tree: Tree) -> Column:
 def assign_shards(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard.
 
-    Slots are dealt without bringing a shard into one task: rows are numbered inside one of 4096 hash chunks
-    of their shard, and the rows of earlier chunks, counted first (4096 rows a shard at most), are added.
+    Slots are dealt without bringing a shard into one task: rows are numbered inside one of 4096 chunks of their shard,
+    by a hash of id and text, and the rows of earlier chunks, counted first (4096 rows a shard at most), are added.
+    Equal rows are counted before they are shuffled and take slots in a row.
     """
-    chunk = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _CHUNK_DIGITS)
     placed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         shard_of(F.col("doc_id"), tree).cast("int").alias("shard"),
         (shard_of(F.col("doc_id"), grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        chunk.alias("chunk"),
     )
-    counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string"))
+    placed = placed.groupBy(*placed.columns).agg(F.count("*").alias("rows")).withColumn("chunk", F.substring(F.md5(named.cast("binary")), 1, _CHUNK_DIGITS))
+    counts = placed.groupBy("shard", "chunk").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")
-    numbered = placed.withColumn("at", F.row_number().over(inside))
-    return numbered.join(F.broadcast(starts), ["shard", "chunk"]).select(
+    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("at", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    slots = numbered.join(F.broadcast(starts), ["shard", "chunk"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    return slots.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("first_slot") + F.col("at") - 1).cast("long").alias("slot"), "grown_shard",
+        (F.col("first_slot") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard",
     )
 
 
@@ -130,11 +132,11 @@ WITH bytes AS (
   SELECT doc_id, octet_length(b) + 1 AS size,
     CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST('0x' || x AS UBIGINT) FOR x IN regexp_extract_all(hex(b), '..')]),
       lambda a, x: xor(a >> 8, t[CAST(xor(a & 255, x) AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32,
-    CAST({tree_sql(tree)} AS INTEGER) AS shard, CAST({tree_sql(grown)} AS INTEGER) AS grown_shard, substr(md5(k), 1, {_CHUNK_DIGITS}) AS chunk
+    CAST({tree_sql(tree)} AS INTEGER) AS shard, CAST({tree_sql(grown)} AS INTEGER) AS grown_shard, k
   FROM bytes, step
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY chunk, doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard FROM placed"""
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || ':' || text_crc32), 1, {_CHUNK_DIGITS}), doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard FROM placed"""
 
 
 def op4_hash_tree_sharding(spark, sf_dir: str) -> DataFrame:
