@@ -270,9 +270,9 @@ def macro_specifiers(spark, d):
     return out.select("q", "macro_type", "line_number", F.array_join("ordinary", ", ").alias("ordinary"), F.array_join("meta", ", ").alias("meta"))
 
 
-@query(f"SELECT m.file_id, macro_type, m.line_number, {_SPEC} AS specifiers FROM fx_macros m LEFT JOIN fx_specifiers s ON s.file_id = m.file_id AND s.line_number = m.line_number WHERE m.file_id % 20 = 0 GROUP BY 1, 2, 3")
+@query(f"SELECT m.file_id, macro_type, m.line_number, {_SPEC} AS specifiers FROM fx_macros m LEFT JOIN fx_specifiers s ON s.file_id = m.file_id AND s.line_number = m.line_number GROUP BY 1, 2, 3")
 def macros_by_file(spark, d):
-    ids = testdata.files(spark, d).filter("file_id % 20 = 0").select("file_id")
+    ids = testdata.files(spark, d).select("file_id")
     return macros.macros_by(testdata.macros(spark, d), testdata.specifiers(spark, d), file_ids=ids).select("file_id", "macro_type", "line_number", "specifiers")
 
 
@@ -414,10 +414,10 @@ def register_codebases(spark, d):
 # lookups --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT file_id, name, kind, line_start FROM fx_symbols WHERE file_id % 10 = 4")
+@query("SELECT file_id, name, kind, line_start FROM fx_symbols")
 def symbols_by_file(spark, d):
     symbols = testdata.symbols(spark, d)
-    return reports.symbols_by_file(symbols, symbols.filter("file_id % 10 = 4").select("file_id")).select("file_id", "name", "kind", "line_start")
+    return reports.symbols_by_file(symbols, testdata.files(spark, d).select("file_id")).select("file_id", "name", "kind", "line_start")
 
 
 @query("SELECT name, qualified_name, codebase_id, relative_path AS path, line_start FROM fx_symbols JOIN fx_files USING (file_id) WHERE name IN ('Run3', 'Run8', 'APart12')")
@@ -464,10 +464,10 @@ def explode_parameters(spark, d):
     return extract.explode_parameters(symbols).join(symbols.select(F.col("id").alias("symbol_id"), "file_id", F.col("name").alias("function_name")), "symbol_id").select("file_id", "function_name", "name", "type", "position")
 
 
-@query("SELECT 'Size' AS name, 'int32' AS type, 0 AS position, file_id FROM fx_symbols WHERE kind = 'method' AND file_id % 6 = 1")
+@query("SELECT 'Size' AS name, 'int32' AS type, 0 AS position, file_id FROM fx_symbols WHERE kind = 'method'")
 def parameters_of(spark, d):
     symbols = extract.extract_symbols(extract.scan_sources(testdata.sources(spark, d)))
-    out = reports.parameters_of(extract.explode_parameters(symbols), symbols.filter("file_id % 6 = 1").select("id"))
+    out = reports.parameters_of(extract.explode_parameters(symbols), symbols.select("id"))
     return out.join(symbols.select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id").select("name", "type", "position", "file_id")
 
 
@@ -543,10 +543,10 @@ def find_references(spark, d):
     return search.find_references(link.resolve_references(refs, symbols, files), symbols, files, ["Run3", "APart7", "APart0", "Run11"])
 
 
-@query(f"WITH {_REFS} SELECT file_id, symbol_name, line_number FROM refs WHERE file_id % 30 = 1")
+@query(f"WITH {_REFS} SELECT file_id, symbol_name, line_number FROM refs")
 def references_by_file(spark, d):
     refs, symbols, files = _references(spark, d)
-    ids = files.filter("file_id % 30 = 1").select("file_id")
+    ids = files.select("file_id")
     return reports.references_by_file(link.resolve_references(refs, symbols, files), symbols, ids).select("file_id", "symbol_name", "line_number")
 
 

@@ -172,12 +172,3 @@ def reindex_files(tables: dict[str, DataFrame], codebases: DataFrame, sources: D
     rows = rows.join(known, ["codebase_id", "relative_path"], "left").withColumn("file_id", F.coalesce("_known", "file_id")).drop("_known")
     touched = rows.select("codebase_id", "relative_path", F.lit("changed").alias("status"))
     return changes.apply_changes(tables, touched, index_corpus(rows, linked=False))
-
-
-def run_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row a table: name and rows."""
-    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
