@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codefacts.llm import htmltext, jaccard, langid, packing, pieces, repeats, sharding, toxicity
+from codefacts.llm import common, htmltext, jaccard, langid, packing, pieces, repeats, sharding, toxicity
 from codefacts.llm.common import string_buffer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, spans string, id string, x double"
@@ -123,6 +123,48 @@ def test_jaccard_join_of_long_lists_in_sides(spark, part, monkeypatch):
     assert {tuple(x) for x in found} == brute_components(rows)
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Shuffles into 17 parts that stay apart, so that long runs of one key go over several of them."""
+    given = {"spark.sql.shuffle.partitions": "17", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_runs_over_several_ranges(spark, many_ranges):
+    """Most texts share one passage and one fifth of all shingles' rarest: the runs of a key span many ranges, in both operators."""
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(200)]
+    passage = [r.choice(vocabulary) for _ in range(70)]
+    rows = []
+    for i in range(150):
+        own = random.Random(i // 2)
+        rows.append((i, " ".join([own.choice(vocabulary) for _ in range(8)] + passage[: 55 + i % 16] + [own.choice(vocabulary) for _ in range(6)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    parts = repeats.suffixes(texts, 50, 40).repartitionByRange("key", "doc", "pos", "last").groupBy(F.spark_partition_id().alias("p"), "key").count().groupBy("key").count().agg(F.max("count")).first()[0]
+    assert parts > 3
+    found: dict[int, set] = {i: set() for i, _ in rows}
+    for p in repeats.repeated_passages(docs).collect():
+        assert p["first_doc_id"] < p["doc_id"]
+        found[p["doc_id"]] |= set(range(p["start_word"], p["start_word"] + p["n_words"]))
+    assert found == brute_repeated(rows)
+    assert {tuple(x) for x in jaccard.near_duplicates(docs).collect()} == brute_components(rows)
+
+
+def test_rows_by_ids_with_and_without_a_broadcast(spark):
+    rows = spark.range(300).select(F.when(F.col("id") % 50 != 7, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    ids = spark.range(0, 300, 9).select(F.col("id").alias("doc_id"))
+    for most in (1000, 0):
+        some, rest = common.part_by_ids(rows, "doc_id", ids, most)
+        a, b = {r["text"] for r in some.collect()}, {r["text"] for r in rest.collect()}
+        assert not a & b and len(a | b) == 300 and a >= {f"t{i}" for i in range(0, 300, 9) if i % 50 != 7} and len(a) < 60
+
+
 def brute_repeated(rows, least=50):
     """Words of each document that stand in a run of ``least`` words which an earlier document has too."""
     out = {}
