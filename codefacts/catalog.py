@@ -564,7 +564,7 @@ facts AS (
     LEFT JOIN fx_symbols q ON q.file_id = c.file_id AND q.name = c.callee_name LEFT JOIN callees k ON k.codebase_id = f.codebase_id AND k.name = c.callee_name
   UNION ALL SELECT 'includes', concat_ws('|', r.file_id, line_number, included_path, is_system, CASE WHEN r.target >= 0 THEN r.target END) FROM resolved r WHERE r.file_id >= 0
   UNION ALL SELECT 'references_table', concat_ws('|', r.file_id, symbol_name, line_number, column_number, context, t.target) FROM refs r JOIN fx_files f ON f.file_id = r.file_id LEFT JOIN named_any t ON t.codebase_id = f.codebase_id AND t.name = r.symbol_name
-) SELECT table_name, count(*) AS n, CAST(sum(CAST(concat('0x', substr(md5(fact), 1, 12)) AS BIGINT)) AS BIGINT) AS content FROM facts GROUP BY 1""")
+) SELECT table_name, count(*) AS n, CAST(sum(CAST(concat('0x', substr(md5(fact), 1, 8)) AS BIGINT)) AS BIGINT) AS content FROM facts GROUP BY 1""")
 def index_corpus(spark, d):
     """Rows of each table, and a sum over hashes of their contents with the links written as names."""
     sources = testdata.sources(spark, d).unionByName(testdata.files(spark, d).filter("file_id < 0").withColumn("content", F.lit("#pragma once\n")))
@@ -586,7 +586,7 @@ def index_corpus(spark, d):
     out = None
     for name, table in rows.items():
         fact = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in table.columns])
-        number = F.conv(F.substring(F.md5(fact), 1, 12), 16, 10).cast("long")
+        number = F.conv(F.substring(F.md5(fact), 1, 8), 16, 10).cast("long")
         part = table.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.sum(number).alias("content"))
         out = part if out is None else out.unionByName(part)
     return out
