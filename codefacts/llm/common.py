@@ -117,9 +117,9 @@ def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word ``[^\\x20\\x09-\\x0D]+``, and for each text the index of its first word."""
-    space = _SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, parts: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word ``[^\\x20\\x09-\\x0D]+``, or run of bytes that don't part words, and for each text the index of its first."""
+    space = parts[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([True], space[:-1])) if len(raw) else space
