@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts import changes, corpus, extract, functions, graph, link, macros, reports, search, testdata
-from codefacts.tables import file_id
+from codefacts import changes, corpus, extract, functions, graph, link, macros, reports, search, store, testdata
+from codefacts.tables import file_id, shared_folder, symbol_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -384,6 +385,35 @@ def relink_changed_files(spark, d):
     return out["calls"].join(at, "callee_symbol_id", "left").select("file_id", "line_number", "caller_name", "callee_name", "target")
 
 
+@query(f"""WITH {_CALLEES}, added AS (SELECT codebase_id, 'Run' || pk AS name FROM fx_class WHERE pk % 5 = 0)
+SELECT c.file_id, line_number, caller_name, c.callee_name, coalesce(
+  CASE WHEN q.qualified_name IS NULL THEN NULL ELSE q.qualified_name || '@' || f.relative_path || ':' || q.line_start END, 'Added::' || a.name || '@AAA/Added.cpp:1', k.target) AS target
+FROM fx_calls c JOIN fx_files f ON f.file_id = c.file_id LEFT JOIN fx_symbols q ON q.file_id = c.file_id AND q.name = c.callee_name
+LEFT JOIN added a ON a.codebase_id = f.codebase_id AND a.name = c.callee_name LEFT JOIN callees k ON k.codebase_id = f.codebase_id AND k.name = c.callee_name""")
+def relink_added_files(spark, d):
+    """A file that sorts first is added to each codebase, with a function for every fifth class: links that held until now move to it, as in a full run."""
+    calls, symbols, files = _calls(spark, d)
+    fresh = files.select("codebase_id").distinct().select((-1000 - F.col("codebase_id")).alias("file_id"), "codebase_id", F.lit("AAA/Added.cpp").alias("relative_path"))
+    rows = fresh.join(_read(spark, d, "part").filter("p_partkey % 5 = 0").select((1 + F.col("p_size") % 3).alias("codebase_id"), F.col("p_partkey").cast("int").alias("ord")), "codebase_id")
+    name = F.concat(F.lit("Run"), "ord")
+    rows = rows.select("file_id", "ord", symbol_id(F.col("file_id"), F.col("ord")).alias("id"), name.alias("name"), F.concat(F.lit("Added::"), name).alias("qualified_name"), F.lit("function").alias("kind"), F.lit(1).cast("long").alias("line_start"))
+    found = fresh.select("codebase_id", "relative_path", F.lit("new").alias("status"))
+    out = changes.apply_changes({"files": files, "symbols": symbols, "calls": calls}, found, {"files": fresh, "symbols": rows})
+    at = out["symbols"].join(out["files"], "file_id").select(F.col("id").alias("callee_symbol_id"), F.concat("qualified_name", F.lit("@"), "relative_path", F.lit(":"), "line_start").alias("target"))
+    return out["calls"].join(at, "callee_symbol_id", "left").select("file_id", "line_number", "caller_name", "callee_name", "target")
+
+
+@query("""SELECT v AS version, s.file_id, f.codebase_id, name, kind FROM fx_symbols s JOIN fx_files f ON f.file_id = s.file_id, (VALUES (1), (2)) t(v) WHERE v = 1 OR f.codebase_id <> 2 OR s.file_id % 7 <> 0""")
+def index_versions(spark, d):
+    """An index read, changed and written back in place: one codebase loses a seventh of its files, and both versions can be read."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    store.write_index({"files": testdata.files(spark, d), "symbols": testdata.symbols(spark, d)}, folder)
+    own = store.read_index(spark, folder, ["files", "symbols"], 1, codebase_ids=[2])
+    store.write_index(changes.delete_files(own, own["files"].filter("file_id % 7 = 0").select("file_id")), folder, based_on=1)
+    read = lambda n: store.read_index(spark, folder, ["symbols"], n)["symbols"].select(F.lit(n).alias("version"), "file_id", "codebase_id", "name", "kind")
+    return read(1).unionByName(read(2))
+
+
 @query("""SELECT c.file_id, line_number, caller_name, callee_name, q.file_id % 7 <> 0 AS linked FROM fx_calls c LEFT JOIN (SELECT file_id, 'Run' || ((file_id - 1) // 2) AS name FROM fx_symbols WHERE file_id % 2 = 1) q ON q.name = c.callee_name WHERE c.file_id % 7 <> 0""")
 def delete_files(spark, d):
     files, symbols = testdata.files(spark, d), testdata.symbols(spark, d)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts import changes, lexical, link, macros
+from codefacts.corpus import file_rows
 from codefacts.functions import is_builtin_callee
 from codefacts.scan import scan
 from codefacts.tables import file_id, located, settled, symbol_id
@@ -139,7 +140,7 @@ def extract_references(scanned: DataFrame, sources: DataFrame, symbols: DataFram
 def index_corpus(sources: DataFrame, linked: bool = True) -> dict[str, DataFrame]:
     """All fact tables of a corpus, linked across its files or, without linked, only inside each."""
     scanned = settled(scan_sources(sources), "scan")
-    files = sources.select(F.col("file_id").cast("long"), F.col("codebase_id").cast("long"), "relative_path")
+    files = file_rows(sources)
     symbols = extract_symbols(scanned)
     found = extract_macros(sources)
     tables = {
@@ -149,18 +150,13 @@ def index_corpus(sources: DataFrame, linked: bool = True) -> dict[str, DataFrame
         "inheritance": explode_base_classes(symbols),
         "ue_macros": macros.attach_macro_symbol(found.drop("specifiers"), symbols),
         "ue_macro_specifiers": explode_specifiers(found),
-        "calls": _callees_in_file(extract_calls(scanned, symbols), symbols),
+        "calls": link.callees_in_file(extract_calls(scanned, symbols), symbols),
         "includes": extract_includes(sources),
         "references_table": extract_references(scanned, sources, symbols),
     }
     return changes.relink(tables) if linked else tables
 
 
-def _callees_in_file(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    known = link.names_in_file(symbols).select("file_id", F.col("key").alias("callee_name"), F.col("symbol_id").alias("callee_symbol_id"))
-    return calls.drop("callee_symbol_id").join(known, ["file_id", "callee_name"], "left")
-
-
 def reindex_files(tables: dict[str, DataFrame], codebases: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
     """The linked tables with the facts of these files (path, content) taken anew.
 

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from codefacts.functions import basename, forward_slashes
 from codefacts.tables import CLASS_KINDS, FUNCTION_KINDS
 
+#: lines of a block; functions that cross blocks are copied to each
+LINES = 64
+
 
 def attach_enclosing_function(items: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Items (file_id, line_number, ...) with caller_symbol_id and caller_name: the first function-like symbol whose lines hold the item; others are dropped.
+    """Items (file_id, line_number, ...) with caller_symbol_id and caller_name: the first function-like symbol whose lines hold the item; others are dropped, and equal items stay as many as they are.
 
-    An equi-join on the file keeps the interval test inside it; the nearest is one aggregate per item.
+    Functions are gathered by blocks of lines, one row a block, so items meet them in an equi-join that can't multiply rows; a
+    file with very many functions and items is dealt to tasks by its blocks.
     """
-    spans = symbols.filter(F.col("kind").isin(*FUNCTION_KINDS)).select("file_id", "id", "qualified_name", "ord", "line_start", "line_end")
-    keyed = items.withColumn("_item", F.xxhash64(*items.columns))
-    hit = keyed.join(spans, "file_id").filter(F.col("line_number").between(F.col("line_start"), F.col("line_end")))
-    first = hit.groupBy("_item", *items.columns).agg(F.min_by(F.struct("id", "qualified_name"), "ord").alias("f"))
-    return first.select(*items.columns, F.col("f.id").alias("caller_symbol_id"), F.col("f.qualified_name").alias("caller_name"))
+    spans = symbols.filter(F.col("kind").isin(*FUNCTION_KINDS)).select("file_id", F.struct("ord", "line_start", "line_end", "id", "qualified_name").alias("f"))
+    block = lambda line: F.floor(line / LINES)
+    spread = spans.withColumn("_block", F.explode(F.sequence(block(F.col("f.line_start")), F.greatest(block(F.col("f.line_start")), block(F.col("f.line_end"))))))
+    blocks = spread.groupBy("file_id", "_block").agg(F.array_sort(F.collect_list("f")).alias("_functions"))
+    first = F.get(F.filter("_functions", lambda f: F.col("line_number").between(f["line_start"], f["line_end"])), F.lit(0))
+    hit = items.withColumn("_block", block(F.col("line_number"))).join(blocks, ["file_id", "_block"]).withColumn("_f", first).filter("_f IS NOT NULL")
+    return hit.select(*items.columns, F.col("_f.id").alias("caller_symbol_id"), F.col("_f.qualified_name").alias("caller_name"))
 
 
 def names_in_file(symbols: DataFrame) -> DataFrame:
@@ -42,26 +48,38 @@ def first_by_name(symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] |
     return some.select("file_id", "id", "name", "ord").join(at, "file_id").groupBy("codebase_id", "name").agg(F.min_by("id", F.struct("relative_path", "ord")).alias("found"))
 
 
-def _resolve(rows: DataFrame, lookup: DataFrame, name: str, target: str) -> DataFrame:
-    """rows have codebase_id; only rows without a target take part in the join."""
-    open_rows = rows.filter(F.col(target).isNull()).join(lookup.withColumnRenamed("name", name), ["codebase_id", name], "left").withColumn(target, F.col("found")).drop("found")
-    return rows.filter(F.col(target).isNotNull()).unionByName(open_rows)
+def callees_in_file(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls with callee_symbol_id where the same file has the name; open elsewhere."""
+    known = names_in_file(symbols).select("file_id", F.col("key").alias("callee_name"), F.col("symbol_id").alias("callee_symbol_id"))
+    return calls.drop("callee_symbol_id").join(known, ["file_id", "callee_name"], "left")
+
+
+def resolve_names(rows: DataFrame, lookup: DataFrame, name: str, target: str) -> DataFrame:
+    """Rows (with codebase_id) whose target is open get what the lookup (codebase_id, name, found) has for their name.
+
+    One left join, so the input is computed once. Rows that are linked have no key in it: they meet nothing, and a random
+    second key that lookup rows (0) can't have deals them to all tasks.
+    """
+    is_open = F.col(target).isNull()
+    keyed = rows.withColumn("_key", F.when(is_open, F.col(name))).withColumn("_deal", F.when(is_open, 0).otherwise(1 + F.pmod(F.xxhash64(*[c for c in rows.columns if c != "codebase_id"]), F.lit(1 << 20))))
+    right = lookup.select("codebase_id", F.col("name").alias("_key"), F.lit(0).cast("long").alias("_deal"), "found")
+    return keyed.join(right, ["codebase_id", "_key", "_deal"], "left").withColumn(target, F.coalesce(target, "found")).select(*rows.columns)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Calls whose callee is unresolved get the first function of that short name in their codebase."""
     rows = calls.join(files.select("file_id", "codebase_id"), "file_id")
-    return _resolve(rows, first_by_name(symbols, files, FUNCTION_KINDS), "callee_name", "callee_symbol_id")
+    return resolve_names(rows, first_by_name(symbols, files, FUNCTION_KINDS), "callee_name", "callee_symbol_id")
 
 
 def resolve_inheritance(inheritance: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     at = symbols.select(F.col("id").alias("child_symbol_id"), "file_id").join(files.select("file_id", "codebase_id"), "file_id").drop("file_id")
-    return _resolve(inheritance.join(at, "child_symbol_id"), first_by_name(symbols, files, CLASS_KINDS), "parent_name", "parent_symbol_id")
+    return resolve_names(inheritance.join(at, "child_symbol_id"), first_by_name(symbols, files, CLASS_KINDS), "parent_name", "parent_symbol_id")
 
 
 def resolve_references(references: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     rows = references.join(files.select("file_id", "codebase_id"), "file_id")
-    return _resolve(rows, first_by_name(symbols, files), "symbol_name", "symbol_id")
+    return resolve_names(rows, first_by_name(symbols, files), "symbol_name", "symbol_id")
 
 
 def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from codefacts.functions import EXPOSING_KEYS, format_specifier, name_prefix, name_prefix_description
 from codefacts.macros import concat_specifiers
-from codefacts.tables import names_table
+from codefacts.tables import located, names_table
 
 
 def index_status(codebases: DataFrame, files: DataFrame, symbols: DataFrame, macros: DataFrame, codebase_id: int | None = None) -> DataFrame:
-    """A row for each codebase with its files, symbols and macros, each counted by itself so that joins don't multiply."""
-    some = codebases.filter(F.col("codebase_id") == codebase_id) if codebase_id is not None else codebases
-    at = files.select("file_id", "codebase_id")
+    """A row for each codebase (with all its columns, so the time of its last run as well) and its files, symbols and macros, each counted by itself so that joins don't multiply.
+
+    codebases may call their id codebase_id, as a table of an index does, or id.
+    """
+    bases = codebases if "codebase_id" in codebases.columns else codebases.withColumnRenamed("id", "codebase_id")
+    some = bases.filter(F.col("codebase_id") == codebase_id) if codebase_id is not None else bases
+    at = located(files).select("file_id", "codebase_id")
     per_file = symbols.groupBy("file_id").agg(F.count("*").alias("s"))
     per_file_m = macros.groupBy("file_id").agg(F.count("*").alias("m"))
     counts = at.join(per_file, "file_id", "left").join(per_file_m, "file_id", "left").groupBy("codebase_id").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_symbols"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_macros"))

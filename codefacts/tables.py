@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 #: table -> columns, as Spark DDL
 SCHEMAS = {
     "codebases": "id long, name string, root_path string, type string, created_at timestamp, last_indexed_at timestamp",
-    "files": "id long, codebase_id long, relative_path string, absolute_path string, content_hash string, mtime double, file_size long, indexed_at timestamp, content string",
+    "files": "file_id long, codebase_id long, relative_path string, absolute_path string, content_hash string, mtime double, file_size long, indexed_at timestamp",
     "symbols": "id long, file_id long, ord int, name string, qualified_name string, kind string, access string, is_static boolean, is_virtual boolean, is_const boolean, is_inline boolean, return_type string, line_start int, line_end int, column_start int, parent_symbol_id long, signature string, raw_text string",
     "parameters": "symbol_id long, name string, type string, default_value string, position int",
     "inheritance": "child_symbol_id long, parent_name string, parent_symbol_id long, access string, is_virtual boolean, child_name string",
@@ -79,15 +79,20 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: int | No
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
 
-def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows written to the folder in spark.checkpoint.dir and read back: iterations keep a short lineage that survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a new temporary one if all runs in this one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows written to the shared folder and read back: iterations keep a short lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
