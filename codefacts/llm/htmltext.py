@@ -2,9 +2,11 @@
 
 A page is read once into blocks of text, each under the path of its containers (tag and class names, digits
 generalised), leaving out what is not content by its tag, role or class: menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments. Every page scores its containers (text that is not
+notices, adverts, forms, scripts, styles and reader comments. A class or id counts as a whole: it is a listed name, or a compound
+of nothing but listed names and words that go with them (site-header, widget-area, but not with-sidebar or comments-open); and
+a name drops nothing that holds three quarters of the page's text, unless it is that of reader comments. Every page scores its containers (text that is not
 link text, the parent of a block in full, each level above at two thirds less) and votes for the path of the article or
-main element around the best one or, without such, of the container that holds it and all other text that is not a list
+main element around the best one (with the element around it, if that holds nothing else but a heading and lead before it) or, without such, of the container that holds it and all other text that is not a list
 of links (a branch beside the best container, more than half link text; first and second headings are no links).
 Votes are counted for each host in Spark, and every page is then extracted again from its host's winning path;
 a page without that path uses its own best container, and one without any container its whole body.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +42,14 @@ TOKEN = re.compile(_START + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[
 LOOSE = re.compile(_START + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 OPENS = re.compile("</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-NAME = re.compile(r"[a-z]+")
+#: parts of a name, also of one written like siteHeader
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: HTML element names by their part in a page.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body div section article main td th tr table tbody center blockquote ul ol dl figure details fieldset".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr br caption figcaption summary hgroup thead tfoot".split())
-DROPPED = frozenset("nav header footer aside form head menu dialog select button svg math canvas object audio video map label input".split())
+DROPPED = frozenset("nav header footer aside form head menu dialog select button svg math canvas object audio video input".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 DROPPED_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners cookie cookies consent gdpr
@@ -53,10 +57,19 @@ DROPPED_NAMES = frozenset(
     comment comments disqus discussion respond reply replies social share sharing related recommended newsletter subscribe subscription signup
     popup modal overlay toolbar pagination pager widget widgets skip login copyright""".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus discussion respond reply replies".split())
+#: what may stand before or after a listed name in a class or id of several parts; with any other part the name says nothing
+BEFORE_NAMES = frozenset("site main global top bottom left right primary secondary mobile sticky fixed blog post article entry user reader google".split())
+AFTER_NAMES = frozenset(
+    """area container wrapper wrap box bar block blocks list lists section sections inner outer form links link item items button buttons icon icons
+    slot unit zone panel text content message title toggle count posts articles stories row column col""".split()
+)
+#: a name drops no element that holds so much of a page's text that is not link text, and so many characters of it
+SPARED_SHARE, SPARED_CHARS = 0.75, 250
 INSIDE = ("article", "main")
 #: Element names by the rules for end tags that pages leave out.
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-SPECIAL = BLOCKS | DROPPED | frozenset("applet marquee search listing dir colgroup optgroup option".split()) - frozenset("svg math canvas audio video map label".split())
+SPECIAL = BLOCKS | DROPPED | frozenset("applet marquee search listing dir colgroup optgroup option".split()) - frozenset("svg math canvas audio video".split())
 SCOPES = frozenset("applet caption html table td th marquee object button".split())
 ENDS_P = BLOCKS - frozenset("html body td th tr tbody thead tfoot caption br".split()) | frozenset("nav header footer aside form menu dialog search listing dir".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -72,8 +85,22 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _names(value: str) -> set[str]:
-    return set(NAME.findall(value.lower()))
+@lru_cache(maxsize=1 << 16)
+def _dropping(token: str) -> str:
+    """The listed name that a class or id stands for: itself, or the first in a compound of parts that all are known, as in site-header or widget-area; else empty."""
+    parts = PART.findall(token)
+    parts = [p.lower() for p in parts]
+    at = next((i for i, p in enumerate(parts) if p in DROPPED_NAMES), -1)
+    if at < 0 or not set(parts[:at]) <= BEFORE_NAMES or not set(parts[at + 1 :]) <= DROPPED_NAMES | AFTER_NAMES:
+        return ""
+    if parts[at] == "header" and not {"post", "article", "entry", "blog"}.isdisjoint(parts[:at]):
+        return ""  # the head of a story
+    return parts[at]
+
+
+def _names(attrs: dict[str, str]) -> set[str]:
+    """The listed names in a class and an id."""
+    return {name for token in (*attrs.get("class", "").split(), attrs.get("id", "")) if (name := _dropping(token))}
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -130,13 +157,19 @@ class _Open:
         self.stops: list[int] = []  # special ones that an item's implied end does not cross
         self.scopes: list[int] = []
         self.drop = 0
+        #: where in the page an element begins that is dropped by its name alone (else -1), and the weight of text before it
+        self.named: list[tuple[int, int]] = []
+        self.soft = self.weight = 0
+        self.sizes: list[tuple[int, int]] = []
 
     def last(self, tag: str) -> int:
         at = self.where.get(tag)
         return at[-1] if at else -1
 
-    def push(self, tag: str, bad: bool, here: int) -> None:
+    def push(self, tag: str, bad: bool, here: int, named: int = -1) -> None:
         at = len(self.tags)
+        self.named.append((named, self.weight))
+        self.soft += named >= 0
         self.tags.append(tag)
         self.bad.append(bad)
         self.before.append(here)
@@ -156,6 +189,7 @@ class _Open:
             tag = self.tags.pop()
             self.drop -= self.bad.pop()
             self.before.pop()
+            self._size(*self.named.pop())
             n = len(self.tags)
             if tag:
                 self.where[tag].pop()
@@ -168,7 +202,13 @@ class _Open:
         """Ends a formatting element, but nothing inside it."""
         self.where[self.tags[at]].pop()
         self.drop -= self.bad[at]
-        self.tags[at], self.bad[at] = "", False
+        self._size(*self.named[at])
+        self.tags[at], self.bad[at], self.named[at] = "", False, (-1, 0)
+
+    def _size(self, named: int, before: int) -> None:
+        if named >= 0:
+            self.soft -= 1
+            self.sizes.append((named, self.weight - before))
 
     def ended_by(self, tag: str) -> int:
         """Where the outermost element stands that the start of this tag ends without an end tag; -1 for none."""
@@ -193,8 +233,11 @@ class _Open:
         return found
 
 
-def blocks(page: str) -> tuple[Tree, list[tuple[int, str, int]]]:
-    """The containers of a page, and its blocks in order: (container, text, characters of link text)."""
+def blocks(page: str, spared: frozenset[int] | None = None) -> tuple[Tree, list[tuple[int, str, int]]]:
+    """The containers of a page, and its blocks in order: (container, text, characters of link text).
+
+    Where an element that its name drops holds most of the page's text, the page is read once more without dropping it.
+    """
     tree, open_ = Tree(), _Open()
     out: list[tuple[int, str, int]] = []
     here = 0
@@ -225,10 +268,12 @@ def blocks(page: str) -> tuple[Tree, list[tuple[int, str, int]]]:
                 token = LOOSE
                 continue
             at = m.end()
-            if not open_.drop and not piece.startswith(("<!", "<?", "</")):
-                text.append(piece)
-                if not heading and open_.where.get("a"):
-                    linked += len(piece)
+            if open_.drop == open_.soft and not piece.startswith(("<!", "<?", "</")):
+                link = not heading and bool(open_.where.get("a"))
+                open_.weight += 0 if link else len(piece.strip())
+                if not open_.drop:
+                    text.append(piece)
+                    linked += len(piece) if link else 0
             continue
         at = m.end()
         tag = tag.lower()
@@ -271,26 +316,30 @@ def blocks(page: str) -> tuple[Tree, list[tuple[int, str, int]]]:
         if tag == "a" and (earlier := open_.last("a")) >= 0:
             open_.remove(earlier)
         attrs = attributes(m[3])
-        names = _names(attrs.get("class", "")) | _names(attrs.get("id", ""))
+        names = _names(attrs) if tag not in ("html", "body", *INSIDE) else set()
         inside = bool(open_.where.get("article") or open_.where.get("main"))
         if inside:
             names -= {"header"}  # an article's own head belongs to it
-        bad = (
+        hard = (
             (tag in DROPPED and not (tag == "header" and inside))
             or attrs.get("role", "").lower() in DROPPED_ROLES
             or "hidden" in attrs
             or attrs.get("aria-hidden", "").lower() == "true"
-            or (tag not in ("html", "body", *INSIDE) and bool(names & DROPPED_NAMES))
+            or not names.isdisjoint(COMMENT_NAMES)
         )
+        bad = hard or bool(names) and not (spared and m.start() in spared)
         if bad and not open_.drop:
             close_block()
-        open_.push(tag, bad, here)
+        open_.push(tag, bad, here, m.start() if bad and not hard else -1)
         if tag in CONTAINERS and not open_.drop:
             close_block()
             here = tree.below(here, _label(tag, attrs))
     if not open_.drop:
         close_block()
-    return tree, out
+    if open_.tags:
+        open_.pop_to(0)
+    large = frozenset(p for p, n in open_.sizes if n >= SPARED_CHARS and n > SPARED_SHARE * open_.weight)
+    return blocks(page, large) if large and spared is None else (tree, out)
 
 
 def _core(tree: Tree, found: list[tuple[int, str, int]]) -> int:
@@ -333,11 +382,22 @@ def _branches(tree: Tree, found: list[tuple[int, str, int]], core: int) -> list[
     return [None if b is None or b in size and 2 * size[b][1] > size[b][0] else b for b in branch]
 
 
+def _has_lead(tree: Tree, found: list[tuple[int, str, int]], article: int, around: int) -> bool:
+    """Whether the element around an article holds the heading and lead: text of its own that is no link text, first before the article, and no other container with text."""
+    if tree.label[around].split(".")[0] in ("html", "body"):
+        return False
+    inner, outer = _under(tree, article), _under(tree, around)
+    region = [(node, text, linked) for node, text, linked in found if outer[node]]
+    own = [(node, text, linked) for node, text, linked in region if not inner[node]]
+    return bool(own) and region[0][0] == around and all(node == around and 2 * linked <= len(text) for node, text, linked in own)
+
+
 def best_container(tree: Tree, found: list[tuple[int, str, int]]) -> int:
     """The container of all of the page's own main text; 0 without text, and if no container holds all."""
     core = _core(tree, found)
     if article := _article(tree, core):
-        return article
+        around = tree.parent[article]
+        return around if around and _has_lead(tree, found, article, around) else article
     branch, way = _branches(tree, found, core), tree.way(core)
     on_way = set(way)
     depth = len(way)

@@ -657,6 +657,52 @@ def test_main_text_equals_another_parsers(seed):
     assert htmltext.extract(dropped, None) == read_page(whole), dropped
 
 
+STORY = "<h1>Head of it</h1>" + "".join(f"<p>Paragraph {i} of the story, which is long enough, as stories are, to be one.</p>" for i in range(6))
+STORY_TEXT = "Head of it " + " ".join(f"Paragraph {i} of the story, which is long enough, as stories are, to be one." for i in range(6))
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='content with-sidebar'", "div class='post comments-open'", "div id='main' class='no-ads layout-nav-top'", "section class='social-science'", "div class='alert-box-none'", "div class='has-menu'",
+    "div class='notice'", "div id=widget", "div class='entry-content share-none'", "div class='navigation-systems'", "table class='header-image'", "div class=postHeader",
+])
+@pytest.mark.parametrize("marked", [True, False])
+def test_names_of_several_parts_keep_a_story(wrapper, marked):
+    """A class drops an element only as a whole name or a known compound, and never the story itself."""
+    tag = wrapper.split()[0]
+    inner = f"<article>{STORY}</article>" if marked else STORY
+    inner = f"<tr><td>{inner}</td></tr>" if tag == "table" else inner
+    page = f"<body><div class='site-header'><p>Site name</p></div><nav><a href=/>Home</a></nav><{wrapper}>{inner}</{tag}><div class='widget-area'><p>Side</p></div><div id=siteFooter><p>Foot words</p></div><ol class='comment-list'><li>A reader says much, at length, here.</li></ol></body>"
+    assert htmltext.extract(page, None) == STORY_TEXT
+    assert htmltext.extract(page, htmltext.best_path(*htmltext.blocks(page))) == STORY_TEXT
+
+
+@pytest.mark.parametrize("kind", ["section class='social-science'", "p class='alert-box-none'", "label", "map", "div class='with-ads'"])
+def test_parts_of_an_article_stay(kind):
+    tag = kind.split()[0]
+    page = f"<body><article><p>One of the story.</p><{kind}>Two of it</{tag}><p>Three of it.</p></article><div class='sidebar-2'>Side</div></body>"
+    assert htmltext.extract(page, None) == "One of the story. Two of it Three of it."
+
+
+@pytest.mark.parametrize("name", "site-header widget-area sidebar comments-section comment-list share-buttons related-posts cookie-banner ad-slot ads newsletter-signup main-nav breadcrumb-list post-comments left-sidebar siteFooter".split())
+def test_names_and_known_compounds_drop(name):
+    assert htmltext.extract(f"<body><div class='{name} x'><p>Not of it, but beside it.</p></div><div class=story>{STORY}</div></body>", None) == STORY_TEXT
+
+
+def test_heading_and_lead_before_an_article():
+    page = f"<body><nav><a href=/>Home</a></nav><div class=page><h1>Head</h1><p class=lead>Lead text.</p><article>{STORY}</article></div><footer>Foot</footer></body>"
+    for winner in (None, htmltext.best_path(*htmltext.blocks(page))):
+        assert htmltext.extract(page, winner) == f"Head Lead text. {STORY_TEXT}"
+    beside = f"<body><p>Stray</p><article>{STORY}</article></body>"
+    assert htmltext.extract(beside, None) == STORY_TEXT
+    others = f"<body><div class=page><article>{STORY}</article><div class=more><p>Another thing, told elsewhere.</p></div></div></body>"
+    assert htmltext.extract(others, None) == STORY_TEXT
+
+
+def test_long_comments_are_not_taken_for_the_story():
+    comments = "".join(f"<p>Reader {i} says something, at some length, about it all.</p>" for i in range(60))
+    assert htmltext.extract(f"<body><div class=story><p>Short story, told.</p></div><div class=comments>{comments}</div></body>", None) == "Short story, told."
+
+
 def test_blocks_that_nothing_ends():
     for page, text in [
         ("<div class='story'><p class='notice'>Cookies<p>First paragraph.<p>Second.</div>", "First paragraph. Second."),
