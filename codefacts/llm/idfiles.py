@@ -15,7 +15,7 @@ dealt to several tasks. Tasks encode and write files of at most ``file_ids`` ids
 under names that no other attempt uses; the manifest, which Spark commits, names those that count. A lost executor's
 files are thus never read. Files go through pyarrow's file systems, to any folder that driver and executors share.
 
-Encoding: white space parts the tokenizer's words, so each distinct stretch between spaces is encoded once by the tokenizers
+Encoding: white space parts the tokenizer's words, so each distinct stretch between spaces and line ends is encoded once by the tokenizers
 library (and kept, up to a fixed number), and a text's ids are put together from those.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id comes first; rows that repeat a doc_id stand in the order
@@ -46,7 +46,7 @@ FILE_IDS, FILE_DOCS, READ_IDS = 1 << 24, 1 << 20, 1 << 20
 #: stretches and characters that a task keeps
 KEPT, KEPT_CHARS = 400_000, 1 << 23
 #: what a word may end with; no apostrophe, which may belong to the letters after it
-MARKS = ".,;:!?"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MANIFEST = "number long, name string, n_docs long, n_ids long, first_id long, last_id long"
 
 
@@ -180,9 +180,8 @@ class IdFile:
 class Encoder:
     """Texts' ids by the tokenizers library, each distinct stretch between spaces once while it is kept.
 
-    A stretch of letters alone is one word for the tokenizer unless its lower case has marks, so many are encoded as one text and
-    cut at the tokens that end words; where these are not as many as the stretches each is encoded by itself, as all others are.
-    Marks at the end of a word are a word of their own.
+    A stretch whose normal form is of letters alone is one word for the tokenizer: many are normalised as one text, and each is given to the
+    tokenizer's model as it stands. Marks at the end of a word are a word of their own. All other stretches are encoded as texts.
     """
 
     def __init__(self, name: str):
@@ -193,24 +192,23 @@ class Encoder:
         self.own = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         vocabulary = self.own.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.own.model
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on, the space being U+0120
+        self.code = {x: 256 + x for x in range(32)} | {x: 289 + n for n, x in enumerate([*range(127, 161), 173])}
         self._forget()
 
     def _forget(self) -> None:
         """Keeps the stretches that came up more than twice, up to half of the bound."""
-        kept: list[tuple[str, int]] = []
-        if hasattr(self, "index"):
-            hot = np.flatnonzero(self.used[: len(self.index)] > 2)
-            hot = set(hot[np.argsort(-self.used[hot], kind="stable")[: KEPT // 2]].tolist())
-            kept = [(w, i) for w, i in self.index.items() if i in hot]
-            parts = [self.flat[self.start[i] : self.start[i] + self.size[i]] for _, i in kept]
-        self.index = {w: n for n, (w, _) in enumerate(kept)}
-        self.flat = np.concatenate([np.zeros(0, np.uint32), *parts]) if kept else np.zeros(0, np.uint32)
-        self.size = np.array([len(p) for p in parts], np.int64) if kept else np.zeros(0, np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.used = np.zeros(len(self.size), np.int64)
-        self.chars = sum(len(w) for w, _ in kept)
+        if not hasattr(self, "index"):
+            self.index: dict[str, int] = {}
+            self.flat, self.size, self.start, self.used = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+        hot = np.flatnonzero(self.used > 2)
+        hot = np.sort(hot[np.argsort(-self.used[hot], kind="stable")[: KEPT // 2]])
+        names = np.array(list(self.index), object)[hot].tolist()
+        self.flat, self.size = self._gather(hot), self.size[hot]
+        self.start, self.used = np.cumsum(self.size) - self.size, np.zeros(len(hot), np.int64)
+        self.index = dict(zip(names, range(len(names)), strict=True))
+        self.chars = sum(map(len, names))
 
     def _add(self, new: list[str]) -> None:
         tails = [(w, core, w[len(core) :]) for w in new if not w.isalpha() and (core := w.rstrip(MARKS)).isalpha() and core != w]
@@ -218,45 +216,51 @@ class Encoder:
         words = list(dict.fromkeys(chain((w for w in new if w.isalpha()), (core for _, core, _ in tails if core not in self.index))))
         others = [w for w in new if not w.isalpha() and w not in ended]
         others += {tail for _, _, tail in tails}.difference(self.index, others)
-        parts: list[np.ndarray] = []
+        parts: list[list[int]] = []
         names: list[str] = []
-        for i in range(0, len(words), 1024):
-            some = words[i : i + 1024]
-            ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                parts += np.split(ids, cuts[:-1])
-                names += some
-            else:
-                others += some
+        if words:
+            plain = self.own.normalizer.normalize_str(" ".join(words)).split(" ")
+            read = {w: None for w in plain if w.isalpha()}
+            coded = " ".join(read).encode().decode("latin-1").translate(self.code).split(" ")
+            read = {w: [x.id for x in self.model.tokenize(c)] for w, c in zip(read, coded, strict=False)}
+            for w, form in zip(words, plain, strict=True):
+                if form in read:
+                    names.append(w)
+                    parts.append(read[form])
+                else:
+                    others.append(w)
         for i in range(0, len(others), 1024):
             some = others[i : i + 1024]
-            parts += [np.array(e.ids, np.uint32) for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
+            parts += [e.ids for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
             names += some
-        self._store(names, parts)
-        at = [(self.index[core], self.index[tail]) for _, core, tail in tails]
-        self._store([w for w, _, _ in tails], [np.concatenate([self.flat[self.start[i] : self.start[i] + self.size[i]] for i in pair]) for pair in at])
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self._store(names, np.fromiter(chain.from_iterable(parts), np.uint32, size.sum()), size)
+        pairs = np.array([(self.index[core], self.index[tail]) for _, core, tail in tails], np.int64).reshape(-1)
+        self._store([w for w, _, _ in tails], self._gather(pairs), self.size[pairs].reshape(-1, 2).sum(1))
 
-    def _store(self, names: list[str], parts: list[np.ndarray]) -> None:
-        size = np.array([len(p) for p in parts], np.int64)
+    def _store(self, names: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, *parts])
+        self.flat = np.concatenate([self.flat, flat])
         self.size, self.used = np.concatenate([self.size, size]), np.concatenate([self.used, np.zeros(len(size), np.int64)])
         self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
         self.chars += sum(map(len, names))
 
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of some stretches in a row."""
+        n = self.size[at]
+        return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
         if len(self.index) > KEPT or self.chars > KEPT_CHARS:
             self._forget()
-        split = [t.split(" ") if t else [] for t in texts]
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         self._add(list({w for words in split for w in words}.difference(self.index)))
         out = []
         for words in split:
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
             np.add.at(self.used, at, 1)
-            n = self.size[at]
-            out.append(self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            out.append(self._gather(at))
         return out
 
 
