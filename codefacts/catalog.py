@@ -70,18 +70,18 @@ def resolve_calls(spark, d):
     return calls.join(at, "callee_symbol_id", "left").select("file_id", "line_number", "caller_name", "callee_name", "target")
 
 
-@query("SELECT callee_name AS q, 'Run' || ((file_id - 1) // 2) AS caller, relative_path AS path, line_number FROM fx_calls JOIN fx_files USING (file_id) WHERE callee_name IN ('Run1', 'Run5', 'Run7', 'Run11')")
+@query("SELECT callee_name AS q, 'Run' || ((file_id - 1) // 2) AS caller, relative_path AS path, line_number FROM fx_calls JOIN fx_files USING (file_id)")
 def find_callers(spark, d):
     calls, symbols, files = _calls(spark, d)
-    return graph.find_callers(calls, symbols, files, _names("Run", 1, 5, 7, 11))
+    return graph.find_callers(calls, symbols, files, symbols.select("name"), limit=None)
 
 
 @query("""SELECT q, callee_name AS callee, relative_path AS path, line_number FROM (
   SELECT 'Run' || ((file_id - 1) // 2) AS q, * FROM fx_calls UNION ALL SELECT caller_name, * FROM fx_calls
-) JOIN fx_files USING (file_id) WHERE q IN ('Run1', 'Run2', 'APart3::Run3', 'Run9')""")
+) JOIN fx_files USING (file_id)""")
 def find_callees(spark, d):
     calls, symbols, files = _calls(spark, d)
-    return graph.find_callees(calls, symbols, files, ["Run1", "Run2", "APart3::Run3", "Run9"])
+    return graph.find_callees(calls, symbols, files, symbols.select(F.explode(F.array("name", "qualified_name"))), limit=None)
 
 
 @query("""SELECT DISTINCT f.codebase_id, callee_name AS name FROM fx_calls c JOIN fx_files f ON f.file_id = c.file_id
@@ -141,14 +141,16 @@ def resolve_inheritance(spark, d):
 
 
 @query("""SELECT c.class_name AS q, c.parent_name, 'public' AS access, CASE WHEN p.codebase_id = c.codebase_id THEN p.module || '/Public/Part' || p.pk || '.h' END AS path,
-  CASE WHEN p.codebase_id = c.codebase_id THEN 6 END AS line_start FROM fx_class c LEFT JOIN fx_class p ON p.class_name = c.parent_name WHERE c.pk IN (0, 1, 4, 50, 77, 101)""")
+  CASE WHEN p.codebase_id = c.codebase_id THEN 6 END AS line_start FROM fx_class c LEFT JOIN fx_class p ON p.class_name = c.parent_name""")
 def class_parents(spark, d):
-    return graph.class_parents(*_classes(spark, d), _names("APart", 0, 1, 4, 50, 77, 101))
+    inheritance, symbols, files = _classes(spark, d)
+    return graph.class_parents(inheritance, symbols, files, symbols.select("name"))
 
 
-@query("SELECT parent_name AS q, class_name AS child, module || '/Public/Part' || pk || '.h' AS path, 6 AS line_start FROM fx_class WHERE parent_name IN ('APart0', 'APart3', 'APart20', 'AActor')")
+@query("SELECT parent_name AS q, class_name AS child, module || '/Public/Part' || pk || '.h' AS path, 6 AS line_start FROM fx_class")
 def class_children(spark, d):
-    return graph.class_children(*_classes(spark, d), ["APart0", "APart3", "APart20", "AActor"])
+    inheritance, symbols, files = _classes(spark, d)
+    return graph.class_children(inheritance, symbols, files, inheritance.select("parent_name"))
 
 
 def _up(*keys: int) -> str:
@@ -450,9 +452,10 @@ def symbols_by_file(spark, d):
     return reports.symbols_by_file(symbols, testdata.files(spark, d).select("file_id")).select("file_id", "name", "kind", "line_start")
 
 
-@query("SELECT name, qualified_name, codebase_id, relative_path AS path, line_start FROM fx_symbols JOIN fx_files USING (file_id) WHERE name IN ('Run3', 'Run8', 'APart12')")
+@query("SELECT name, qualified_name, codebase_id, relative_path AS path, line_start FROM fx_symbols JOIN fx_files USING (file_id)")
 def symbols_by_name(spark, d):
-    return reports.symbols_by_name(testdata.symbols(spark, d), testdata.files(spark, d), ["Run3", "Run8", "APart12"]).select("name", "qualified_name", "codebase_id", "path", "line_start")
+    symbols = testdata.symbols(spark, d)
+    return reports.symbols_by_name(symbols, testdata.files(spark, d), symbols.select("name")).select("name", "qualified_name", "codebase_id", "path", "line_start")
 
 
 @query("SELECT name, relative_path AS path, line_start FROM fx_symbols JOIN fx_files USING (file_id) WHERE kind = 'field' AND codebase_id = 3 ORDER BY path, line_start, name LIMIT 50")
@@ -567,10 +570,10 @@ def resolve_references(spark, d):
     return link.resolve_references(refs, symbols, files).join(at, "symbol_id", "left").select("file_id", "symbol_name", "line_number", "column_number", "target")
 
 
-@query(f"WITH {_REFS} SELECT symbol_name AS q, relative_path AS path, line_number, column_number, context, kind FROM refs JOIN fx_files USING (file_id) JOIN (SELECT DISTINCT name, kind FROM fx_symbols) s ON s.name = symbol_name WHERE symbol_name IN ('Run3', 'APart7', 'APart0', 'Run11')")
+@query(f"WITH {_REFS} SELECT symbol_name AS q, relative_path AS path, line_number, column_number, context, kind FROM refs JOIN fx_files USING (file_id) JOIN (SELECT DISTINCT name, kind FROM fx_symbols) s ON s.name = symbol_name")
 def find_references(spark, d):
     refs, symbols, files = _references(spark, d)
-    return search.find_references(link.resolve_references(refs, symbols, files), symbols, files, ["Run3", "APart7", "APart0", "Run11"])
+    return search.find_references(link.resolve_references(refs, symbols, files), symbols, files, symbols.select("name"), limit=None)
 
 
 @query(f"WITH {_REFS} SELECT file_id, symbol_name, line_number FROM refs")
@@ -663,6 +666,21 @@ def search_symbols_fallback(spark, d):
     return search.search_symbols_fallback(_part_symbols(spark, d), ["#1", "d#2", "zzz"]).select("q", "symbol_id", "name")
 
 
+@query(f"""WITH {_TOKENS}, hit AS (SELECT q, id, length, sum(tf) AS tf FROM sized JOIN (VALUES ('STANDARD', 'standard'), ('rand#', 'rand'), ('zzz', 'zzz')) v(q, term) ON starts_with(token, term) GROUP BY 1, 2, 3),
+df AS (SELECT q, count(*) AS df FROM hit GROUP BY 1), scale AS (SELECT count(*) AS na, avg(length) AS al FROM (SELECT DISTINCT id, length FROM sized)),
+ranked AS (SELECT q, id, round(-greatest(ln((na - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al)), 6) AS rank FROM hit JOIN df USING (q), scale),
+fell AS (SELECT q, p_partkey AS id, 0.0 AS rank FROM part, (VALUES ('STANDARD'), ('rand#'), ('zzz')) v(q) WHERE q NOT IN (SELECT q FROM ranked) AND (p_name ILIKE '%' || q || '%' OR p_brand || '::' || p_name ILIKE '%' || q || '%'))
+SELECT q, id AS symbol_id, p_name AS name, p_brand || '.h' AS path, p_size AS line_number, p_name || '()' AS signature, CAST(rank AS DOUBLE) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, p_name, id) AS k FROM (SELECT * FROM ranked UNION ALL SELECT * FROM fell) JOIN part ON p_partkey = id) WHERE k <= 50""")
+def search_both_ways(spark, d):
+    """Ranked, and by substring where that finds nothing; with path, line and signature."""
+    symbols = _part_symbols(spark, d)
+    index = search.build_symbol_index(symbols)
+    placed = symbols.drop("signature").join(_read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("line_start"), F.concat("p_name", F.lit("()")).alias("signature")), "id")
+    files = _read(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.concat("p_brand", F.lit(".h")).alias("relative_path"))
+    return search.search(index, placed, files, ["STANDARD", "rand#", "zzz"]).drop("qualified_name", "kind")
+
+
 @query("""WITH rows AS (SELECT 0 AS priority, 'symbol' AS source, 'doc' || doc_id AS path, doc_id AS line_number, text FROM documents WHERE source = 'src1'
 UNION ALL SELECT 1, 'reference', 'conv' || conv_id, turn, text FROM conversations WHERE conv_id % 20 = 1)
 SELECT q, source, path, line_number, CASE WHEN source = 'symbol' THEN substr(text, 1, 200) ELSE text END AS text FROM (

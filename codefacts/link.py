@@ -85,7 +85,8 @@ def resolve_references(references: DataFrame, symbols: DataFrame, files: DataFra
 def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
     """Includes with resolved_file_id: exact relative path, else the only file of that basename, else the first (by path) of that basename whose path ends so.
 
-    System includes stay open. Only includes that the first two steps leave open meet all candidates of their basename.
+    System includes stay open. For the third step files meet the lengths of the includes that are still open, not the includes: work grows with
+    files times lengths of a basename, and the last join is by equality.
     """
     at = files.select("file_id", "codebase_id", forward_slashes(F.col("relative_path")).alias("relative_path"))
     rows = includes.drop("resolved_file_id").join(at.select("file_id", "codebase_id"), "file_id").withColumn("wanted", forward_slashes(F.col("included_path"))).withColumn("base", basename(F.col("included_path")))
@@ -94,9 +95,10 @@ def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
     single = named.groupBy("codebase_id", "base").agg(F.min("file_id").alias("single"), F.count("*").alias("n")).filter("n = 1").drop("n")
     two = rows.join(exact, ["codebase_id", "wanted"], "left").join(single, ["codebase_id", "base"], "left")
     two = two.withColumn("resolved_file_id", F.when(~F.col("is_system").cast("boolean"), F.coalesce("exact", "single"))).drop("exact", "single")
-    still = two.filter("resolved_file_id IS NULL AND NOT CAST(is_system AS BOOLEAN)").select("codebase_id", "base", "wanted").distinct()
-    candidates = named.select("codebase_id", "base", "relative_path", F.col("file_id").alias("candidate"))
-    suffix = still.join(candidates, ["codebase_id", "base"]).filter(F.col("relative_path").endswith(F.col("wanted"))).groupBy("codebase_id", "wanted").agg(F.min_by("candidate", "relative_path").alias("suffix"))
+    # the ends of paths that are as long as a wanted one are keys: one row for each end, however many files have the basename
+    still = two.filter("resolved_file_id IS NULL AND NOT CAST(is_system AS BOOLEAN)").select("codebase_id", "base", F.length("wanted").alias("n")).distinct()
+    ends = named.select("codebase_id", "base", "relative_path", F.col("file_id").alias("candidate")).join(still, ["codebase_id", "base"]).filter(F.length("relative_path") >= F.col("n"))
+    suffix = ends.withColumn("wanted", F.expr("right(relative_path, n)")).groupBy("codebase_id", "wanted").agg(F.min_by("candidate", "relative_path").alias("suffix"))
     out = two.join(suffix, ["codebase_id", "wanted"], "left").withColumn("resolved_file_id", F.coalesce("resolved_file_id", F.when(~F.col("is_system").cast("boolean"), F.col("suffix"))))
     return out.select(*[c for c in includes.columns if c != "resolved_file_id"], "codebase_id", "resolved_file_id")
 

@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from codefacts import changes, corpus, extract, link, reports, store, update
+from codefacts import changes, corpus, extract, graph, link, reports, search, store, update
 from codefacts.tables import SCHEMAS
 
 PATHS = ["A/First.h", "B/Second.h", "B/First.h", "C/Third.cpp", "D/First.h", "Z/Last.cpp"]
@@ -228,3 +228,50 @@ def test_brackets_of_any_depth(spark, depth):
     found, keys = specifiers_of(spark, text)
     assert [f[:2] for f in found] == [("UPROPERTY", 1), ("UPROPERTY", 3), ("UFUNCTION", 5)] and found[0][2] == text.split("\n")[0]
     assert [(k[1], k[3]) for k in keys] == [("A", True), ("B", True), ("Category", False), ("EditAnywhere", False)] and keys[2][2] == "[x, {y, TMap<K, V>}]"
+
+
+def test_folding_of_several_alphabets(spark):
+    pairs = {"Žluťoučký": "zlutoucky", "ŁÓDŹ": "lodz", "Ångström": "angstrom", "cafés": "cafes", "ΆΝΘΡΩΠΟΣ ΐ": "ανθρωπος ι", "Ёлка Йод": "елка иод", "İstanbul ığ": "istanbul ig", "Việt Nam": "viet nam", "Ørsted": "orsted", "ß æ": "ß æ"}
+    got = {r["t"]: r["f"] for r in spark.createDataFrame([(t,) for t in pairs], "t string").select("t", search.fold(F.col("t")).alias("f")).collect()}
+    assert {t: f.replace("ς", "σ") for t, f in got.items()} == {t: f.replace("ς", "σ") for t, f in pairs.items()}
+
+
+def test_lines_that_no_symbol_or_reference_holds(spark):
+    files = spark.createDataFrame([(1, 1, "a.h"), (2, 2, "b.h")], "file_id long, codebase_id long, relative_path string")
+    symbols = spark.createDataFrame([(1, 1, "void Needle();")], "file_id long, line_start int, raw_text string")
+    references = spark.createDataFrame([], "file_id long, line_number int, context string")
+    sources = spark.createDataFrame([(1, "void Needle();\n// a needle\r\nx"), (2, "needle")], "file_id long, content string")
+    rows = lambda **kw: [tuple(r)[1:] for r in search.search_code(symbols, references, files, "needle", 1, **kw).collect()]
+    assert rows() == [("symbol", "a.h", 1, "void Needle();")]
+    assert sorted(rows(sources=sources)) == [("line", "a.h", 1, "void Needle();"), ("line", "a.h", 2, "// a needle"), ("symbol", "a.h", 1, "void Needle();")]
+
+
+def test_lookups_filter_calls_where_they_are_read(spark, tmp_path):
+    """No exchange moves all calls: below every one of them stands the join with the names or ids asked for."""
+    rows = [(i, 1, i % 7, f"A::F{i % 7}", i % 5, f"F{i % 5}", i) for i in range(200)]
+    spark.createDataFrame(rows, "id long, file_id long, caller_symbol_id long, caller_name string, callee_symbol_id long, callee_name string, line_number int").write.parquet(f"{tmp_path}/calls")
+    spark.createDataFrame([(i, f"F{i}") for i in range(7)], "id long, name string").write.parquet(f"{tmp_path}/symbols")
+    calls, symbols = spark.read.parquet(f"{tmp_path}/calls"), spark.read.parquet(f"{tmp_path}/symbols")
+    files = spark.createDataFrame([(1, "a.cpp")], "file_id long, relative_path string")
+    for find, name in ((graph.find_callers, "callee_name"), (graph.find_callees, "caller_name")):
+        out = find(calls, symbols, files, ["F3"], limit=None)
+        assert out.count() == sum(r[4 if name == "callee_name" else 2] == 3 for r in rows)
+        lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        for i, line in enumerate(lines):
+            if "Relation" in line and "caller_name" in line:
+                above = [x for x in lines[:i] if "Join" in x and x.index("Join") < line.index("Relation")]
+                assert any(f"{name}#" in above[-1] or "symbol_id#" in above[-1] for _ in [0]), above
+
+
+def test_includes_of_one_basename(spark):
+    """Whole and partial ends of paths, by the first path; against a plain loop."""
+    rng = random.Random(2)
+    paths = sorted({"/".join([*(rng.choice(["A", "BA", "Public", "NotPublic", "x"]) for _ in range(rng.randrange(4))), "Types.h"]) for _ in range(60)})
+    wanted = ["Types.h", "Public/Types.h", "ublic/Types.h", "A/Types.h", "x/A/Types.h", "none/Types.h", "A/A/A/A/A/Types.h", "pes.h", "/Types.h"]
+    files = spark.createDataFrame([(i, 1, p) for i, p in enumerate(paths)], "file_id long, codebase_id long, relative_path string")
+    includes = spark.createDataFrame([(0, i, w, False, None) for i, w in enumerate(wanted)], "file_id long, line_number int, included_path string, is_system boolean, resolved_file_id long")
+    got = {r["included_path"]: r["resolved_file_id"] for r in link.resolve_includes(includes, files).collect()}
+    for w in wanted:
+        same = [p for p in paths if p.split("/")[-1] == w.split("/")[-1]]
+        want = w if w in paths else same[0] if len(same) == 1 else next((p for p in same if p.endswith(w)), None)
+        assert got[w] == (paths.index(want) if want else None), w
