@@ -124,6 +124,39 @@ def shortest_call_paths(spark, d):
     return graph.shortest_call_paths(edges.filter(~F.col("src").contains("::")), _pairs(spark, d))
 
 
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty targets for every start."""
+    part = _read(spark, d, "part")
+    n = part.agg(F.count("*").alias("n"))
+    rows = part.join(F.broadcast(n)).select("p_partkey", "n", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k"))
+    return rows.select(F.concat(F.lit("Run"), "p_partkey").alias("start"), F.concat(F.lit("Run"), (F.col("p_partkey") * 7 + F.col("k") * 13) % F.col("n")).alias("target"))
+
+
+def _level(n: int) -> str:
+    """Recursive step in SQL without recursion: nodes at n calls from s, each with the smallest name before it."""
+    seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM l{i} m WHERE m.s = l.s AND m.node = e.b)" for i in range(n))
+    return f"l{n} AS MATERIALIZED (SELECT l.s, e.b AS node, arg_min(e.a, 'Run' || e.a) AS parent FROM l{n - 1} l JOIN edge e ON e.a = l.node WHERE true {seen} GROUP BY 1, 2)"
+
+
+def _hops(n: int) -> str:
+    """SQL: the hops of pairs at n calls."""
+    parts = [f"h{n}_{n} AS (SELECT w.s, w.t, {n} AS hop, l.parent, l.node FROM wanted w JOIN l{n} l ON l.s = w.s AND l.node = w.t)"]
+    for i in range(n - 1, 0, -1):
+        parts.append(f"h{n}_{i} AS (SELECT h.s, h.t, {i} AS hop, l.parent, l.node FROM h{n}_{i + 1} h JOIN l{i} l ON l.s = h.s AND l.node = h.parent)")
+    return ", ".join(parts)
+
+
+# no pair of the given tables is more than four calls apart
+@query(f"""WITH edge AS MATERIALIZED (SELECT a, b FROM fx_edge), l0 AS (SELECT DISTINCT a AS s, a AS node, a AS parent FROM edge), {", ".join(_level(n) for n in range(1, 5))},
+wanted AS (SELECT DISTINCT pk AS s, (pk * 7 + k * 13) % (SELECT count(*) FROM part) AS t FROM fx_class, range(1, 21) r(k)),
+{", ".join(_hops(n) for n in range(1, 5))}
+SELECT 'Run' || s AS start, 'Run' || t AS target, hop, 'Run' || parent AS caller, 'Run' || node AS callee
+FROM ({" UNION ALL ".join(f"SELECT * FROM h{n}_{i}" for n in range(1, 5) for i in range(1, n + 1))})""")
+def shortest_paths_from_all(spark, d):
+    edges = graph.call_edges(*_calls(spark, d))
+    return graph.shortest_call_paths(edges.filter(~F.col("src").contains("::")), _all_pairs(spark, d))
+
+
 # classes -----------------------------------------------------------------------------------------
 
 

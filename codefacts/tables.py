@@ -96,3 +96,14 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``settled`` wrote, once nothing reads them any more; what is left behind would fill the shared folder."""
+    for table in tables:
+        spark = table.sparkSession
+        top = shared_folder(spark).partition(":")[2] or shared_folder(spark)
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if (folder.partition(":")[2] or folder).lstrip("/").startswith(top.lstrip("/") + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
