@@ -587,7 +587,7 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     sources = testdata.sources(spark, d)
     scanned = extract.scan_sources(sources)
     symbols = extract.extract_symbols(scanned)
-    return extract.extract_references(scanned, sources, symbols), symbols, testdata.files(spark, d)
+    return extract.extract_references(scanned, symbols), symbols, testdata.files(spark, d)
 
 
 @query(f"WITH {_REFS} SELECT * FROM refs")

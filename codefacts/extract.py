@@ -11,7 +11,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts import changes, lexical, link, macros
@@ -33,6 +33,10 @@ KEYWORDS = "if for while switch return catch sizeof alignof decltype new delete
 
 #: scopes that may lie in each other
 SCOPES = 10_000
+#: UTF-8 bytes of texts that a task scans; a longer text is scanned alone
+TASK_BYTES = 32 << 20
+#: parts in which running sums of sizes are taken
+CHUNKS = 1024
 
 _PARAMETER = "struct<name:string,type:string,default_value:string,position:int>"
 _BASE = "struct<name:string,access:string,is_virtual:boolean>"
@@ -42,10 +46,33 @@ _SYMBOL = (
 )
 
 
+def balanced(sources: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The sources (each file_id once) dealt to tasks by the bytes of their texts, as a scan's time grows with them.
+
+    Files are put into bins of task_bytes by a running sum, over hash chunks and then over the chunks; a file of task_bytes or more has
+    a bin of its own. So no task has more than twice task_bytes but for a single longer file. Ids and sizes alone meet in windows;
+    the driver learns the two numbers of bins.
+    """
+    size = F.coalesce(F.octet_length("content"), F.lit(0)) + 1
+    sizes = sources.select("file_id", size.cast("long").alias("size"), F.pmod(F.xxhash64("file_id"), F.lit(CHUNKS)).alias("chunk"))
+    long_one = F.col("size") >= task_bytes
+    sizes = settled(sizes.withColumns({"short": F.when(long_one, 0).otherwise(F.col("size")), "long": long_one.cast("long")}), "sizes")
+    chunks = sizes.groupBy("chunk").agg(F.sum("short").alias("short_all"), F.sum("long").alias("long_all"))
+    whole = chunks.agg(F.sum("short_all").alias("short"), F.sum("long_all").alias("long")).first()
+    n_short, n_long = (whole["short"] or 0) // task_bytes + 1, whole["long"] or 0
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # CHUNKS rows at most
+    starts = chunks.select("chunk", *[F.coalesce(F.sum(f"{c}_all").over(before), F.lit(0)).alias(f"{c}_before") for c in ("short", "long")])
+    inside = Window.partitionBy("chunk").orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = {c: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{c}_before") for c in ("short", "long")}
+    in_short = F.floor(at["short"] / task_bytes)
+    bins = sizes.join(F.broadcast(starts), "chunk").select("file_id", F.when(F.col("long") == 1, n_short + at["long"]).otherwise(in_short).cast("int").alias("_bin"))
+    return sources.join(bins, "file_id").repartitionById(int(n_short + n_long), F.col("_bin")).drop("_bin")
+
+
 def scan_sources(sources: DataFrame) -> DataFrame:
-    """file_id, codebase_id, symbols, code, body_code of each source.
+    """file_id, codebase_id, symbols, code, body_code, content, failed of each source.
 
-    A source that can't be scanned (more than SCOPES in each other) gives no symbols, calls and references.
+    A source that can't be scanned (more than SCOPES in each other) gives no symbols, calls and references, and the error's name in failed.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,20 +80,26 @@ def scan_sources(sources: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["content"]:
+                failed = None
                 try:
                     found = scan(text or "")
-                except (ValueError, RecursionError, IndexError):
-                    found = {"symbols": [], "code": "", "body_code": ""}
-                rows.append((found["symbols"], found["code"], found["body_code"]))
-            out = pd.DataFrame(rows, columns=["symbols", "code", "body_code"])
+                except (ValueError, RecursionError, IndexError) as error:
+                    found, failed = {"symbols": [], "code": "", "body_code": ""}, type(error).__name__
+                rows.append((found["symbols"], found["code"], found["body_code"], text, failed))
+            out = pd.DataFrame(rows, columns=["symbols", "code", "body_code", "content", "failed"])
             out.insert(0, "codebase_id", pdf["codebase_id"].to_numpy())
             out.insert(0, "file_id", pdf["file_id"].to_numpy())
             yield out
 
-    schema = f"file_id long, codebase_id long, symbols array<{_SYMBOL}>, code string, body_code string"
+    schema = f"file_id long, codebase_id long, symbols array<{_SYMBOL}>, code string, body_code string, content string, failed string"
     return sources.select(F.col("file_id").cast("long"), F.col("codebase_id").cast("long"), "content").mapInPandas(run, schema)
 
 
+def scan_failures(scanned: DataFrame) -> DataFrame:
+    """codebase_id, failed, n_files of sources that gave no facts, by the error's name."""
+    return scanned.filter("failed IS NOT NULL").groupBy("codebase_id", "failed").agg(F.count("*").alias("n_files"))
+
+
 def clean_source(sources: DataFrame) -> DataFrame:
     """The sources with clean_text: no export tokens or UMETA(...), macro and delegate lines empty, line numbers kept."""
     return sources.withColumn("clean_text", lexical.clean(F.col("content")))
@@ -123,26 +156,27 @@ def extract_calls(scanned: DataFrame, symbols: DataFrame) -> DataFrame:
     return inside.withColumn("id", F.xxhash64("file_id", "line_number", "n")).drop("n").withColumn("callee_symbol_id", F.lit(None).cast("long"))
 
 
-def extract_references(scanned: DataFrame, sources: DataFrame, symbols: DataFrame, names: str = "top") -> DataFrame:
+def extract_references(scanned: DataFrame, symbols: DataFrame, names: str = "top") -> DataFrame:
     """Identifier occurrences of a file's own names: symbol_name, line_number, column_number (from 0), context (trimmed line, 200 characters).
 
     names: "top" for names of top-level symbols, "all" for nested ones as well. The semi-join runs before anything else grows.
     """
     known = (symbols if names == "all" else symbols.filter("parent_ord IS NULL")).select("file_id", F.col("name").alias("symbol_name")).distinct()
-    code = scanned.select("file_id", F.posexplode(F.split("code", "\n")).alias("at", "line"))
-    tokens = code.select("file_id", "at", F.posexplode(F.split("line", r"\b")).alias("n", "symbol_name")).filter(F.col("symbol_name").rlike(r"^[A-Za-z_]\w*$"))
+    both = F.arrays_zip(F.split("code", "\n").alias("line"), F.split("content", "\n").alias("text"))
+    lines = scanned.select("file_id", F.posexplode(both).alias("at", "both")).filter("both.line IS NOT NULL").select("file_id", "at", "both.line", "both.text")
+    tokens = lines.select("file_id", "at", F.posexplode(F.split("line", r"\b")).alias("n", "symbol_name")).filter(F.col("symbol_name").rlike(r"^[A-Za-z_]\w*$"))
     hits = tokens.join(known, ["file_id", "symbol_name"], "left_semi")
-    lines = code.join(sources.select(F.col("file_id").cast("long"), F.posexplode(F.split("content", "\n")).alias("at", "text")), ["file_id", "at"])
     column = F.length(F.array_join(F.slice(F.split("line", r"\b"), F.lit(1), F.col("n")), ""))
     return hits.join(lines, ["file_id", "at"]).select("file_id", F.lit(None).cast("long").alias("symbol_id"), "symbol_name", (F.col("at") + 1).alias("line_number"), column.alias("column_number"), F.substring(F.trim("text"), 1, 200).alias("context"))
 
 
 def index_corpus(sources: DataFrame, linked: bool = True) -> dict[str, DataFrame]:
     """All fact tables of a corpus, linked across its files or, without linked, only inside each."""
-    scanned = settled(scan_sources(sources), "scan")
+    scanned = settled(scan_sources(balanced(sources)), "scan")
     files = file_rows(sources)
     symbols = extract_symbols(scanned)
-    found = extract_macros(sources)
+    texts = scanned.select("file_id", "content")
+    found = extract_macros(texts)
     tables = {
         "files": files,
         "symbols": symbols.drop("parameters", "base_classes"),
@@ -151,8 +185,8 @@ def index_corpus(sources: DataFrame, linked: bool = True) -> dict[str, DataFrame
         "ue_macros": macros.attach_macro_symbol(found.drop("specifiers"), symbols),
         "ue_macro_specifiers": explode_specifiers(found),
         "calls": link.callees_in_file(extract_calls(scanned, symbols), symbols),
-        "includes": extract_includes(sources),
-        "references_table": extract_references(scanned, sources, symbols),
+        "includes": extract_includes(texts),
+        "references_table": extract_references(scanned, symbols),
     }
     return changes.relink(tables) if linked else tables
 
