@@ -186,32 +186,36 @@ def class_children(spark, d):
     return graph.class_children(inheritance, symbols, files, inheritance.select("parent_name"))
 
 
-def _up(*keys: int) -> str:
-    """Recursive SQL: ancestors with the class that names each as its parent; and where they are declared, if in that class's codebase."""
-    return f"""up AS (SELECT class_name AS q, parent_name AS name, 1 AS depth, codebase_id AS base FROM fx_class WHERE pk IN ({', '.join(map(str, keys))})
+#: ancestors of every class with the class that names each as its parent; and where they are declared, if in that class's codebase
+_UP = """up AS (SELECT class_name AS q, parent_name AS name, 1 AS depth, codebase_id AS base FROM fx_class WHERE parent_name <> class_name
   UNION SELECT u.q, c.parent_name, u.depth + 1, c.codebase_id FROM up u JOIN fx_class c ON c.class_name = u.name WHERE u.depth < 20 AND c.parent_name <> c.class_name),
   placed_up AS (SELECT q, name, depth, 'public' AS access, module || '/Public/Part' || pk || '.h' AS path, CASE WHEN pk IS NOT NULL THEN 6 END AS line_start FROM up LEFT JOIN fx_class p ON p.class_name = name AND p.codebase_id = base)"""
 
-
-def _down(*names: str) -> str:
-    return f"""down AS (SELECT parent_name AS q, class_name AS name, 1 AS depth FROM fx_class WHERE parent_name IN ({', '.join(f"'{n}'" for n in names)})
-  UNION SELECT u.q, c.class_name, u.depth + 1 FROM down u JOIN fx_class c ON c.parent_name = u.name WHERE u.depth < 20),
+#: descendants of every class and parent
+_DOWN = """down AS (SELECT parent_name AS q, class_name AS name, 1 AS depth FROM fx_class WHERE parent_name <> class_name
+  UNION SELECT u.q, c.class_name, u.depth + 1 FROM down u JOIN fx_class c ON c.parent_name = u.name AND c.class_name <> c.parent_name WHERE u.depth < 20),
   placed_down AS (SELECT q, name, depth, 'public' AS access, module || '/Public/Part' || pk || '.h' AS path, 6 AS line_start FROM down JOIN fx_class ON class_name = name)"""
 
 
-@query(f"WITH RECURSIVE {_up(40, 90, 121, 160)} SELECT * FROM placed_up", True)
+def _every_class(spark: SparkSession, d: str) -> DataFrame:
+    """All names of classes, whether they are declared or only named as a parent."""
+    both = testdata.inheritance(spark, d).select(F.explode(F.array("child_name", "parent_name")).alias("q"))
+    return both.distinct()
+
+
+@query(f"WITH RECURSIVE {_UP} SELECT * FROM placed_up", True)
 def class_ancestors(spark, d):
-    return graph.class_ancestors(*_classes(spark, d), _names("APart", 40, 90, 121, 160))
+    return graph.class_ancestors(*_classes(spark, d), _every_class(spark, d))
 
 
-@query(f"WITH RECURSIVE {_down('APart2', 'APart5', 'APart9')} SELECT * FROM placed_down", True)
+@query(f"WITH RECURSIVE {_DOWN} SELECT * FROM placed_down", True)
 def class_descendants(spark, d):
-    return graph.class_descendants(*_classes(spark, d), _names("APart", 2, 5, 9), distinct=True)
+    return graph.class_descendants(*_classes(spark, d), _every_class(spark, d), distinct=True)
 
 
-@query(f"WITH RECURSIVE {_up(9, 30)}, {_down('APart9', 'APart30')} SELECT *, 'ancestors' AS direction FROM placed_up UNION ALL SELECT *, 'descendants' FROM placed_down", True)
+@query(f"WITH RECURSIVE {_UP}, {_DOWN} SELECT *, 'ancestors' AS direction FROM placed_up UNION ALL SELECT *, 'descendants' FROM placed_down", True)
 def class_hierarchy(spark, d):
-    return graph.class_hierarchy(*_classes(spark, d), _names("APart", 9, 30))
+    return graph.class_hierarchy(*_classes(spark, d), _every_class(spark, d))
 
 
 # includes ----------------------------------------------------------------------------------------
@@ -238,31 +242,23 @@ def resolve_includes(spark, d):
     return includes.join(target, "resolved_file_id", "left").select("file_id", "line_number", "included_path", "is_system", "target")
 
 
-_SOME_FILES = "pk IN (1, 5, 8, 40, 100)"
-
-
-def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return testdata.view(spark, d, "fx_class").filter(_SOME_FILES).select(F.concat("module", F.lit("/Public/Part"), "pk", F.lit(".h")).alias("q"))
-
-
-@query(f"""WITH {_RESOLVED}, wanted AS (SELECT pk * 2 AS file_id, module || '/Public/Part' || pk || '.h' AS q FROM fx_class WHERE {_SOME_FILES})
+@query(f"""WITH {_RESOLVED}, wanted AS (SELECT file_id, relative_path AS q FROM fx_files)
 SELECT q, 'includes' AS direction, t.relative_path AS path, included_path, line_number FROM resolved r JOIN wanted w ON w.file_id = r.file_id LEFT JOIN fx_files t ON t.file_id = r.target
 UNION ALL SELECT q, 'included_by', f.relative_path, included_path, line_number FROM resolved r JOIN wanted w ON w.file_id = r.target JOIN fx_files f ON f.file_id = r.file_id""")
 def file_dependencies(spark, d):
     includes, files = _includes(spark, d)
-    return graph.file_dependencies(includes, files, _paths(spark, d))
+    return graph.file_dependencies(includes, files, files.select("relative_path"))
 
 
 @query(f"""WITH RECURSIVE {_RESOLVED}, reach AS (
-  SELECT pk * 2 + 1 AS start, pk * 2 + 1 AS node, 0 AS depth FROM fx_class
+  SELECT file_id AS start, file_id AS node, 0 AS depth FROM fx_files
   UNION SELECT h.start, r.target, h.depth + 1 FROM reach h JOIN resolved r ON r.file_id = h.node AND r.target IS NOT NULL WHERE h.depth < 3
 ) SELECT s.relative_path AS q, t.relative_path AS path, min(depth) AS depth FROM reach JOIN fx_files s ON s.file_id = start JOIN fx_files t ON t.file_id = node WHERE node <> start GROUP BY 1, 2""", True)
 def transitive_dependencies(spark, d):
     sources = testdata.sources(spark, d)
     files = testdata.files(spark, d)
     includes = link.resolve_includes(extract.extract_includes(sources), files)
-    starts = files.filter(F.col("relative_path").endswith(".cpp")).select("relative_path")
-    return graph.transitive_dependencies(includes, files, starts)
+    return graph.transitive_dependencies(includes, files, files.select("relative_path"))
 
 
 @query(f"WITH {_RESOLVED} SELECT codebase_id, CAST(count(target) AS BIGINT) AS resolved, CAST(count(*) - count(target) AS BIGINT) AS unresolved FROM resolved WHERE is_system = 0 GROUP BY 1")
