@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts import changes, corpus, extract, functions, graph, link, macros, reports, search, store, testdata
+from codefacts import changes, corpus, extract, functions, graph, link, macros, reports, search, store, testdata, trigrams
 from codefacts.tables import file_id, shared_folder, symbol_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -722,6 +722,27 @@ def search_code(spark, d):
     return search.search_code(symbols, turns.select(F.xxhash64("path").alias("file_id"), "line_number", "context"), files, ["tion the", "NDE", "q_e"], 1)
 
 
+_GRAMS = """grams AS (SELECT DISTINCT doc_id, substr(t, CAST(i AS BIGINT), 3) AS gram FROM (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents))"""
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS n_keys FROM grams GROUP BY 1")
+def trigram_index(spark, d):
+    """How many documents each gram's posting lists name."""
+    index = trigrams.build_trigram_index(_read(spark, d, "documents"), "doc_id")
+    return index.groupBy("gram").agg(F.sum(F.size("keys")).cast("long").alias("n_keys"))
+
+
+@query("""WITH rows AS (SELECT 'doc' || doc_id AS path, doc_id AS line_number, text FROM documents)
+SELECT q, path, line_number, substr(text, 1, 200) AS text FROM (
+  SELECT q, rows.*, row_number() OVER (PARTITION BY q ORDER BY path, line_number, text) AS k FROM rows, (VALUES ('tion the'), ('NDE'), ('the q_e'), ('e%zz'), ('q_')) v(q) WHERE text ILIKE '%' || q || '%') WHERE k <= 50""")
+def search_code_by_trigrams(spark, d):
+    """Code search over an index of all documents, as one codebase: patterns with grams, with wildcards, and one that is too short for the index."""
+    docs = _read(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("relative_path"), F.lit(1).alias("codebase_id"), F.xxhash64("doc_id").alias("file_id"), F.col("doc_id").alias("line_start"), F.col("text").alias("raw_text"))
+    none = spark.createDataFrame([], "file_id long, line_number int, context string")
+    index = search.code_trigrams(docs, none, docs)
+    return search.search_code(docs, none, docs, ["tion the", "NDE", "the q_e", "e%zz", "q_"], 1, index=index).drop("source")
+
+
 # scalar functions -----------------------------------------------------------------------------------------------------
 
 _PREFIXED = "n AS (SELECT p_partkey AS k, substr('AUFEITSx', 1 + CAST(p_partkey % 8 AS INTEGER), 1) || CASE WHEN p_partkey % 3 = 0 THEN lower(p_name) ELSE upper(p_name) END AS name FROM part)"
