@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts import changes, corpus, extract, functions, graph, link, macros, reports, search, store, testdata, trigrams
-from codefacts.tables import file_id, shared_folder, symbol_id
+from codefacts.tables import file_id, settled, shared_folder, symbol_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -722,7 +722,8 @@ def search_code(spark, d):
     return search.search_code(symbols, turns.select(F.xxhash64("path").alias("file_id"), "line_number", "context"), files, ["tion the", "NDE", "q_e"], 1)
 
 
-_GRAMS = """grams AS (SELECT DISTINCT doc_id, substr(t, CAST(i AS BIGINT), 3) AS gram FROM (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents))"""
+#: all runs of three characters: those that follow each other, from the first, the second and the third character
+_GRAMS = """grams AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(substr(lower(text), s), '(?s)...')) AS gram FROM documents, (VALUES (1), (2), (3)) v(s))"""
 
 
 @query(f"WITH {_GRAMS} SELECT gram, count(*) AS n_keys FROM grams GROUP BY 1")
@@ -739,7 +740,7 @@ def search_code_by_trigrams(spark, d):
     """Code search over an index of all documents, as one codebase: patterns with grams, with wildcards, and one that is too short for the index."""
     docs = _read(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("relative_path"), F.lit(1).alias("codebase_id"), F.xxhash64("doc_id").alias("file_id"), F.col("doc_id").alias("line_start"), F.col("text").alias("raw_text"))
     none = spark.createDataFrame([], "file_id long, line_number int, context string")
-    index = search.code_trigrams(docs, none, docs)
+    index = settled(search.code_trigrams(docs, none, docs), "trigrams")
     return search.search_code(docs, none, docs, ["tion the", "NDE", "the q_e", "e%zz", "q_"], 1, index=index).drop("source")
 
 

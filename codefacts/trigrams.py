@@ -39,14 +39,20 @@ def literal_parts(pattern: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def pattern_grams(spark: SparkSession, patterns: list[str], escape: bool = False) -> dict[str, list[str]]:
-    """The grams that a text must hold for each pattern; none for a pattern that is too short. Patterns become lower case in Spark, as texts do."""
+def pattern_parts(spark: SparkSession, patterns: list[str], escape: bool = False) -> dict[str, list[str]]:
+    """The literal stretches of each pattern, in lower case as Spark makes it, so as texts become."""
     asked = list(dict.fromkeys(patterns))
     if not asked:
         return {}
     table = spark.createDataFrame([(q, like_pattern(q, escape)) for q in asked], "q string, pattern string")
     lower = {r["q"]: r["p"] for r in table.select("q", F.lower("pattern").alias("p")).collect()}  # what the caller typed
-    return {q: sorted({p[i : i + 3] for p in literal_parts(lower[q]) for i in range(len(p) - 2)}) for q in asked}
+    return {q: literal_parts(lower[q]) for q in asked}
+
+
+def pattern_grams(spark: SparkSession, patterns: list[str], escape: bool = False) -> dict[str, list[str]]:
+    """The grams that a text must hold for each pattern; none for a pattern that is too short."""
+    parts = pattern_parts(spark, patterns, escape)
+    return {q: sorted({p[i : i + 3] for p in ps for i in range(len(p) - 2)}) for q, ps in parts.items()}
 
 
 def build_trigram_index(rows: DataFrame, key: str = "file_id", text: str = "text", block: int = BLOCK) -> DataFrame:
