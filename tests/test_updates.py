@@ -73,6 +73,25 @@ def test_incremental_links_equal_full_runs(spark):
     assert len(links) > 1500
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_changes_of_symbols_without_kinds(spark, linked):
+    """A symbol needs a kind only if calls or classes are linked to it, and a position only if anything is."""
+    table = spark.createDataFrame
+    files = lambda *rows: table(list(rows), "id long, codebase_id long, relative_path string, content_hash string")
+    names = "id long, file_id long, name string" + ", ord int" * linked
+    symbols = lambda *rows: table([r[: 3 + linked] for r in rows], names)
+    old = {"files": files((1, 1, "a", "h1"), (2, 1, "b", "h2"), (3, 1, "c", "h3")), "symbols": symbols((11, 1, "A", 0), (12, 2, "A", 0), (13, 3, "C", 0))}
+    fresh = {"files": files((2, 1, "b", "new"), (4, 1, "d", "h4")), "symbols": symbols((22, 2, "B", 0), (24, 4, "D", 0))}
+    if linked:
+        old["references_table"] = table([(3, "A", 11), (3, "B", None), (3, "C", 13)], "file_id long, symbol_name string, symbol_id long")
+    found = table([(1, "a", "deleted"), (1, "b", "changed"), (1, "c", "unchanged"), (1, "d", "new")], "codebase_id long, relative_path string, status string")
+    out = changes.apply_changes(old, found, fresh)
+    assert sorted((r["id"], r["content_hash"]) for r in out["files"].collect()) == [(2, "new"), (3, "h3"), (4, "h4")]
+    assert sorted((r["id"], r["file_id"], r["name"]) for r in out["symbols"].collect()) == [(13, 3, "C"), (22, 2, "B"), (24, 4, "D")]
+    if linked:
+        assert sorted((r["symbol_name"], r["symbol_id"] or 0) for r in out["references_table"].collect()) == [("A", 0), ("B", 22), ("C", 13)]
+
+
 def write_tree(root, files):
     for path, text in files.items():
         os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
