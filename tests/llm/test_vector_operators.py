@@ -1,6 +1,7 @@
 """Vector searches against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codefacts.llm import ann, topk
@@ -40,6 +41,29 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert len(got) == 30 and hit / total >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["lengths", "wide", "copies"])
+def test_neighbours_are_the_nearest_on_other_rows(spark, shape):
+    """Vectors that codes can't tell apart: of very different lengths, without clusters in many dimensions, or near and exact copies."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2500, 256 if shape == "wide" else 32))
+    if shape == "lengths":
+        x *= r.lognormal(0, 3, size=(2500, 1))
+    elif shape == "copies":
+        x[500:1500] = x[0] + r.normal(size=(1000, 32)) * 1e-4
+        x[2000:] = x[1]
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), 0, 0.0, 0) for i, v in enumerate(x)], SCHEMA)
+    got: dict[int, list] = {}
+    for a in ann.search(rows.union(rows.filter("vec_id < 200")), F.col("vec_id") % 100 == 0, part=400).orderBy("query_id", "rank").collect():
+        got.setdefault(a["query_id"], []).append((a["score"], a["vec_id"]))
+    y = x.astype(float)
+    for q in range(0, 2500, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        order = np.lexsort((np.arange(2500), d))[:10]
+        assert got[q] == list(zip(d[order].tolist(), order.tolist(), strict=True)), q
+
+
 def test_equal_vectors_tie_to_the_smaller_id(spark):
     x, rows = vectors(spark)
     first = [r["vec_id"] for r in ann.search(rows, F.col("vec_id") == 0, part=128).orderBy("rank").collect()]
