@@ -30,10 +30,11 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ MAGIC, HEAD, SAMPLE = 0x31454C4946534449, 8, 256
 FILE_IDS, FILE_DOCS, READ_IDS = 1 << 24, 1 << 20, 1 << 20
 #: stretches and characters that a task keeps
 KEPT, KEPT_CHARS = 400_000, 1 << 23
+#: words of letters that are encoded as one text
+WORDS = 256
 #: what a word may end with; no apostrophe, which may belong to the letters after it
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MANIFEST = "number long, name string, n_docs long, n_ids long, first_id long, last_id long"
@@ -180,8 +183,8 @@ class IdFile:
 class Encoder:
     """Texts' ids by the tokenizers library, each distinct stretch between spaces once while it is kept.
 
-    A stretch whose normal form is of letters alone is one word for the tokenizer: many are normalised as one text, and each is given to the
-    tokenizer's model as it stands. Marks at the end of a word are a word of their own. All other stretches are encoded as texts.
+    A stretch of letters alone is one word for the tokenizer, and only the last id of a word stands for a piece that ends one: so many are encoded as
+    one text and its ids cut there. Marks at the end of a word are a word of their own, but after a letter with a combining mark. All other stretches are encoded one by one.
     """
 
     def __init__(self, name: str):
@@ -191,10 +194,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.own = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         vocabulary = self.own.get_vocab()
-        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
-        self.model = self.own.model
-        # byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on, the space being U+0120
-        self.code = {x: 256 + x for x in range(32)} | {x: 289 + n for n, x in enumerate([*range(127, 161), 173])}
+        most = max(vocabulary.values())
+        self.width = 2 if most < 1 << 16 else 4
+        suffix = getattr(self.own.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(most + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+        self.closed: dict[str, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -211,33 +216,49 @@ class Encoder:
         self.chars = sum(map(len, names))
 
     def _add(self, new: list[str]) -> None:
-        tails = [(w, core, w[len(core) :]) for w in new if not w.isalpha() and (core := w.rstrip(MARKS)).isalpha() and core != w]
-        ended = {w for w, _, _ in tails}
-        words = list(dict.fromkeys(chain((w for w in new if w.isalpha()), (core for _, core, _ in tails if core not in self.index))))
-        others = [w for w in new if not w.isalpha() and w not in ended]
-        others += {tail for _, _, tail in tails}.difference(self.index, others)
-        parts: list[list[int]] = []
-        names: list[str] = []
-        if words:
-            plain = self.own.normalizer.normalize_str(" ".join(words)).split(" ")
-            read = {w: None for w in plain if w.isalpha()}
-            coded = " ".join(read).encode().decode("latin-1").translate(self.code).split(" ")
-            read = {w: [x.id for x in self.model.tokenize(c)] for w, c in zip(read, coded, strict=False)}
-            for w, form in zip(words, plain, strict=True):
-                if form in read:
-                    names.append(w)
-                    parts.append(read[form])
-                else:
-                    others.append(w)
-        for i in range(0, len(others), 1024):
-            some = others[i : i + 1024]
-            parts += [e.ids for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
-            names += some
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        self._store(names, np.fromiter(chain.from_iterable(parts), np.uint32, size.sum()), size)
+        words: dict[str, None] = {}
+        others: dict[str, None] = {}
+        tails: list[tuple[str, str, str]] = []
+        for w in new:
+            if w.isalpha():
+                words[w] = None
+            elif (core := w.rstrip(MARKS)).isalpha() and self._closed(core[-1]):
+                tails.append((w, core, w[len(core) :]))
+            else:
+                others[w] = None
+        words.update((core, None) for _, core, _ in tails if core not in self.index)
+        others.update((tail, None) for _, _, tail in tails if tail not in self.index)
+        single = self._add_words(list(words)) + list(others)
+        for i in range(0, len(single), 1024):
+            parts = [e.ids for e in self.own.encode_batch_fast(single[i : i + 1024], add_special_tokens=False)]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            self._store(single[i : i + 1024], np.fromiter(chain.from_iterable(parts), np.uint32, size.sum()), size)
         pairs = np.array([(self.index[core], self.index[tail]) for _, core, tail in tails], np.int64).reshape(-1)
         self._store([w for w, _, _ in tails], self._gather(pairs), self.size[pairs].reshape(-1, 2).sum(1))
 
+    def _closed(self, letter: str) -> bool:
+        """Whether marks after this letter are a word of their own; not if its normal form ends with a combining mark, which they join."""
+        if letter not in self.closed:
+            alone, mark, both = (e.ids for e in self.own.encode_batch_fast([letter, ".", f"{letter}."], add_special_tokens=False))
+            self.closed[letter] = alone + mark == both
+        return self.closed[letter]
+
+    def _add_words(self, words: list[str]) -> list[str]:
+        """Adds words of letters, many to a text; returns those of texts whose ids don't end as many words as went in."""
+        left, names, flat, size = [], [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), WORDS):
+            some = words[i : i + WORDS]
+            ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                names += some
+                flat.append(ids)
+                size.append(np.diff(stops, prepend=0))
+            else:
+                left += some
+        self._store(names, np.concatenate(flat), np.concatenate(size))
+        return left
+
     def _store(self, names: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.flat = np.concatenate([self.flat, flat])
@@ -250,18 +271,26 @@ class Encoder:
         n = self.size[at]
         return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
+        if not len(texts):
+            return []
         if len(self.index) > KEPT or self.chars > KEPT_CHARS:
             self._forget()
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self._add(list({w for words in split for w in words}.difference(self.index)))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            np.add.at(self.used, at, 1)
-            out.append(self._gather(at))
-        return out
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        word = np.asarray(coded.indices)
+        names = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(at < 0).tolist()
+        if fresh:
+            self._add([names[i] for i in fresh])
+            at[fresh] = [self.index[names[i]] for i in fresh]
+        self.used[at] += np.bincount(word, minlength=len(at))
+        at = at[word]
+        ends = np.concatenate(([0], np.cumsum(self.size[at])))[np.cumsum(np.asarray(pc.list_value_length(split), np.int64))]
+        return np.split(self._gather(at), ends[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -299,7 +328,7 @@ def write(docs: DataFrame, folder: str, name: str = TOKENIZER, end_id: int | Non
 
         for batch in batches:
             for i, j in doc_slices(batch.column(1)):
-                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), task.encode(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), task.encode(batch.column(1).slice(i, j - i)), strict=True):
                     ids = np.concatenate([ids, end]).astype(f"<u{task.width}")
                     if keys and (held + len(ids) > file_ids or len(keys) == FILE_DOCS):
                         yield flush()

@@ -202,6 +202,40 @@ def test_a_files_documents_by_number(tmp_path):
 
 
 @needs_tables
+class Counted:
+    """A tokenizer that counts the texts given to it."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.own.encode_batch_fast(texts, **how)
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+
+def test_words_are_encoded_many_to_a_text():
+    rng = np.random.default_rng(2)
+    words = list(dict.fromkeys("".join(rng.choice(list("aeinrstßéж"), rng.integers(2, 9))) for _ in range(3000)))
+    encoder = idfiles.Encoder(idfiles.TOKENIZER)
+    encoder.own = own = Counted(encoder.own)
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    got = [x.tolist() for x in encoder.encode([*texts, None, ""])]
+    assert 0 < own.texts <= len(words) // 100 and got == [e.ids for e in own.own.encode_batch_fast([*texts, "", ""], add_special_tokens=False)]
+    assert encoder.encode([]) == []
+
+
+def test_marks_after_letters_that_decompose():
+    """Their normal form ends with a combining mark, which is one word with the mark after it; letters newer than the tokenizer's are no words at all."""
+    letters = [chr(c) for c in range(0x20000) if chr(c).isalpha()]
+    texts = [" ".join(f"a{c} {c}. {c}b," for c in letters[i : i + 100]) for i in range(0, len(letters), 100)]
+    encoder = idfiles.Encoder(idfiles.TOKENIZER)
+    want = [e.ids for e in encoder.own.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [i for i, (x, y) in enumerate(zip(encoder.encode(texts), want, strict=True)) if x.tolist() != y] == []
+
+
 def test_op12_equals_the_library(spark):
     got = {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in registry.QUERIES["op12_elias_fano_id_files"](spark, SF).collect()}
     start, want = 0, set()
