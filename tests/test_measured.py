@@ -48,7 +48,7 @@ def limit(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["class_children", "class_descendants", "class_hierarchy", "find_callers", "find_references"])
+@pytest.mark.parametrize("name", ["class_children", "class_descendants", "class_hierarchy", "find_callers", "find_references", "index_corpus"])
 def test_no_large_table_is_broadcast(spark, limit, name):
     first = _next(spark)
     catalog.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
